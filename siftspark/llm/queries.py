@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, url_filter, vectors
+from . import mixing, packing, repeats, simhash, url_filter, vectors
 from .common import Scratch, table
 
 EVERY_20TH = F.expr("vec_id % 20 = 0")
@@ -44,8 +44,13 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op4_source_mix, op5_near_neighbours, op6_url_filter, op7_simhash_near_dedup)
+    f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op4_source_mix, op5_near_neighbours, op6_url_filter, op7_simhash_near_dedup, op9_repeated_strings)
 }
 
 ORACLE_SQL: dict[str, str] = {}
