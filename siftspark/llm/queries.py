@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, repeats, simhash, url_filter, vectors
+from . import mixing, packing, quality, repeats, simhash, url_filter, vectors
 from .common import Scratch, table
 
 EVERY_20TH = F.expr("vec_id % 20 = 0")
@@ -27,6 +27,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark), vocabulary())
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+    return found.select(F.col("doc_id").cast("long"), "held_out", "score", "predicted")
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark))
 
@@ -50,7 +55,7 @@ def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op4_source_mix, op5_near_neighbours, op6_url_filter, op7_simhash_near_dedup, op9_repeated_strings)
+    f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_quality_classifier, op4_source_mix, op5_near_neighbours, op6_url_filter, op7_simhash_near_dedup, op9_repeated_strings)
 }
 
 ORACLE_SQL: dict[str, str] = {}
