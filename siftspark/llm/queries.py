@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, repeats, simhash, url_filter, vectors
+from . import lines, mixing, packing, quality, repeats, simhash, url_filter, vectors
 from .common import Scratch, table
 
 EVERY_20TH = F.expr("vec_id % 20 = 0")
@@ -49,13 +49,22 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its lines, the numbers (from 0) of those removed, and how many."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.expr("size(split(coalesce(text, ''), '\n'))").alias("n_lines"))
+    later = lines.later_lines(table(spark, sf_dir, "documents"), Scratch(spark)).select(F.col("doc_id").alias("l_doc"), F.col("th").alias("l_th"), "later")
+    x = docs.join(later, F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("th") == F.col("l_th")), "left")
+    removed = F.coalesce("later", F.array().cast("array<bigint>"))
+    return x.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
+
+
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.cut_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_quality_classifier, op4_source_mix, op5_near_neighbours, op6_url_filter, op7_simhash_near_dedup, op9_repeated_strings)
+    f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_quality_classifier, op4_source_mix, op5_near_neighbours, op6_url_filter, op7_simhash_near_dedup, op8_line_dedup, op9_repeated_strings)
 }
 
 ORACLE_SQL: dict[str, str] = {}
