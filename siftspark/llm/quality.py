@@ -221,14 +221,19 @@ def scored(rows: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
     return rows.select(*keep, "_features").mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, keep: tuple[str, ...] = ("doc_id",), sample: int = 20_000) -> DataFrame:
-    """Quality of every whole text: the kept columns, held_out, score and predicted.
+def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, keep: tuple[str, ...] = ("doc_id",), sample: int = 20_000, text: bool = False) -> DataFrame:
+    """Quality of every whole text: the kept columns, text if asked for, held_out, score and predicted.
 
     Word vectors come from all documents, labels from at most sample rows. A score depends on the
     text alone. Null and empty texts get the score of a text without words; without usable labels
     all get the same score; repeated rows are scored each; a null doc_id is not held out.
     """
-    rows = scratch.save(pooled(docs, word_vectors(docs), list(dict.fromkeys(["doc_id", *keep]))), "quality-features")
-    net = train(rows, labels, sample)
-    out = scored(rows, net)
+    vectors = word_vectors(docs)
+    if text:  # with the texts at hand a second pooling is cheaper than keeping or joining them
+        some = pooled(docs.join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi"), vectors, ["doc_id"])
+        net = train(scratch.save(some, "quality-features"), labels, sample)
+        out = scored(pooled(docs, vectors, [*keep, "text"]), net)
+        return out.withColumn("held_out", held_out(F.col("doc_id"))).select(*keep, "text", "held_out", "score", "predicted")
+    rows = scratch.save(pooled(docs, vectors, list(dict.fromkeys(["doc_id", *keep]))), "quality-features")
+    out = scored(rows, train(rows, labels, sample))
     return out.withColumn("held_out", held_out(F.col("doc_id"))).select(*keep, "held_out", "score", "predicted")

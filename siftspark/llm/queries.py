@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, quality, repeats, simhash, url_filter, vectors
+from . import langid, lines, mixing, packing, quality, repeats, simhash, url_filter, vectors
 from .common import Scratch, table
 
 EVERY_20TH = F.expr("vec_id % 20 = 0")
@@ -63,8 +63,12 @@ def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_quality_classifier, op4_source_mix, op5_near_neighbours, op6_url_filter, op7_simhash_near_dedup, op8_line_dedup, op9_repeated_strings)
+    f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_quality_classifier, op4_source_mix, op5_near_neighbours, op6_url_filter, op7_simhash_near_dedup, op8_line_dedup, op9_repeated_strings, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -159,10 +159,8 @@ def hex_of(fp: Column) -> Column:
 def one_of_each(docs: DataFrame, scratch: Scratch, width: int = 3, most: int = 3) -> DataFrame:
     """The documents that stay: of each group the one with the smallest doc_id, once if its row is repeated.
 
-    Documents without words, which hold nothing to compare, and rows without a doc_id all stay.
+    Texts without words are one group like any other. Rows without a doc_id all stay.
     """
     keep = near_groups(docs, scratch, width, most).where("doc_id = component_id").select("doc_id").distinct()
-    blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
-    exempt = docs.where(blank | F.col("doc_id").isNull())
-    kept = docs.where(~blank & F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(exempt)
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
