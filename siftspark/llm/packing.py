@@ -15,7 +15,7 @@ from .common import Scratch
 from .tokens import encoder
 
 #: Items of one size and kind that one task puts in order.
-ROWS_PER_SALT = 20_000
+ROWS_PER_SALT = 2_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: UTF-8 characters encoded at once.
 CHARS_AT_ONCE = 2 << 20
