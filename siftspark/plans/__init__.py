@@ -1,6 +1,5 @@
 """Registered queries over the given tables, with the same questions in SQL."""
 
-from __future__ import annotations
+from .catalogue import ORACLES, PLANS
 
-PLANS: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "PLANS"]
