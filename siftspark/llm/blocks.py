@@ -66,7 +66,7 @@ def small_pairs(starts: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.
     for g in np.unique(size[size <= most]):
         i, j = np.triu_indices(int(g), 1)
         first = starts[:-1][size == g]
-        step = max(1, 4_000_000 // max(1, len(i)))
+        step = max(1, 1_000_000 // max(1, len(i)))
         for a in range(0, len(first), step):
             yield (first[a : a + step, None] + i).ravel(), (first[a : a + step, None] + j).ravel()
 

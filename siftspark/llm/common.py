@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,11 @@ class Scratch:
         """Every table saved under ``prefix/...``, as one."""
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{prefix}/*")
 
+    def settle(self) -> None:
+        """Let Spark delete the shuffle files of steps that have been written: it does so when their plans are collected as garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Delete one of this object's own tables, once nothing reads it any more."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

@@ -17,7 +17,7 @@ from .repeats import _mix, _powers
 COUNTED = 1 << 21
 COUNT_BLOCK = 1 << 15
 #: Rows of one token that meet in one task, and candidates that a line names for each token at first.
-GROUP_ROWS, FIRST = 8192, 2
+GROUP_ROWS, FIRST = 8192, 3
 N_BITS, POS_BITS = 20, 16
 _table = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
 _space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -135,23 +135,50 @@ def _index(rarity, similarity: float):
     return run
 
 
-def _may_match(a: dict, i, b: dict, j, similarity: float) -> np.ndarray:
-    """Length, positional and bit filters for rows i of a and j of b, by id before; lets all true matches pass."""
-    n, m = a["n"][i], b["n"][j]
+def _matching(x: dict, late: np.ndarray, early: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows (late, early) that pass the length, positional and bit filters, their differing bits, and whether these are so few that a match is all but sure.
+
+    All true matches pass at their first common word: nothing before it is shared, so the bound on places holds there.
+    """
+    n, m = x["n"][late], x["n"][early]
+    ok = np.flatnonzero(np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
+    late, early, n, m = late[ok], early[ok], n[ok], m[ok]
     need = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
-    fits = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (np.minimum(n - a["pos"][i], m - b["pos"][j]) >= need)
-    differ = np.bitwise_count(a["b1"][i] ^ b["b1"][j]).astype(np.int64) + np.bitwise_count(a["b2"][i] ^ b["b2"][j])
-    # at a pair's first common word nothing before it is shared, so the bound on places holds there
-    return np.where(fits & (differ <= n + m - 2 * need) & (a["id"][i] != b["id"][j]), differ, 999)
+    ok = np.flatnonzero(np.minimum(n - x["pos"][late], m - x["pos"][early]) >= need)
+    late, early, most = late[ok], early[ok], (n + m)[ok] - 2 * need[ok]
+    differ = np.bitwise_count(x["b1"][late] ^ x["b1"][early]).astype(np.int64) + np.bitwise_count(x["b2"][late] ^ x["b2"][early])
+    ok = np.flatnonzero((differ <= most) & (x["id"][late] != x["id"][early]))
+    return late[ok], early[ok], differ[ok], 2 * differ[ok] <= most[ok]
+
+
+def _chosen(x: dict, late: np.ndarray, early: np.ndarray, differ: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each late row all of early, or, if some are all but sure, the FIRST nearest of these alone (over: others are left out)."""
+    order = np.lexsort((x["id"][early], differ, late))
+    late, early, sure = late[order], early[order], sure[order]
+    first = np.searchsorted(late, late, side="left")
+    some = sure[first]  # the nearest comes first, and it is sure if any is
+    keep = ~some | ((np.arange(len(late)) - first < FIRST) & sure)
+    over = some & (np.searchsorted(late, late, side="right") - first > FIRST)
+    return late[keep], early[keep], over[keep].astype(np.int64)
 
 
 def _candidates(keys: list[str], limit: int, similarity: float, all_of_probe: bool):
-    """For each line and prefix word, earlier lines that may match: the FIRST nearest by bits (over: there are more), or all of them for probes."""
+    """For each line and prefix word, earlier lines that may match, as _chosen() picks them, or all of them for probes. Rows must be sorted by key inside their groups."""
     schema = pa.schema([("id", pa.int64()), ("to", pa.int64()), ("over", pa.int64()), ("key", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64())])
 
-    def rows(i, j, over) -> pa.RecordBatch:
-        zero = pa.nulls(len(i), pa.int64())
-        return batch_of(schema, i, j, over, zero, zero, zero)
+    def pick(x: dict, probe: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        swap = x["id"][i] < x["id"][j]
+        late, early, differ, sure = _matching(x, np.where(swap, j, i), np.where(swap, i, j), similarity)
+        if not len(late):
+            return
+        if probe is None:
+            late, early, over = _chosen(x, late, early, differ, sure)
+        else:
+            ok = probe[late].astype(bool)
+            late, early = late[ok], early[ok]
+            over = np.zeros(len(late), np.int64)
+        zero = pa.nulls(len(late), pa.int64())
+        yield batch_of(schema, x["id"][late], x["id"][early], over, zero, zero, zero)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, c, starts in grouped(batches, keys, limit):
@@ -161,43 +188,19 @@ def _candidates(keys: list[str], limit: int, similarity: float, all_of_probe: bo
                 continue
             key = c["key"].view(np.uint64)
             x = {"n": ((key >> np.uint64(POS_BITS)) & np.uint64((1 << N_BITS) - 1)).astype(np.int64), "pos": (key & np.uint64((1 << POS_BITS) - 1)).astype(np.int64), "id": c["id"], "b1": c["b1"].view(np.uint64), "b2": c["b2"].view(np.uint64)}
-            for i, j in small_pairs(starts, 24):
-                d = _may_match(x, i, x, j, similarity)
-                hit = np.flatnonzero(d < 999)
-                if len(hit):
-                    i, j, d = i[hit], j[hit], d[hit]
-                    late = np.where(x["id"][i] > x["id"][j], i, j)
-                    early = i + j - late
-                    if all_of_probe:
-                        ok = c["probe"][late].astype(bool)
-                        late, early = late[ok], early[ok]
-                        over = np.zeros(len(late), np.int64)
-                    else:
-                        order = np.lexsort((x["id"][early], d, late))
-                        late, early = late[order], early[order]
-                        nth = np.arange(len(late)) - np.searchsorted(late, late, side="left")
-                        many = np.searchsorted(late, late, side="right") - np.searchsorted(late, late, side="left") > FIRST
-                        late, early, over = late[nth < FIRST], early[nth < FIRST], many[nth < FIRST].astype(np.int64)
-                    yield rows(x["id"][late], x["id"][early], over)
-            for g in np.flatnonzero(np.diff(starts) > 24):
-                own = np.arange(starts[g], starts[g + 1])
-                own = own[np.argsort(x["n"][own], kind="stable")]
-                n = x["n"][own]
-                for s in range(0, len(own), 128):
-                    part = own[s : s + 128]
-                    near = own[np.searchsorted(n, similarity * n[s] - 1, "left") : np.searchsorted(n, n[min(s + 127, len(n) - 1)] / similarity + 1, "right")]
+            probe = c["probe"] if all_of_probe else None
+            for i, j in small_pairs(starts, 64):
+                yield from pick(x, probe, i, j)
+            for g in np.flatnonzero(np.diff(starts) > 64):
+                own, n = np.arange(starts[g], starts[g + 1]), x["n"][starts[g] : starts[g + 1]]
+                # a row and every row of its length window, before and behind, so that it sees all of its candidates at once
+                low, high = np.searchsorted(n, similarity * n - 1, "left"), np.searchsorted(n, n / similarity + 1, "right")
+                for s in range(0, len(own), 256):
+                    near = np.arange(low[s], high[min(s + 255, len(n) - 1)])
+                    part = np.arange(s, min(s + 256, len(own)))
                     i, j = np.repeat(part, len(near)), np.tile(near, len(part))
-                    d = np.where(x["id"][j] < x["id"][i], _may_match(x, i, x, j, similarity), 999).reshape(len(part), -1)
-                    if all_of_probe:
-                        a, b = np.nonzero((d < 999) & c["probe"][part].astype(bool)[:, None])
-                        over = np.zeros(len(a), np.int64)
-                    else:
-                        count = (d < 999).sum(1)
-                        first = np.argsort(d, axis=1, kind="stable")[:, :FIRST]
-                        a, k = np.nonzero(np.take_along_axis(d, first, axis=1) < 999)
-                        b, over = first[a, k], (count[a] > FIRST).astype(np.int64)
-                    if len(a):
-                        yield rows(x["id"][part[a]], x["id"][near[b]], over)
+                    ok = x["id"][own[i]] > x["id"][own[j]]
+                    yield from pick(x, probe, own[i[ok]], own[j[ok]])
 
     return run
 
@@ -209,8 +212,9 @@ def _joined(index: DataFrame, scratch: Scratch, similarity: float, limit: int, n
     """Candidate pairs (id, to, over). Words of more than limit lines are dealt out as pairs of chunks of them."""
     word = F.shiftrightunsigned("key", N_BITS + POS_BITS)
     x = index.withColumn("w", word)
-    found = x.repartition("w").sortWithinPartitions("w").mapInArrow(_candidates(["w"], limit, similarity, all_of_probe), _CANDIDATES)
+    found = x.repartition("w").sortWithinPartitions("key").mapInArrow(_candidates(["w"], limit, similarity, all_of_probe), _CANDIDATES)
     found = scratch.save(found, f"{name}-found")
+    scratch.settle()
     large = found.where("to is null").select("key", "id", "b1", "b2").withColumn("w", word)
     out = found.where("to is not null")
     if not large.isEmpty():
@@ -220,7 +224,7 @@ def _joined(index: DataFrame, scratch: Scratch, similarity: float, limit: int, n
             y = y.join(index.where("probe = 1").select("id").distinct().withColumn("probe", F.lit(1).cast("long")), "id", "left").fillna(0, ["probe"])
         y = y.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         y = y.withColumn("lo", F.least("c", "o").cast("long")).withColumn("hi", F.greatest("c", "o").cast("long")).drop("c", "o", "n")
-        more = y.repartition("w", "lo", "hi").sortWithinPartitions("w", "lo", "hi").mapInArrow(_candidates(["w", "lo", "hi"], 1 << 62, similarity, all_of_probe), _CANDIDATES)
+        more = y.repartition("w", "lo", "hi").sortWithinPartitions("w", "lo", "hi", "key").mapInArrow(_candidates(["w", "lo", "hi"], 1 << 62, similarity, all_of_probe), _CANDIDATES)
         out = out.union(scratch.save(more, f"{name}-more"))
     return out.groupBy("id", "to").agg(F.max("over").alias("over"))
 
@@ -258,9 +262,10 @@ def later_lines(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, limi
 
     Lines of the same words in turn meet by a grouped minimum; only the first goes on. Words are
     ordered by rarity in all documents, and an equality join on the prefixes, with length,
-    positional and bit filters, gives candidates: first the nearest few of each line and word; a
-    line of which none proves right and that has more is joined again with all of them. Candidates
-    are verified on the lines' whole texts.
+    positional and bit filters, gives candidates: all of them, but of those that match all but
+    surely by their bits only the nearest few of each line and word; a line of which none proves
+    right and that has more is joined again with all of them. Candidates are verified on the
+    lines' whole texts.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string"))
     kinds = ", ".join(f"{x} long" for x in _LINES)
@@ -275,6 +280,7 @@ def later_lines(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, limi
     first = lines.groupBy("s1", "s2").agg(F.min(place).alias("first"))
     ordered = first.select("first.*").repartitionByRange("doc_id", "th", "line").sortWithinPartitions("doc_id", "th", "line")
     ordered = scratch.save(ordered.withColumn("id", F.monotonically_increasing_id()), "line-firsts")
+    scratch.settle()
 
     def with_text(some: DataFrame) -> DataFrame:
         s = some.groupBy(F.col("doc_id").alias("s_doc"), F.col("th").alias("s_th")).agg(F.collect_list(F.struct("line", "id")).alias("lines"))
@@ -286,6 +292,7 @@ def later_lines(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, limi
     def verified(p: DataFrame, name: str) -> DataFrame:
         used = p.select("id").union(p.select("to")).distinct()
         texts = scratch.save(with_text(ordered.join(used, "id", "left_semi")).mapInArrow(_texts, "t_id long, line binary").dropDuplicates(["t_id"]), f"{name}-texts")
+        scratch.settle()
         x = p.join(texts, p.id == F.col("t_id")).select("id", "to", F.col("line").alias("a"))
         x = x.join(texts, F.col("to") == F.col("t_id")).select("id", "a", F.col("line").alias("b"))
         return scratch.save(x.mapInArrow(_verify(similarity), "id long").distinct(), f"{name}-verified")
@@ -299,6 +306,7 @@ def later_lines(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, limi
         probes = scratch.save(probes.select("key", "id", "b1", "b2", "probe"), "line-probes")
         more = scratch.save(_joined(probes, scratch, similarity, limit, "line-2", True).join(pairs, ["id", "to"], "left_anti"), "line-pairs-2")
         found = found.union(verified(more, "line-2")).distinct()
+    scratch.settle()
     gone = ordered.join(found, "id", "left_semi").select("doc_id", "th", "line")
     same = lines.join(first, ["s1", "s2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "line")
     return same.union(gone).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("later"))
