@@ -17,15 +17,16 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int) -> Iterator[tuple[str, dict[str, np.ndarray], np.ndarray]]:
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int, derived: dict[str, Callable] | None = None) -> Iterator[tuple[str, dict[str, np.ndarray], np.ndarray]]:
     """("groups", columns, starts) for runs of whole groups, all of at least two rows, and ("large", columns, _) for rows of groups over limit.
 
-    Batches must be sorted by keys. starts holds each group's first row, and the number of rows at its end.
+    Batches must be sorted by keys; derived ones are made from a batch's columns. starts holds each group's first row, and the number of rows at its end.
     """
     held: dict[str, np.ndarray] | None = None
     overflow = None  # the key of a group whose rows are being put off
     for batch in batches:
         cols = {n: column(batch, n) for n in batch.schema.names}
+        cols |= {n: f(cols) for n, f in (derived or {}).items()}
         if overflow is not None:
             same = np.logical_and.reduce([cols[k] == v for k, v in zip(keys, overflow, strict=True)])
             end = int(np.argmin(same)) if not same.all() else len(same)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,8 +44,10 @@ class Scratch:
 
     def settle(self) -> None:
         """Let Spark delete the shuffle files of steps that have been written: it does so when their plans are collected as garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # plans go with the first, the shuffles they alone held with the second
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(1)
 
     def drop(self, name: str) -> None:
         """Delete one of this object's own tables, once nothing reads it any more."""

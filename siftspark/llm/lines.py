@@ -16,8 +16,8 @@ from .repeats import _mix, _powers
 #: Hashed words that are counted for the order by rarity (any fixed order is right; a rare-first one is fast).
 COUNTED = 1 << 21
 COUNT_BLOCK = 1 << 15
-#: Rows of one token that meet in one task, and candidates that a line names for each token at first.
-GROUP_ROWS, FIRST = 8192, 3
+#: Rows of one token that meet in one task; candidates that a line names for each token at first, where more than MANY are all but sure.
+GROUP_ROWS, FIRST, MANY = 8192, 3, 16
 N_BITS, POS_BITS = 20, 16
 _table = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
 _space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -152,13 +152,14 @@ def _matching(x: dict, late: np.ndarray, early: np.ndarray, similarity: float) -
 
 
 def _chosen(x: dict, late: np.ndarray, early: np.ndarray, differ: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each late row all of early, or, if some are all but sure, the FIRST nearest of these alone (over: others are left out)."""
+    """For each late row all of early, or, if more than MANY are all but sure, the FIRST nearest of these alone (over: others are left out)."""
     order = np.lexsort((x["id"][early], differ, late))
     late, early, sure = late[order], early[order], sure[order]
     first = np.searchsorted(late, late, side="left")
-    some = sure[first]  # the nearest comes first, and it is sure if any is
-    keep = ~some | ((np.arange(len(late)) - first < FIRST) & sure)
-    over = some & (np.searchsorted(late, late, side="right") - first > FIRST)
+    upto = np.concatenate([[0], np.cumsum(sure)])
+    some = upto[np.searchsorted(late, late, side="right")] - upto[first] > MANY
+    keep = ~some | (np.arange(len(late)) - first < FIRST)
+    over = some
     return late[keep], early[keep], over[keep].astype(np.int64)
 
 
@@ -181,7 +182,7 @@ def _candidates(keys: list[str], limit: int, similarity: float, all_of_probe: bo
         yield batch_of(schema, x["id"][late], x["id"][early], over, zero, zero, zero)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, c, starts in grouped(batches, keys, limit):
+        for kind, c, starts in grouped(batches, keys, limit, {"w": lambda c: c["key"].view(np.uint64) >> np.uint64(N_BITS + POS_BITS)}):
             if kind == "large":
                 none = pa.nulls(len(c["id"]), pa.int64())
                 yield batch_of(schema, c["id"], none, none, c["key"], c["b1"], c["b2"])
@@ -211,8 +212,7 @@ _CANDIDATES = "id long, to long, over long, key long, b1 long, b2 long"
 def _joined(index: DataFrame, scratch: Scratch, similarity: float, limit: int, name: str, all_of_probe: bool = False) -> DataFrame:
     """Candidate pairs (id, to, over). Words of more than limit lines are dealt out as pairs of chunks of them."""
     word = F.shiftrightunsigned("key", N_BITS + POS_BITS)
-    x = index.withColumn("w", word)
-    found = x.repartition("w").sortWithinPartitions("key").mapInArrow(_candidates(["w"], limit, similarity, all_of_probe), _CANDIDATES)
+    found = index.repartition(word).sortWithinPartitions("key").mapInArrow(_candidates(["w"], limit, similarity, all_of_probe), _CANDIDATES)
     found = scratch.save(found, f"{name}-found")
     scratch.settle()
     large = found.where("to is null").select("key", "id", "b1", "b2").withColumn("w", word)
@@ -262,8 +262,8 @@ def later_lines(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, limi
 
     Lines of the same words in turn meet by a grouped minimum; only the first goes on. Words are
     ordered by rarity in all documents, and an equality join on the prefixes, with length,
-    positional and bit filters, gives candidates: all of them, but of those that match all but
-    surely by their bits only the nearest few of each line and word; a line of which none proves
+    positional and bit filters, gives candidates: all of them, but where very many match all but
+    surely by their bits only the nearest few of a line and word; a line of which none proves
     right and that has more is joined again with all of them. Candidates are verified on the
     lines' whole texts.
     """
