@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, lines, mixing, packing, quality, repeats, simhash, url_filter, vectors
 from .common import Scratch, table
 
-EVERY_20TH = F.expr("vec_id % 20 = 0")
+def every_20th() -> Column:
+    return F.col("vec_id") % 20 == 0
 
 
 def vocabulary() -> str:
@@ -20,7 +21,7 @@ def vocabulary() -> str:
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.exact_top_k(table(spark, sf_dir, "embeddings"), EVERY_20TH)
+    return vectors.exact_top_k(table(spark, sf_dir, "embeddings"), every_20th())
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_top_k(table(spark, sf_dir, "embeddings"), EVERY_20TH)
+    return vectors.near_top_k(table(spark, sf_dir, "embeddings"), every_20th())
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
