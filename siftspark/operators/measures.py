@@ -34,3 +34,44 @@ def recall_at(ranked: DataFrame, relevant: DataFrame, query: str, item: str, k:
     hit = ranked.where(F.col("rank") <= k).select(query, item).withColumn("hit", F.lit(1))
     x = relevant.select(query, item).distinct().join(hit, [query, item], "left")
     return x.groupBy(query).agg((F.count("hit") / F.count("*")).alias("recall"))
+
+
+def reconcile(pairs: DataFrame, expected: DataFrame, selected: Column, done: Column, cap: int) -> DataFrame:
+    """Per job: pairs, terminal, selected, and whether the pairs are as many as expected (job, expected) with no more than cap selected. Jobs without pairs stay."""
+    x = pairs.groupBy("job").agg(F.count("*").alias("pairs"), F.count_if(done).alias("terminal"), F.count_if(selected).alias("selected")).join(expected, "job", "full_outer")
+    x = x.fillna(0, ["pairs", "terminal", "selected", "expected"])
+    return x.withColumn("reconciled", (F.col("pairs") == F.col("expected")) & (F.col("selected") <= cap)).drop("expected")
+
+
+def cost_estimates(events: DataFrame, keys: list[str], prices: dict[tuple, tuple[float, float]]) -> DataFrame:
+    """Estimate of each group from prices of a million input and output tokens, six places; null without a price or any response with usage."""
+    rate = lambda i: F.coalesce(*[F.when(F.expr(" and ".join(f"`{k}` = '{v}'" for k, v in zip(keys, name, strict=True))), F.lit(p[i])) for name, p in prices.items()])
+    x = events.groupBy(*keys).agg(F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"), F.count_if("with_usage").alias("n"))
+    return x.select(*keys, F.when(F.col("n") > 0, F.round((F.col("i") * rate(0) + F.col("o") * rate(1)) / 1_000_000, 6)).alias("estimate"))
+
+
+def cutoff_ties(pairs: DataFrame, relevant: Column, cap: int) -> DataFrame:
+    """Per job with cap pairs at least: how many share the score at the cap, how many are above it, and the precision at the cap."""
+    w = Window.partitionBy("job").orderBy(F.desc("score"), "pair_id")
+    x = pairs.withColumn("ok", relevant).withColumn("n", F.row_number().over(w))
+    cut = x.where(F.col("n") == cap).select("job", F.col("score").alias("cut"))
+    return x.join(cut, "job").groupBy("job").agg(
+        F.count_if(F.col("score") == F.col("cut")).alias("tie_size"), F.count_if(F.col("score") > F.col("cut")).alias("above"), (F.count_if((F.col("n") <= cap) & F.col("ok")) / cap).alias("precision")
+    )
+
+
+def limit_error(message: Column) -> Column:
+    """struct<error_code, requested> of a provider's refusal: which limit it names and how many tokens were asked for."""
+    m = F.lower(message)
+    code = F.when(F.contains(F.replace(m, F.lit("_"), F.lit(" ")), F.lit("tokens per day")), "PROVIDER_DAILY_TOKEN_LIMIT").when(F.contains(m, F.lit("tokens per minute")), "PROVIDER_MINUTE_TOKEN_LIMIT")
+    n = F.nullif(F.regexp_extract(m, r"requested\s*[:=]?\s*(\d+)", 1), F.lit("")).cast("long")
+    return F.struct(code.otherwise("PROVIDER_RATE_LIMITED").alias("error_code"), n.alias("requested"))
+
+
+def dictionary_density(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Share of each text's words of two and more of the letters a to z that stand in the vocabulary's texts, two places; 0 without words."""
+    words = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)")), lambda w: w.rlike("^[a-z]{2,}$"))
+    known = vocabulary.select(F.explode(words(F.col("text"))).alias("w")).distinct().withColumn("hit", F.lit(1))
+    n = docs.select("doc_id", F.explode(words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    x = n.join(known, "w", "left").groupBy("doc_id").agg(F.round(F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)) / F.sum("n"), 2).alias("density"))
+    return docs.select("doc_id").join(x, "doc_id", "left").fillna(0.0, ["density"])

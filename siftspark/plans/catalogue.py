@@ -281,10 +281,10 @@ def stratified_sample(spark, d):
 
 
 @plan("""SELECT event_id, count(*) OVER w AS requests, sum(value) OVER w > 2000 AS over_limit FROM events
-WINDOW w AS (PARTITION BY event_type ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)""")
+WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)""")
 def stream_usage_window(spark, d):
-    e = table(spark, d, "events").withColumn("s", F.unix_timestamp(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("event_type").orderBy("s").rangeBetween(-3600, 0)
+    e = table(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("event_type").orderBy("s").rangeBetween(-3_600_000_000, 0)
     return e.select("event_id", F.count("*").over(w).alias("requests"), (F.sum("value").over(w) > 2000).alias("over_limit"))
 
 

@@ -2,6 +2,7 @@
 
 import glob
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 
 from siftspark.plans import ORACLES, PLANS
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def plain(v):
