@@ -18,7 +18,7 @@ from .tokens import encoder
 ROWS_PER_SALT = 2_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: UTF-8 characters encoded at once.
-CHARS_AT_ONCE = 2 << 20
+CHARS_AT_ONCE = 1 << 20
 
 
 def pieces(docs: DataFrame, vocabulary: str, limit: int = 4096, end_id: int = 1) -> DataFrame:

@@ -16,7 +16,7 @@ from .blocks import batch_of
 from .common import Scratch
 
 #: Word vectors: hashed words, components, non-zero components of an index vector, words cached by a worker.
-WORDS, SIZE, NONZERO, CACHE_WORDS = 1 << 14, 32, 4, 300_000
+WORDS, SIZE, NONZERO, CACHE_WORDS = 1 << 14, 32, 4, 100_000
 #: Shapes (a word with its letters and digits reduced to classes) have index vectors of their own.
 SHAPES, SHAPE_SIZE = 512, 32
 ROW_BLOCK = 256

@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 #: Cached words of one worker; the cache starts anew beyond it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 120_000
 _encoders: dict[str, WordEncoder] = {}
 #: The mark's byte, and white space (in Python or in the vocabulary's library) besides ASCII's.
 _ODD = re.compile("[\x01\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
