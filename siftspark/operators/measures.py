@@ -75,3 +75,24 @@ def dictionary_density(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     n = docs.select("doc_id", F.explode(words(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     x = n.join(known, "w", "left").groupBy("doc_id").agg(F.round(F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)) / F.sum("n"), 2).alias("density"))
     return docs.select("doc_id").join(x, "doc_id", "left").fillna(0.0, ["density"])
+
+
+def counter_deltas(samples: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """Per key: last less first value by the order of samples, and the peak."""
+    delta = F.max_by(value, at) - F.min_by(value, at)
+    return samples.groupBy(key).agg(F.round(delta, 6).alias("delta"), F.max(value).alias("peak"))
+
+
+def ranking_checks(ranked: DataFrame, key: str, item: str) -> DataFrame:
+    """Per key of (key, item, rank, score): whether items are unique, ranks run from 1 without gaps, and scores never rise with the rank."""
+    before = F.lag("score").over(Window.partitionBy(key).orderBy("rank", item))
+    x = ranked.withColumn("rise", F.coalesce(F.col("score") > before, F.lit(False)))
+    return x.groupBy(key).agg(
+        (F.count_distinct(item) == F.count("*")).alias("unique"), ((F.count_distinct("rank") == F.count("*")) & (F.min("rank") == 1) & (F.max("rank") == F.count("*"))).alias("contiguous"),
+        (~F.bool_or("rise")).alias("sorted"),
+    )
+
+
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that stand for more than one row, with their number of rows."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -299,3 +299,26 @@ def provider_limits(spark, d):
  d AS (SELECT doc_id, round(count(v.w) / count(*), 2) AS density FROM t LEFT JOIN v USING (w) GROUP BY doc_id) SELECT doc_id, coalesce(density, 0) AS density FROM documents LEFT JOIN d USING (doc_id)""")
 def dictionary_density(spark, d):
     return measures.dictionary_density(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("text"))
+
+
+@plan("SELECT event_type AS counter, round(arg_max(value, event_id) - arg_min(value, event_id), 6) AS delta, max(value) AS peak FROM events GROUP BY event_type")
+def counter_deltas(spark, d):
+    return measures.counter_deltas(table(spark, d, "events").withColumnRenamed("event_type", "counter"), "counter", "event_id", "value")
+
+
+@plan(f"""WITH {PAIRS}, r AS (SELECT job, CASE WHEN job LIKE '1%' AND rank = 7 THEN 0 ELSE pair_id END AS pair_id, CASE WHEN job LIKE '2%' AND rank > 50 THEN rank + 1 ELSE rank END AS rank, CASE WHEN job LIKE '3%' AND rank = 9 THEN 0 ELSE score END AS score
+ FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY score DESC, pair_id) AS rank FROM pairs)), l AS (SELECT *, lag(score) OVER (PARTITION BY job ORDER BY rank) AS before FROM r)
+SELECT job, count(DISTINCT pair_id) = count(*) AS "unique", max(rank) = count(*) AND min(rank) = 1 AS contiguous, count(*) FILTER (score > before) = 0 AS sorted FROM l GROUP BY job""")
+def ranking_checks(spark, d):
+    x = lifecycle.ranks(pairs(spark, d), "job", [F.desc("score"), F.col("pair_id")])
+    r, job = F.col("place"), F.col("job")
+    x = x.select(
+        "job", F.when(job.startswith("1") & (r == 7), 0).otherwise(F.col("pair_id")).alias("pair_id"), F.when(job.startswith("2") & (r > 50), r + 1).otherwise(r).alias("rank"),
+        F.when(job.startswith("3") & (r == 9), 0.0).otherwise(F.col("score")).alias("score"),
+    )
+    return measures.ranking_checks(x, "job", "pair_id")
+
+
+@plan(f"WITH {PAIRS} SELECT doc_id, job, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) > 1")
+def duplicate_probe(spark, d):
+    return measures.repeated_keys(pairs(spark, d), ["doc_id", "job"])
