@@ -96,3 +96,14 @@ def ranking_checks(ranked: DataFrame, key: str, item: str) -> DataFrame:
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that stand for more than one row, with their number of rows."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+#: MiB in each unit of memory.
+MEMORY = {"B": 1 / 1048576, "KiB": 1 / 1024, "MiB": 1.0, "GiB": 1024.0, "kB": 1000 / 1048576, "MB": 1000000 / 1048576, "GB": 1000000000 / 1048576}
+
+
+def memory_mib(text: Column) -> Column:
+    """The first amount of "12.5MiB / 2GiB" in MiB; 0 where it cannot be read."""
+    own = F.replace(F.get(F.split(text, "/"), F.lit(0)), F.lit(" "), F.lit(""))
+    unit = F.try_element_at(F.create_map(*[F.lit(v) for kv in MEMORY.items() for v in kv]), F.regexp_extract(own, r"^[\d.]+([A-Za-z]+)", 1))
+    return F.coalesce(F.regexp_extract(own, r"^([\d.]+)[A-Za-z]+", 1).try_cast("double") * unit, F.lit(0.0))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,3 +71,28 @@ def dense_top(vectors: DataFrame, queries: DataFrame, key: str, k: int = 10) ->
     x = vectors.join(queries, key).select(key, "id", F.round(cosine(F.col("v"), F.col("q")), 4).alias("score"))
     w = Window.partitionBy(key).orderBy(F.desc("score"), "id")
     return x.withColumn("dense_rank", F.row_number().over(w)).where(F.col("dense_rank") <= k)
+
+
+def encode(texts: DataFrame, encoder: Callable[[], Callable[[pd.Series], np.ndarray]]) -> DataFrame:
+    """(id, text) to (id, vector). encoder() loads a model once for each task; the model maps a batch of texts to a matrix. Null texts count as empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = encoder()
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "vector": list(model(b["text"].fillna("")).astype(float))})
+
+    return texts.select(F.col("id").cast("long"), "text").mapInPandas(run, "id long, vector array<double>")
+
+
+def reuse(wanted: DataFrame, cached: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (id, hash) with action: CACHED where the id has a vector, REUSED where the same content has one, else COMPUTE."""
+    c, k = cached.select("id").distinct().withColumn("_c", F.lit(True)), known.select("hash").distinct().withColumn("_k", F.lit(True))
+    action = F.when(F.col("_c"), "CACHED").when(F.col("_k"), "REUSED").otherwise("COMPUTE")
+    return wanted.join(c, "id", "left").join(k, "hash", "left").withColumn("action", action).drop("_c", "_k")
+
+
+def rerank(candidates: DataFrame, score: Column, keys: list[str], rank: str, top: int = 2) -> DataFrame:
+    """The best of each query by score (four places), ties in the order of rank."""
+    x = candidates.withColumn("score", F.round(score, 4))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), rank)
+    return x.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)

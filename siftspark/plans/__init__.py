@@ -1,6 +1,6 @@
 """Registered queries over the given tables, with the same questions in SQL."""
 
-from . import screening  # noqa: F401  (registers its plans)
+from . import matching, reports, screening  # noqa: F401  (register their plans)
 from .catalogue import ORACLES, PLANS
 
 __all__ = ["ORACLES", "PLANS"]

@@ -36,3 +36,16 @@ def versioned_upsert(old: DataFrame, new: DataFrame, key: str, version: str, val
     action = F.when(F.col("ok").isNull(), "INSERTED").when(changed, "UPDATED").otherwise("KEPT")
     pick = lambda a, b: F.when(changed, F.col(b)).otherwise(F.col(a))
     return x.select(F.coalesce("ok", "nk").alias(key), pick("ov", "nv").alias(version), pick("oval", "nval").alias(value), action.alias("action"))
+
+
+def batch_limits(files: DataFrame, batch: str, most_files: int, most_bytes: int) -> DataFrame:
+    """(batch, length) to one row for each batch: files, bytes, code. A batch over a limit is rejected whole."""
+    x = files.groupBy(batch).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return x.withColumn("code", F.when(F.col("files") > most_files, "TOO_MANY_FILES").when(F.col("bytes") > most_bytes, "BATCH_TOO_LARGE").otherwise("ACCEPTED"))
+
+
+def json_records(lines: DataFrame, line: str, schema: str) -> DataFrame:
+    """Lines of a log with the fields of the JSON object that starts at their first brace; lines without a whole one are left out."""
+    raw = F.when(F.instr(line, "{") > 0, F.substr(F.col(line), F.instr(line, "{")))
+    x = lines.withColumn("_r", F.from_json(raw, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    return x.where("_r is not null and _r._bad is null").select(*[c for c in lines.columns if c != line], "_r.*").drop("_bad")
