@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspark.sources.shared import shared_folder
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """A file stream of events; ts as a timestamp in the session's time zone."""
@@ -17,10 +19,24 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """The stream's output once all files there are have been read; meant for results of bounded size."""
-    name = f"stream_{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """The stream's output once all files there are have been read, in complete mode that of its last batch.
+
+    Executors write each batch to a table of its own under the shared checkpoint folder, so no result passes through the driver.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    batches: list[int] = []
+
+    def write(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={k}")
+        batches.append(k)
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}-checkpoint").foreachBatch(write)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    wanted = [max(batches)] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(stream.schema).parquet(*[f"{root}/batch={k}" for k in wanted])
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
