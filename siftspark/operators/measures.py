@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def distribution(value: str) -> list[Column]:
-    """count, mean, p50 and p95 (linear interpolation) and max, 3 places; no rows give nulls."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return [
-        F.count(value).alias("count"), F.round(F.avg(value), 3).alias("mean"), F.round(F.element_at(p, 1), 3).alias("p50"),
-        F.round(F.element_at(p, 2), 3).alias("p95"), F.round(F.max(value), 3).alias("max"),
-    ]
+from siftspark.sources.shared import shared_folder
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...]) -> DataFrame:
+    """keys and p0, p1, ...: exact percentiles of each group by linear interpolation, nulls left out.
+
+    Each value of a group is counted once; values lie in ranges by (keys, value), and prefix sums of the ranges'
+    counts tell which few ranges hold the ranks wanted. Only these are ordered, so no task holds a whole group.
+    """
+    path = f"{shared_folder(df.sparkSession)}/percentiles-{uuid.uuid4().hex}"
+    c = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    c = c.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id())
+    c.write.parquet(path)
+    c = df.sparkSession.read.schema(c.schema).parquet(path)
+    sums = c.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in"))
+    w = Window.partitionBy(*keys)
+    sums = sums.withColumn("_start", F.sum("_in").over(w.orderBy("_part")) - F.col("_in")).withColumn("_all", F.sum("_in").over(w))
+    at = [(F.col("_all") - 1) * F.lit(float(p)) for p in ps]
+    ranks = [r for x in at for r in (F.floor(x), F.ceil(x))]
+    held = reduce(or_, [(F.col("_start") <= r) & (r < F.col("_start") + F.col("_in")) for r in ranks])
+    few = sums.where(held).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), "_start", "_all")
+    x = c.join(few, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_part") == F.col("_p")))
+    upto = F.col("_start") + F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
+    x = x.withColumn("_upto", upto).groupBy(*keys).agg(F.first("_all").alias("_all"), *[
+        F.max(F.when((F.col("_upto") - F.col("_n") <= r) & (r < F.col("_upto")), F.col("_v"))).alias(f"_r{i}") for i, r in enumerate(ranks)
+    ])
+    low = lambda i: F.col(f"_r{2 * i}")
+    high = lambda i: F.col(f"_r{2 * i + 1}")
+    between = lambda i, a: F.when(low(i) == high(i), low(i)).otherwise((F.ceil(a) - a) * low(i) + (a - F.floor(a)) * high(i))
+    return x.select(*keys, *[between(i, a).alias(f"p{i}") for i, a in enumerate(at)])
+
+
+def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per group: count, mean, p50 and p95 (linear interpolation) and max, 3 places; no values give nulls, and no keys one row."""
+    p = percentiles(df.withColumn("_one", F.lit(1)), ["_one", *keys], value, (0.5, 0.95))
+    p = p.select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_one", "p0", "p1")
+    x = df.groupBy(*keys).agg(F.count(value).alias("count"), F.round(F.avg(value), 3).alias("mean"), F.round(F.max(value), 3).alias("max"))
+    x = x.join(p, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys], F.col("_one") == 1), "left")
+    return x.select(*keys, "count", "mean", F.round("p0", 3).alias("p50"), F.round("p1", 3).alias("p95"), "max")
 
 
 def nearest_rank(df: DataFrame, key: str, value: str, p: float = 0.95) -> DataFrame:

@@ -231,13 +231,13 @@ STATS = "count(value) AS count, round(avg(value), 3) AS mean, round(quantile_con
 
 @plan(f"SELECT {STATS} FROM events")
 def latency_distribution(spark, d):
-    return table(spark, d, "events").agg(*measures.distribution("value"))
+    return measures.distribution(table(spark, d, "events"), [], "value")
 
 
 @plan(f"SELECT event_type AS stage, {STATS} FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' GROUP BY event_type")
 def stage_latency(spark, d):
     e = table(spark, d, "events").where("ts >= timestamp_ntz '2024-01-05' and ts < timestamp_ntz '2024-01-25'")
-    return e.groupBy(F.col("event_type").alias("stage")).agg(*measures.distribution("value"))
+    return measures.distribution(e.withColumnRenamed("event_type", "stage"), ["stage"], "value")
 
 
 @plan("SELECT count(*) AS kept, (SELECT 2 * count(*) FROM events) - count(*) AS duplicates FROM (SELECT DISTINCT * FROM events)")
