@@ -21,26 +21,46 @@ IDENTITIES = {
 PRIORITIES = ("required", "preferred", "context")
 
 
-def _flexible(term: str) -> str:
-    """Pattern of a name whose parts may be joined by blanks, dots, hyphens or nothing, whole words only."""
-    dot = "." * term.startswith(".")
-    return r"(?<!\w)" + re.escape(dot) + r"[\s._-]*".join(map(re.escape, re.split(r"[\s._-]+", term[len(dot) :]))) + r"(?!\w)"
+#: Fixed value: what may stand, or be missing, between the parts of a name.
+JOINT = r"[\s._-]*"
+
+
+def loose(name: str) -> str:
+    """Pattern of a name as a whole word, whatever joins its parts; its first character counts as it is, a dot too."""
+    rest = re.sub(r"(?:\\?[\s._-])+", lambda _: JOINT, re.escape(name[1:]))
+    return rf"(?<!\w){re.escape(name[:1])}{rest}(?!\w)"
+
+
+#: The lexical form, longer names first: patterns of case-folded names and the token for each.
+REWRITES = [(loose(name.casefold()), token) for name, token in sorted(((n, t) for t, names in IDENTITIES.items() for n in names), key=lambda p: -len(p[0]))]
+
+
+def _folded(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFKC").str.casefold()
 
 
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Compatibility composition and case folding, which Spark has no function for."""
-    return text.str.normalize("NFKC").str.casefold()
+    return _folded(text)
 
 
 def lexical(text: Column) -> Column:
     """Words between blanks, each technical name as one token; the same again when applied to its own result."""
     x = folded(text)
-    for alias, token in sorted(((a, t) for t, names in IDENTITIES.items() for a in names), key=lambda p: -len(p[0])):
-        x = F.regexp_replace(x, f"(?iU){_flexible(alias)}", token)
+    for pattern, token in REWRITES:
+        x = F.regexp_replace(x, f"(?U){pattern}", token)
     return F.array_join(F.regexp_extract_all(x, F.lit(r"(?U)([^\W_]+)")), " ")
 
 
+def lexical_terms(terms: list[str]) -> list[str]:
+    """lexical() for the terms of a profile or query, on the driver: a bounded vocabulary."""
+    x = _folded(pd.Series(terms, dtype="object"))
+    for pattern, token in REWRITES:
+        x = x.str.replace(pattern, token, regex=True)
+    return x.str.findall(r"[^\W_]+").str.join(" ").tolist()
+
+
 def sparse_top(texts: DataFrame, concepts: list[tuple[str, str, tuple[str, ...]]], k: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, id, lexical) ranked by the concepts (name, priority, phrases) found: by required, preferred, context hits, then id.
 
