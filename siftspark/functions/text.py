@@ -36,3 +36,12 @@ def excerpt(text: Column, needle: Column, before: int = 80, after: int = 180) ->
     """Text around the first hit of needle (any case), null without one."""
     at = F.instr(F.lower(text), F.lower(needle))
     return F.when(at > 0, F.substr(text, F.greatest(at - before, F.lit(1)), at + after - F.greatest(at - before, F.lit(1))))
+
+
+def entropy(text: Column) -> Column:
+    """Shannon entropy of a text's characters, case-sensitive, 2 places; empty and null texts have 0. Row by row: a character's count is what its removal takes away."""
+    n = F.length(text)
+    part = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
+    chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    x = F.aggregate(chars, F.lit(0.0), lambda s, c: s - part(c) * F.log2(part(c)))
+    return F.when(n > 0, F.round(x, 2) + 0.0).otherwise(0.0)

@@ -13,17 +13,6 @@ RESERVED = r"(?i)</?(candidate_data|job_data|system)>"
 HIDDEN = 5
 
 
-def entropy(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Shannon entropy of each text's characters, case-sensitive, 2 places; empty texts have 0.
-
-    Counts by (document, character) combine before the shuffle, so a long text is not held whole.
-    """
-    chars = docs.select(key, F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy(key, "c").agg(F.count("*").alias("n"))
-    x = chars.groupBy(key).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    x = x.select(key, F.round(F.log2("total") - F.col("s") / F.col("total"), 2).alias("entropy"))
-    return docs.select(key).join(x, key, "left").fillna(0.0, ["entropy"])
-
-
 def injection_reasons(rows: DataFrame) -> DataFrame:
     """Adds reasons: OVERRIDE, RESERVED_TAG and HIDDEN_TEXT, those that hold, in this order."""
     override = F.lit(False)

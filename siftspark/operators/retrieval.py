@@ -116,3 +116,22 @@ def rerank(candidates: DataFrame, score: Column, keys: list[str], rank: str, top
     x = candidates.withColumn("score", F.round(score, 4))
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), rank)
     return x.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+
+
+def pair_scorer(loader: Callable[[], Callable[[pd.Series, pd.Series], pd.Series]]):
+    """A column function of (query, text) from a model that loader() loads once for each task and that scores batches."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = loader()
+        for queries, texts in batches:
+            yield model(queries.fillna(""), texts.fillna(""))
+
+    return score
+
+
+def query_actions(queries: DataFrame, cached: DataFrame, model: str, version: str) -> DataFrame:
+    """Distinct queries (job, category, query) with hash and action: CACHED where a vector of their hash, model and version is known, else COMPUTE."""
+    q = queries.select("job", "category", "query").distinct().withColumn("hash", F.sha2("query", 256))
+    c = cached.where((F.col("model") == model) & (F.col("version") == version)).select("job", "category", "hash").distinct().withColumn("_c", F.lit(True))
+    return q.join(c, ["job", "category", "hash"], "left").withColumn("action", F.when(F.col("_c"), "CACHED").otherwise("COMPUTE")).drop("_c")

@@ -100,7 +100,7 @@ def checksum_verify(spark, d):
  e AS (SELECT doc_id, round(-sum(n / t * log2(n / t)), 2) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS t FROM n) GROUP BY doc_id)
 SELECT doc_id, coalesce(entropy, 0) AS entropy FROM documents LEFT JOIN e USING (doc_id)""")
 def doc_entropy(spark, d):
-    return documents.entropy(table(spark, d, "documents").select("doc_id", "text"))
+    return table(spark, d, "documents").select("doc_id", tx.entropy(F.col("text")).alias("entropy"))
 
 
 @plan(f"SELECT doc_id, regexp_replace(text, '{tx.MAIL}', '{tx.MAIL_MASK}', 'g') AS text FROM documents")

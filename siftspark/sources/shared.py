@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder is made only where the session names none."""
+    """``spark.checkpoint.dir``; where the session names none, a folder is made for a driver without executors, and a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="siftspark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
