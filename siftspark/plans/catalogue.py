@@ -288,15 +288,15 @@ def stream_usage_window(spark, d):
     return e.select("event_id", F.count("*").over(w).alias("requests"), (F.sum("value").over(w) > 2000).alias("over_limit"))
 
 
-@plan("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total, max(value) AS most FROM events GROUP BY ALL")
+@plan("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total, max(value) AS most FROM events WHERE date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL")
 def stream_latency(spark, d):
-    out = streams.run_to_end(streams.hourly(streams.event_stream(spark, f"{d}/events.parquet")), "complete")
+    out = streams.run_to_end(streams.hourly(streams.event_stream(spark, f"{d}/events.parquet")), "append")
     return out.withColumn("hour", F.col("hour").cast("timestamp_ntz")).withColumn("total", F.round("total", 6))
 
 
 @plan("""WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS new FROM events),
  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 90 MINUTE <= (SELECT max(ts) FROM events)""")
 def stream_sessions(spark, d):
-    out = streams.run_to_end(streams.sessions(streams.event_stream(spark, f"{d}/events.parquet")), "complete")
+    out = streams.run_to_end(streams.sessions(streams.event_stream(spark, f"{d}/events.parquet")), "append")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))

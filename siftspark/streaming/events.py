@@ -40,13 +40,13 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
 
 
 def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Per hour and type: events, total and largest value; events later than the watermark are dropped."""
+    """Per hour and type: events, total and largest value, once the hour is closed; in append mode events later than the watermark are dropped."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type")
     x = w.agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("most"))
     return x.select(F.col("w.start").alias("hour"), "event_type", "n", "total", "most")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions of each user, closed by a gap."""
+    """Sessions of each user, closed by a gap; in append mode once nothing can be added."""
     x = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return x.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
