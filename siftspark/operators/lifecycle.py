@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
 from .ranking import TERMINAL
 
 
@@ -58,4 +59,5 @@ def pool_order(key: str, descending: bool, item: str = "pair_id") -> list[Column
 
 
 def ranks(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    """Adds place in each group, which may be of any size."""
+    return numbered(df, group, order)

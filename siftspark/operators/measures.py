@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from siftspark.sources.shared import shared_folder
 
+from .numbering import numbered
 
-def percentiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...]) -> DataFrame:
-    """keys and p0, p1, ...: exact percentiles of each group by linear interpolation, nulls left out.
+
+def percentiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...], nearest: bool = False) -> DataFrame:
+    """keys and p0, p1, ...: exact percentiles of each group by linear interpolation, or the values at the nearest ranks ceil(p n), nulls left out.
 
     Each value of a group is counted once; values lie in ranges by (keys, value), and prefix sums of the ranges'
     counts tell which few ranges hold the ranks wanted. Only these are ordered, so no task holds a whole group.
@@ -26,7 +28,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...
     sums = c.groupBy(*keys, "_part").agg(F.sum("_n").alias("_in"))
     w = Window.partitionBy(*keys)
     sums = sums.withColumn("_start", F.sum("_in").over(w.orderBy("_part")) - F.col("_in")).withColumn("_all", F.sum("_in").over(w))
-    at = [(F.col("_all") - 1) * F.lit(float(p)) for p in ps]
+    at = [F.greatest(F.ceil(F.col("_all") * F.lit(float(p))), F.lit(1)) - 1 if nearest else (F.col("_all") - 1) * F.lit(float(p)) for p in ps]
     ranks = [r for x in at for r in (F.floor(x), F.ceil(x))]
     held = reduce(or_, [(F.col("_start") <= r) & (r < F.col("_start") + F.col("_in")) for r in ranks])
     few = sums.where(held).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), "_start", "_all")
@@ -52,9 +54,7 @@ def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def nearest_rank(df: DataFrame, key: str, value: str, p: float = 0.95) -> DataFrame:
     """The value at rank ceil(p n) of each key."""
-    w = Window.partitionBy(key)
-    x = df.withColumn("r", F.row_number().over(w.orderBy(value))).withColumn("n", F.count("*").over(w))
-    return x.where(F.col("r") == F.ceil(F.col("n") * p)).select(key, F.col(value).alias("p95"))
+    return percentiles(df, [key], value, (p,), nearest=True).withColumnRenamed("p0", "p95")
 
 
 def set_overlap(sets: DataFrame, name: str, item: str) -> DataFrame:
@@ -88,11 +88,10 @@ def cost_estimates(events: DataFrame, keys: list[str], prices: dict[tuple, tuple
 def cutoff_ties(pairs: DataFrame, relevant: Column, cap: int) -> DataFrame:
     """Per job with cap pairs at least: how many share the score at the cap, how many are above it, and the precision at the cap."""
     w = Window.partitionBy("job").orderBy(F.desc("score"), "pair_id")
-    x = pairs.withColumn("ok", relevant).withColumn("n", F.row_number().over(w))
-    cut = x.where(F.col("n") == cap).select("job", F.col("score").alias("cut"))
-    return x.join(cut, "job").groupBy("job").agg(
-        F.count_if(F.col("score") == F.col("cut")).alias("tie_size"), F.count_if(F.col("score") > F.col("cut")).alias("above"), (F.count_if((F.col("n") <= cap) & F.col("ok")) / cap).alias("precision")
-    )
+    top = pairs.withColumn("ok", relevant).withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap)  # the first cap of a group are found before the shuffle
+    cut = top.groupBy("job").agg(F.min(F.when(F.col("n") == cap, F.col("score"))).alias("cut"), (F.count_if("ok") / cap).alias("precision")).where("cut is not null")
+    x = pairs.join(cut, "job").groupBy("job")
+    return x.agg(F.count_if(F.col("score") == F.col("cut")).alias("tie_size"), F.count_if(F.col("score") > F.col("cut")).alias("above"), F.max("precision").alias("precision"))
 
 
 def limit_error(message: Column) -> Column:
@@ -120,8 +119,10 @@ def counter_deltas(samples: DataFrame, key: str, at: str, value: str) -> DataFra
 
 def ranking_checks(ranked: DataFrame, key: str, item: str) -> DataFrame:
     """Per key of (key, item, rank, score): whether items are unique, ranks run from 1 without gaps, and scores never rise with the rank."""
-    before = F.lag("score").over(Window.partitionBy(key).orderBy("rank", item))
-    x = ranked.withColumn("rise", F.coalesce(F.col("score") > before, F.lit(False)))
+    x = numbered(ranked, key, [F.col("rank"), F.col(item)], "_at")
+    last = x.select(F.col(key).alias("_k"), (F.col("_at") + 1).alias("_next"), F.col("score").alias("_before"))
+    x = x.join(last, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_at") == F.col("_next")), "left")
+    x = x.withColumn("rise", F.coalesce(F.col("score") > F.col("_before"), F.lit(False)))
     return x.groupBy(key).agg(
         (F.count_distinct(item) == F.count("*")).alias("unique"), ((F.count_distinct("rank") == F.count("*")) & (F.min("rank") == 1) & (F.max("rank") == F.count("*"))).alias("contiguous"),
         (~F.bool_or("rise")).alias("sorted"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 #: Pair states from which nothing changes, and retrieval weights.
 TERMINAL = ("EXTRACTION_FAILED", "FILTER_REJECTED", "PROCESSING_FAILED", "CUTOFF_EXCLUDED", "SUCCESS", "REVIEW_REQUIRED", "EVALUATION_FAILED")
 CAP, RRF_K = 15, 60
@@ -32,10 +34,8 @@ def pool_cutoff(pairs: DataFrame, ready: Column, done: Column, cap: int = CAP) -
     """
     p = pairs.withColumn("ready", ready)
     closed = p.groupBy("job").agg(F.bool_and(F.col("ready") | done).alias("closed")).where("closed").select("job")
-    w = Window.partitionBy("job").orderBy(F.desc("score"), "pair_id")
-    p = p.where("ready").join(closed, "job", "left_semi").withColumn("rank", F.row_number().over(w))
-    nth = F.sum(F.col("eligible").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    state = F.when(~F.col("eligible"), "REVIEW_REQUIRED").when(nth <= cap, "SHORTLISTED").otherwise("CUTOFF_EXCLUDED")
+    p = numbered(p.where("ready").join(closed, "job", "left_semi"), "job", [F.desc("score"), F.col("pair_id")], "rank", ("eligible", "nth"))
+    state = F.when(~F.col("eligible"), "REVIEW_REQUIRED").when(F.col("nth") <= cap, "SHORTLISTED").otherwise("CUTOFF_EXCLUDED")
     return p.select("job", "pair_id", "rank", state.alias("outcome"))
 
 

@@ -129,8 +129,9 @@ def _outcomes(spark, d):
     k, rules = F.col("pair_id"), F.col("rules")
     x = pairs(spark, d).withColumn("rules", F.when(k % 10 == 1, "FAIL").when(k % 10 == 2, "REVIEW").when(k % 10 > 2, "PASS")).withColumn("readable", k % 17 != 0)
     able = F.col("eligible") & F.col("readable") & F.coalesce(rules != "FAIL", F.lit(False))
-    w = Window.partitionBy("job").orderBy(F.desc("score"), "pair_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("place", F.when(able, F.sum(able.cast("int")).over(w)))
+    w = Window.partitionBy("job").orderBy(F.desc("score"), "pair_id")
+    first = x.where(able).select("pair_id", F.row_number().over(w).alias("place")).where("place <= 15")  # only the first of each job have a place, found before the shuffle
+    x = x.join(first, "pair_id", "left")
     judged = F.when(k % 3 == 1, "SUCCESS").when(k % 3 == 2, "REVIEW_REQUIRED")
     return x.withColumn("outcome", cascade.outcome(rules, F.col("readable"), F.col("place"), 15, rules == "REVIEW", judged))
 
