@@ -21,13 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables written to the shared checkpoint folder, to cut lineage and survive lost executors.
 
-    The folder comes from ``spark.checkpoint.dir``; one is made only where the session names none.
+    The folder comes from ``spark.checkpoint.dir``; where the session names none, one is made for a
+    driver without executors, and a cluster is refused, as its executors don't share a folder of the driver's.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if root is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="siftspark-")
             spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root.rstrip('/')}/siftspark-{uuid.uuid4().hex}"

@@ -19,18 +19,18 @@ COUNT_BLOCK = 1 << 15
 #: Rows of one token that meet in one task; candidates that a line names for each token at first, where more than MANY are all but sure.
 GROUP_ROWS, FIRST, MANY = 8192, 3, 16
 N_BITS, POS_BITS = 20, 16
-_table = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
-_space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+TABLE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash, line number) of each word of a buffer; A-Z count as lower case, lines end at \\n."""
     raw = np.frombuffer(data.lower(), np.uint8)
-    space = _space[raw]
+    space = SPACE[raw]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     power, inverse = _powers(len(raw))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_table[raw] * power[: len(raw)])])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(TABLE[raw] * power[: len(raw)])])
     line = np.cumsum(raw == 10)
     return _mix((sums[end] - sums[start]) * inverse[start]), line[start] if len(raw) else line
 

@@ -46,7 +46,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1),
     (the target, rounded) is cut exactly: whole epochs repeat all documents, then the order is read
     until the budget ends, the last document being taken in part.
 
-    Returns doc_id, source, size, source_size, target, taken, key. Null or blank text: size 0 and taken 0.
+    Returns doc_id, size, source_size, target, taken, source, key. Null or blank text: size 0 and taken 0.
     Null sources form one source. Null doc_ids share the key of the empty string. Repeated rows
     count each time (ties are ordered by doc_id and size). Other columns are ignored.
     """
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1),
     rest = budget - whole * F.col("source_size")
     left = F.least(F.col("size"), F.greatest(F.lit(0), rest - (F.col("start") + F.col("upto") - F.col("size"))))
     taken = (whole * F.col("size") + left).cast("long")
-    return x.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "key")
+    return x.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "key")
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:

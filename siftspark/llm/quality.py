@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batch_of
-from .common import Scratch
-
-#: Word vectors: hashed words, components, non-zero components of an index vector, words cached by a worker.
-WORDS, SIZE, NONZERO, CACHE_WORDS = 1 << 14, 32, 4, 100_000
-#: Shapes (a word with its letters and digits reduced to classes) have index vectors of their own.
-SHAPES, SHAPE_SIZE = 512, 32
+from .common import CHUNK_BYTES
+from .lines import SPACE, TABLE
+from .repeats import _mix, _powers
+
+#: Word vectors: hashed words, components, non-zero components of an index vector.
+WORDS, SIZE, NONZERO = 1 << 14, 32, 4
+#: Shapes (a word with its letters and digits reduced to classes, the first SHAPE_PARTS of them) have index vectors of their own.
+SHAPES, SHAPE_SIZE, SHAPE_PARTS = 512, 32, 8
 ROW_BLOCK = 256
-_SHAPE = ((re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"\d+"), "0"))
-_known: dict[bytes, tuple[int, int]] = {}
+#: Bytes of words at their ends that don't count, and classes of bytes: letters, capitals, digits, all others their own.
+_punctuation = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
+_classes = np.arange(256, dtype=np.uint8)
+_classes[97:123] = _classes[128:] = ord("a")
+_classes[65:91] = ord("A")
+_classes[48:58] = ord("0")
 
 
 def index_vectors(rows: int, size: int, seed: int) -> np.ndarray:
@@ -33,52 +37,77 @@ def index_vectors(rows: int, size: int, seed: int) -> np.ndarray:
     return out
 
 
-def _look_up(word: bytes) -> tuple[int, int]:
-    text = word.decode("utf-8", "replace")
-    shape = text
-    for pattern, to in _SHAPE:
-        shape = pattern.sub(to, shape)
-    return zlib.crc32(text.lower().strip(".,;:!?").encode("utf-8", "replace")) % WORDS, zlib.crc32(shape[:8].encode("utf-8", "replace")) % (SHAPES - 1) + 1
-
-
-def words_of(text: str | None) -> np.ndarray:
-    """(hashed word, hashed shape) of each word between ASCII white space; shape 0 marks a word equal to the one before."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    if len(_known) > CACHE_WORDS:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = _look_up(w)
-    out = np.array(list(map(_known.__getitem__, words)), np.int32).reshape(-1, 2)
-    same = np.fromiter((a == b for a, b in zip(words, words[1:], strict=False)), bool, max(0, len(words) - 1))
-    out[1:][same, 1] = 0
-    return out
+def coded(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of a buffer, between ASCII white space: where it starts, the hash of its bytes, its hashed word and its hashed shape.
+
+    The hashed word is of its lower case (ASCII and Latin-1) without punctuation at its ends.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate([[True], SPACE[raw], [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    shape = _classes[raw]
+    low = np.frombuffer(data.lower(), np.uint8).copy()
+    high = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    high = high[(raw[high] < 0x9F) & (raw[high] != 0x97)]
+    low[high] += 0x20
+    shape[high] = shape[high - 1] = ord("A")
+    power, inverse = _powers(len(raw))
+    zero, at = np.zeros(1, np.uint64), np.arange(len(raw))
+    sums = np.concatenate([zero, np.cumsum(TABLE[low] * power[: len(raw)])])
+    whole = _mix((sums[end] - sums[start]) * inverse[start])
+    solid = ~_punctuation[raw]
+    last = np.maximum.accumulate(np.where(solid, at, -1))[end - 1] + 1
+    first = np.minimum.accumulate(np.where(solid, at, len(raw))[::-1])[::-1][start]
+    bare = last > first
+    first, last = np.where(bare, first, start), np.where(bare, last, start)
+    word = _mix((sums[last] - sums[first]) * inverse[first]) >> np.uint64(64 - 14)
+    new = np.append(True, shape[1:] != shape[:-1]) | ~np.isin(shape, np.frombuffer(b"aA0", np.uint8))
+    parts = np.concatenate([[0], np.cumsum(new)])
+    first = parts[start]
+    last = np.minimum(parts[end], first + SHAPE_PARTS)
+    sums = np.concatenate([zero, np.cumsum(TABLE[shape[new]] * power[: int(parts[-1])])])
+    form = _mix((sums[last] - sums[first]) * inverse[first]) % np.uint64(SHAPES - 1) + np.uint64(1)
+    return start, whole, word.astype(np.int32), form.astype(np.int32)
+
+
+def stretches(texts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+    """Texts put together: (their numbers, where each starts in the buffer, buffer). Texts over CHUNK_BYTES come in stretches, alone but the last, that end at white space, if there is any."""
+    rows, starts, held, n = [], [], [], 0
+    for row, raw in texts:
+        if held and n + len(raw) > CHUNK_BYTES:
+            yield np.array(rows), np.array(starts), b"\n".join(held)
+            rows, starts, held, n = [], [], [], 0
+        while len(raw) > CHUNK_BYTES:
+            cut = max(raw.rfind(b" ", 0, CHUNK_BYTES), raw.rfind(b"\n", 0, CHUNK_BYTES)) + 1 or len(raw)
+            yield np.array([row]), np.zeros(1, np.int64), raw[:cut]
+            raw = raw[cut:]
+        rows.append(row)
+        starts.append(n)
+        held.append(raw)
+        n += len(raw) + 1
+    if held:
+        yield np.array(rows), np.array(starts), b"\n".join(held)
+
+
+def _bytes(values: pa.Array) -> Iterator[tuple[int, bytes]]:
+    return ((k, v.as_py() or b"") for k, v in enumerate(values))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's sums of neighbours' index vectors for each hashed word, in blocks of ROW_BLOCK rows."""
     index = index_vectors(WORDS, SIZE, 1)
-    at = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
-    sign = np.take_along_axis(index, at, axis=1).astype(np.float64)
-    total, held, n = np.zeros(WORDS * SIZE), [], 0
-
-    def add(texts: list[np.ndarray]) -> None:
-        left = np.concatenate([w[:-1] for w in texts])
-        right = np.concatenate([w[1:] for w in texts])
-        for a, b in ((left, right), (right, left)):
-            flat = (a.astype(np.int64) * SIZE)[:, None] + at[b]
-            total[:] += np.bincount(flat.ravel(), sign[b].ravel(), WORDS * SIZE)
-
+    place = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
+    sign = np.take_along_axis(index, place, axis=1).astype(np.float64)
+    total = np.zeros(WORDS * SIZE)
     for b in batches:
-        for t in b.column(0):
-            w = words_of(t.as_py())[:, 0]
-            for s in range(0, max(1, len(w) - 1), 400_000):
-                held.append(w[s : s + 400_001])
-                n += len(held[-1])
-                if n > 400_000:
-                    add(held)
-                    held, n = [], 0
-    if held:
-        add(held)
+        for _, starts, data in stretches(_bytes(b.column(0))):
+            at, _, word, _ = coded(data)
+            text = np.searchsorted(starts, at, side="right")
+            pair = np.flatnonzero(text[1:] == text[:-1])
+            left, right = word[pair], word[pair + 1]
+            for x, y in ((left, right), (right, left)):
+                flat = (x.astype(np.int64) * SIZE)[:, None] + place[y]
+                total += np.bincount(flat.ravel(), sign[y].ravel(), WORDS * SIZE)
     schema = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
     rows = total.astype("<f4").reshape(WORDS // ROW_BLOCK, -1)
     yield batch_of(schema, np.arange(len(rows)), [r.tobytes() for r in rows])
@@ -101,7 +130,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     The result has a fixed size; only it reaches the driver. Each task adds up its own sums, which
     are then added by block of words, streaming.
     """
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(_contexts, "block int, sums binary")
+    parts = docs.select(F.col("text").cast("string").cast("binary")).mapInArrow(_contexts, "block int, sums binary")
     out = np.zeros((WORDS // ROW_BLOCK, ROW_BLOCK * SIZE), np.float32)
     for r in parts.repartition("block").mapInArrow(_summed, "block int, sums binary").collect():
         out[r.block] += np.frombuffer(bytes(r.sums), "<f4")
@@ -109,32 +138,31 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
-def features(text: str | None, vectors: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-    """A document's pooled vectors: the means of its words' vectors and of its shapes' vectors, shares of repeats, and length."""
-    w = words_of(text)
-    n = max(1, len(w))
-    distinct = len(np.unique(w[:, 0])) / n
-    count = np.bincount(w[:, 1], minlength=SHAPES)
-    counted = np.bincount(w[:, 0], minlength=0)
-    used = np.flatnonzero(counted)
-    words = counted[used].astype(np.float32) @ vectors[used] / n
-    tail = [count[0] / n, distinct, np.log1p(len(w)) / 10, float(len(w) == 0)]
-    return np.concatenate([words, (count.astype(np.float32) @ shapes) / n, tail]).astype(np.float32)
-
-
-def pooled(docs: DataFrame, vectors: np.ndarray, keep: list[str]) -> DataFrame:
-    """The kept columns and f, the pooled features as bytes."""
-    vars_ = docs.sparkSession.sparkContext.broadcast(vectors)  # of fixed size
-    schema = f"{', '.join(f'`{c}` {t}' for c, t in docs.select(*keep).dtypes)}, `_features` binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = index_vectors(SHAPES, SHAPE_SIZE, 2)
-        for b in batches:
-            text = b.column(b.num_columns - 1)
-            f = pa.array([features(t.as_py(), vars_.value, shapes).tobytes() for t in text], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], f], names=[*b.schema.names[:-1], "_features"])
-
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+def features(texts: pa.Array, vectors: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """Each document's pooled vectors: the means of its words' vectors and of its shapes' vectors, shares of repeats and of distinct words, and length."""
+    m = len(texts)
+    n, again, distinct = np.zeros(m), np.zeros(m), np.zeros(m)
+    words, forms = np.zeros((m, SIZE), np.float32), np.zeros((m, SHAPE_SIZE), np.float32)
+    pairs = []
+    for rows, starts, data in stretches(_bytes(texts)):
+        at, whole, word, form = coded(data)
+        if not len(at):
+            continue
+        text = np.searchsorted(starts, at, side="right") - 1
+        repeat = np.append(False, (whole[1:] == whole[:-1]) & (text[1:] == text[:-1]))
+        form[repeat] = 0
+        first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        row = rows[text[first]]
+        n[row] += np.diff(np.append(first, len(text)))
+        again[row] += np.add.reduceat(repeat.astype(np.float64), first)
+        words[row] += np.add.reduceat(vectors[word], first, axis=0)
+        forms[row] += np.add.reduceat(shapes[form], first, axis=0)
+        pairs.append(np.unique((rows[text].astype(np.int64) << 14) | word))
+    if pairs:
+        distinct = np.bincount(np.unique(np.concatenate(pairs)) >> 14, minlength=m)
+    some = np.maximum(n, 1)[:, None]
+    tail = np.stack([again / some[:, 0], distinct / some[:, 0], np.log1p(n) / 10, n == 0], axis=1)
+    return np.concatenate([words / some, forms / some, tail], axis=1).astype(np.float32)
 
 
 @dataclass
@@ -190,50 +218,53 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed:
     return net
 
 
-def train(rows: DataFrame, labels: DataFrame, most: int = 20_000) -> Network:
-    """The network for rows (doc_id, _features) with labels (doc_id, quality).
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
-    Only labels with crc32(doc_id as text) mod 4 other than 2 are used, and of those the first most
-    by the md5 of doc_id: the sample that reaches the driver has a fixed bound.
-    """
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("l_doc")).agg(F.max("quality").alias("y"))
-    known = known.where(~held_out(F.col("l_doc"))).orderBy(F.md5(F.col("l_doc").cast("string").cast("binary")), "l_doc").limit(most)
-    got = rows.join(known, F.col("doc_id") == F.col("l_doc")).select("doc_id", "_features", "y").orderBy("doc_id", "_features").limit(most).collect()
-    x = np.array([np.frombuffer(bytes(r[1]), np.float32) for r in got], np.float32)
-    return fit(x, np.array([r.y for r in got], np.float64))
 
+def model(docs: DataFrame, labels: DataFrame, most: int = 20_000):
+    """Learns from docs and labels (doc_id, quality): returns a function from a text column to a column of scores, 0 to 1.
 
-def held_out(doc_id):
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    Word vectors come from all documents. Only labels with crc32(doc_id as text) mod 4 other than 2
+    are used, and of those the first most by the md5 of doc_id: a sample of fixed bound, small
+    enough to be sent to all tasks. Scores are computed beside the rows: texts don't come back from
+    Python.
+    """
+    vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))  # of fixed size
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_l_doc")).agg(F.max("quality").alias("_y"))
+    known = known.where(~held_out(F.col("_l_doc"))).orderBy(F.md5(F.col("_l_doc").cast("string").cast("binary")), "_l_doc").limit(most)
 
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = index_vectors(SHAPES, SHAPE_SIZE, 2)
+        for b in batches:
+            f = pa.array([x.tobytes() for x in features(b.column(2), vectors.value, shapes)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], f], names=["doc", "y", "f"])
 
-def scored(rows: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
-    """rows with _features replaced by score (0 to 1) and predicted (1 from threshold on)."""
-    keep = [c for c in rows.columns if c != "_features"]
-    schema = f"{', '.join(f'`{c}` {t}' for c, t in rows.select(*keep).dtypes)}, score double, predicted int"
+    some = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").cast("binary").alias("_text"))
+    some = some.join(F.broadcast(known), F.col("_doc") == F.col("_l_doc")).select("_doc", F.col("_y").cast("long"), "_text")
+    got = some.mapInArrow(pooled, "doc long, y long, f binary").orderBy("doc", "f").limit(most).collect()
+    net = fit(np.array([np.frombuffer(bytes(r.f), np.float32) for r in got], np.float32), np.array([r.y for r in got], np.float64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b.column(b.num_columns - 1).to_pylist()
-            s = net.score(np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)) if raw else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(net.score(features(texts, vectors.value, index_vectors(SHAPES, SHAPE_SIZE, 2))), pa.float64())
 
-    return rows.select(*keep, "_features").mapInArrow(run, schema)
+    return lambda text: score(text.cast("string").cast("binary"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, keep: tuple[str, ...] = ("doc_id",), sample: int = 20_000, text: bool = False) -> DataFrame:
-    """Quality of every whole text: the kept columns, text if asked for, held_out, score and predicted.
+def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), sample: int = 20_000, threshold: float = 0.7) -> DataFrame:
+    """Quality of every whole text: the kept columns, held_out, score and predicted (1 from threshold on).
 
-    Word vectors come from all documents, labels from at most sample rows. A score depends on the
-    text alone. Null and empty texts get the score of a text without words; without usable labels
-    all get the same score; repeated rows are scored each; a null doc_id is not held out.
+    A score depends on the text alone. Null and empty texts get the score of a text without words;
+    without usable labels all get the same score; repeated rows are scored each; a null doc_id is
+    not held out; no documents, no rows. A kept column may not have the name of a new one.
     """
-    vectors = word_vectors(docs)
-    if text:  # with the texts at hand a second pooling is cheaper than keeping or joining them
-        some = pooled(docs.join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi"), vectors, ["doc_id"])
-        net = train(scratch.save(some, "quality-features"), labels, sample)
-        out = scored(pooled(docs, vectors, [*keep, "text"]), net)
-        return out.withColumn("held_out", held_out(F.col("doc_id"))).select(*keep, "text", "held_out", "score", "predicted")
-    rows = scratch.save(pooled(docs, vectors, list(dict.fromkeys(["doc_id", *keep]))), "quality-features")
-    out = scored(rows, train(rows, labels, sample))
-    return out.withColumn("held_out", held_out(F.col("doc_id"))).select(*keep, "held_out", "score", "predicted")
+    if clash := {"held_out", "score", "predicted"}.intersection(keep):
+        raise ValueError(f"columns to keep have names of new ones: {sorted(clash)}")
+    x = docs.select(*keep, held_out(F.col("doc_id")).alias("held_out"), model(docs, labels, sample)(F.col("text")).alias("score"))
+    return x.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: float = 0.7) -> DataFrame:
+    """The documents whose score is threshold or more, with their columns as they were, whatever their names."""
+    return docs.where(model(docs, labels, sample)(F.col("text")) >= threshold)

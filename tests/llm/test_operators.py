@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siftspark.llm import langid, lines, mixing, packing, quality, repeats, simhash, url_filter, vectors
+from siftspark.llm import langid, lines, mixing, packing, repeats, simhash, url_filter, vectors
 from siftspark.llm.common import Scratch, components
 from siftspark.llm.queries import ORACLE_SQL, QUERIES, every_20th, vocabulary
 
@@ -216,13 +216,6 @@ def test_quality_held_out(spark):
     assert sum(got[r.doc_id].predicted == r.quality for r in held) >= 0.9 * len(held)
 
 
-def test_quality_odd_rows(spark):
-    labels = spark.createDataFrame([(3, None), (4, 1)], "doc_id long, quality int")
-    out = quality.classify(docs(spark), labels, Scratch(spark)).collect()
-    assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
-    assert quality.classify(empty(spark), labels, Scratch(spark)).count() == 0
-
-
 def test_mix_odd_rows(spark):
     rows = mixing.mix(docs(spark), Scratch(spark)).collect()
     assert len(rows) == len(ODD) and all(r.taken <= 3 * r["size"] for r in rows)
