@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftspark.functions.text import escape_xml
 
 from .checks import squeezed
-from .sections import BLANK, LEAST, MOST, heading_pattern
+from .sections import BLANK, BLOCK_ENDS, LEAST, MOST, heading_pattern
 
 #: How the ends of a range of months are written, what joins them, months, words for today, and a line that names a role.
 END = r"(?:[A-Za-z]+\.?\s+\d{4}|\d{1,2}[/.-]\d{4}|\d{4}[/.-]\d{1,2}|\d{4}|Present|Current|Now)"
@@ -112,7 +112,7 @@ class ChunkText:
         prefix = f"[Section: {section}] "
         cap, out, pending = MOST - len(prefix), [], ""
         rule = re.compile(rf"(?s)\S.{{0,{cap - 1}}}(?= |\Z)|\S.{{{cap - 1}}}")
-        for block in re.split(r"\n\s*[-•*]\s*|\n\n+|\n(?=\d+\.\s+)", content or ""):
+        for block in re.split(BLOCK_ENDS, content or ""):
             block = block.strip(BLANK)
             for piece in ([block] if len(block) <= cap else rule.findall(block)) if len(block) > 5 else ():
                 joined = f"{pending} {piece.strip(BLANK)}" if pending else piece.strip(BLANK)

@@ -94,11 +94,15 @@ def cutoff_ties(pairs: DataFrame, relevant: Column, cap: int) -> DataFrame:
     return x.agg(F.count_if(F.col("score") == F.col("cut")).alias("tie_size"), F.count_if(F.col("score") > F.col("cut")).alias("above"), F.max("precision").alias("precision"))
 
 
+#: Words by which a provider names its limits, and how it says what was asked for.
+DAILY, MINUTE, REQUESTED = "tokens per day", "tokens per minute", r"requested\s*[:=]?\s*(\d+)"
+
+
 def limit_error(message: Column) -> Column:
     """struct<error_code, requested> of a provider's refusal: which limit it names and how many tokens were asked for."""
     m = F.lower(message)
-    code = F.when(F.contains(F.replace(m, F.lit("_"), F.lit(" ")), F.lit("tokens per day")), "PROVIDER_DAILY_TOKEN_LIMIT").when(F.contains(m, F.lit("tokens per minute")), "PROVIDER_MINUTE_TOKEN_LIMIT")
-    n = F.nullif(F.regexp_extract(m, r"requested\s*[:=]?\s*(\d+)", 1), F.lit("")).cast("long")
+    code = F.when(F.contains(F.replace(m, F.lit("_"), F.lit(" ")), F.lit(DAILY)), "PROVIDER_DAILY_TOKEN_LIMIT").when(F.contains(m, F.lit(MINUTE)), "PROVIDER_MINUTE_TOKEN_LIMIT")
+    n = F.nullif(F.regexp_extract(m, REQUESTED, 1), F.lit("")).cast("long")
     return F.struct(code.otherwise("PROVIDER_RATE_LIMITED").alias("error_code"), n.alias("requested"))
 
 

@@ -24,6 +24,8 @@ HEADINGS = {
 CATEGORY = {"SUMMARY": "EXPERIENCE", "EXPERIENCE": "EXPERIENCE", "SKILLS": "SKILLS", "PROJECTS": "PROJECTS", "EDUCATION": "EDUCATION", "CERTIFICATIONS": "EDUCATION"}
 #: Least and most characters of a chunk, with its section's prefix in the latter.
 LEAST, MOST = 150, 600
+#: What parts blocks, and what parts passages.
+BLOCK_ENDS, PASSAGE_ENDS = r"\n\s*[-•*]\s*|\n\n+|\n(?=\d+\.\s+)", r"[\n;]|(?<=[.!?])\s+(?=[A-Z])"
 BLANK = " \t\n\r\f\v"
 
 
@@ -40,8 +42,9 @@ def sections(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, section, content: one row for each section with content, repeated headings joined by a blank line.
 
     Text before the first heading is a SUMMARY, text without headings one EXPERIENCE. Null and blank texts have no rows.
+    The characters 1 and 2 mark headings on the way and are left out of texts.
     """
-    marked = F.regexp_replace("text", rf"(?imd)^[#*=\-\s]*({heading_pattern()})[:\s\-*=#]*$", "\x01$1\x02")
+    marked = F.regexp_replace(F.translate("text", "\x01\x02", ""), rf"(?imd)^[#*=\-\s]*({heading_pattern()})[:\s\-*=#]*$", "\x01$1\x02")
     parts = F.split(marked, "\x01")
     named = F.lit("EXPERIENCE")
     for name in reversed(HEADINGS):
@@ -57,7 +60,7 @@ def sections(docs: DataFrame) -> DataFrame:
 
 def blocks(content: Column) -> Column:
     """Blocks between bullets, blank lines and numbered items, those of over five characters."""
-    raw = F.split(content, r"\n\s*[-•*]\s*|\n\n+|\n(?=\d+\.\s+)")
+    raw = F.split(content, BLOCK_ENDS)
     return F.filter(F.transform(raw, _strip), lambda b: F.length(b) > 5)
 
 
@@ -89,5 +92,5 @@ def chunks(parsed: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame
 
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to its passages with text: cut at line ends, semicolons, and sentence ends before a capital."""
-    cut = F.filter(F.transform(F.split("text", r"[\n;]|(?<=[.!?])\s+(?=[A-Z])"), _strip), lambda p: p != "")
+    cut = F.filter(F.transform(F.split("text", PASSAGE_ENDS), _strip), lambda p: p != "")
     return docs.select("doc_id", F.posexplode(cut).alias("passage_no", "passage"))

@@ -29,12 +29,13 @@ def fitting(groups: DataFrame, key: str, priority: str, size: str, budget: int)
     return groups.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
-def not_contained(retrieved: DataFrame, full: DataFrame, keys: list[str]) -> DataFrame:
-    """Retrieved passages (keys, text) that no full passage of the same keys holds between word boundaries, white space and case apart."""
+def not_contained(retrieved: DataFrame, full: DataFrame, keys: list[str], own: str | None = None) -> DataFrame:
+    """Retrieved passages (keys, text) that no full passage of the same keys holds between word boundaries, white space and case apart; own: rows of the same value don't count."""
     inner = F.concat(F.lit(" "), squeezed(F.col("text")), F.lit(" "))
-    f = full.select(*keys, F.concat(F.lit(" "), squeezed(F.col("text")), F.lit(" ")).alias("_full")).distinct()
+    f = full.select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.concat(F.lit(" "), squeezed(F.col("text")), F.lit(" ")).alias("_full"), *([F.col(own).alias("_own")] if own else [])).distinct()
     x = retrieved.withColumn("_inner", inner)
-    return x.join(f, [*[x[k].eqNullSafe(f[k]) for k in keys], F.contains(f["_full"], x["_inner"])], "left_anti").drop("_inner")
+    on = [*[F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys], F.contains("_full", "_inner")]
+    return x.join(f, [*on, F.col(own) != F.col("_own")] if own else on, "left_anti").drop("_inner")
 
 
 def review_reasons(pairs: DataFrame, checked: DataFrame, evidence: DataFrame) -> DataFrame:

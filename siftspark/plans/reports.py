@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siftspark.operators import cascade, measures, retrieval, support
+from siftspark.operators import cascade, measures, pages, retrieval, support
 from siftspark.sources import intake
 
 from .catalogue import plan
@@ -33,15 +35,30 @@ def json_handoff(spark, d):
     return pairs(spark, d).select("pair_id", F.to_json(F.struct(F.lit(1).alias("schema_version"), "pair_id", "job", "status")).alias("record"))
 
 
-def letters():
-    """A model for tests: how often a text holds each vowel."""
-    return lambda texts: np.stack([texts.str.count(v).to_numpy() for v in "aeiou"], axis=1)
+SLOTS = 16
+
+
+def hashing():
+    """A model that needs no weights: the words of a text, hashed to slots and counted, as a vector of length one."""
+    slot: dict[str, int] = {}
+
+    def encode(texts):
+        out = np.zeros((len(texts), SLOTS))
+        for row, text in zip(out, texts, strict=True):
+            for w in text.lower().split(" "):
+                if w not in slot:
+                    slot[w] = int(hashlib.md5(w.encode("utf-8", "replace")).hexdigest()[:4], 16) % SLOTS
+                row[slot[w]] += 1
+        return out / np.sqrt((out * out).sum(1, keepdims=True))
+
+    return encode
 
 
-@plan(f"SELECT doc_id AS id, {', '.join(f'''CAST(length(text) - length(replace(text, '{v}', '')) AS DOUBLE) AS n_{v}''' for v in 'aeiou')} FROM documents")
+@plan(f"""WITH w AS (SELECT doc_id AS id, ('0x' || md5(unnest(string_split(lower(text), ' ')))[1:4])::INT % {SLOTS} AS slot FROM documents), n AS (SELECT id, slot, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT id, sqrt(sum(n * n)) AS size FROM n GROUP BY id)
+SELECT id, slot, round(n / size, 6) AS weight FROM n JOIN s USING (id)""")
 def encode_texts(spark, d):
-    x = retrieval.encode(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), letters)
-    return x.select("id", *[F.col("vector")[k].alias(f"n_{v}") for k, v in enumerate("aeiou")])
+    x = retrieval.encode(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), hashing)
+    return x.select("id", F.posexplode("vector").alias("slot", "weight")).where("weight > 0").withColumn("weight", F.round("weight", 6))
 
 
 @plan("""SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'CACHED' WHEN md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 5 = 0) THEN 'REUSED' ELSE 'COMPUTE' END AS action FROM documents""")
@@ -71,12 +88,14 @@ def prompt_bound(spark, d):
 _FLAT = r"' ' || lower(trim(regexp_replace({}, '\s+', ' ', 'g'))) || ' '"
 
 
-@plan(f"""WITH r AS (SELECT conv_id, turn, role, {_FLAT.format("array_to_string(string_split(text, ' ')[1:4], ' ')")} AS t FROM conversations), f AS (SELECT conv_id, role, {_FLAT.format('text')} AS t FROM conversations WHERE turn % 3 = 0)
-SELECT conv_id, turn, role FROM r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id = r.conv_id AND f.role = r.role AND contains(f.t, r.t))""")
+@plan(rf"""WITH p AS (SELECT conv_id, turn, role, unnest(string_split(regexp_replace(regexp_replace(text, '([!?])(\s)', '\1' || chr(1) || '\2', 'g'), '\.(\s+[A-Z])', '.' || chr(1) || '\1', 'g'), chr(1))) AS s FROM conversations),
+ r AS (SELECT conv_id, turn, role, s, {_FLAT.format('s')} AS t FROM p WHERE regexp_matches(s, '\S')), f AS (SELECT conv_id, turn, role, {_FLAT.format('text')} AS t FROM conversations)
+SELECT conv_id, turn, role, count(*) AS passages, CAST(sum(length(s)) AS BIGINT) AS chars FROM r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.conv_id = r.conv_id AND f.role = r.role AND f.turn <> r.turn AND contains(f.t, r.t)) GROUP BY ALL""")
 def manifest_dedup(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
-    short = c.withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 4), " "))
-    return support.not_contained(short, c.where("turn % 3 = 0"), ["conv_id", "role"]).select("conv_id", "turn", "role")
+    s = pages.sentences(c.select(F.struct("conv_id", "turn", "role").alias("doc_id"), "text")).select("doc_id.*", F.col("sentence").alias("text"))
+    kept = support.not_contained(s, c, ["conv_id", "role"], "turn")
+    return kept.groupBy("conv_id", "turn", "role").agg(F.count("*").alias("passages"), F.sum(F.length("text")).alias("chars"))
 
 
 CLAIMS = """c AS (SELECT o_orderkey AS pair_id, concat('Order ', o_orderkey, ' of customer ', o_custkey, ' has 12 items.') AS source, concat('Customer ', o_custkey, ' has 12 items') AS claim, o_orderkey % 8 <> 5 AS cited,

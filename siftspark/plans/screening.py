@@ -33,14 +33,14 @@ def category_map(spark, d):
 
 
 @plan(r"""WITH RECURSIVE b AS (SELECT doc_id, trim(u, chr(10) || chr(9) || chr(13) || ' ') AS block, i FROM
-  (SELECT doc_id, unnest(p) AS u, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\n\s*[-•*]\s*|\n\n+|\n(\d+\.\s)', chr(1) || '\1', 'g'), chr(1)) AS p FROM documents WHERE doc_id % 1 = 0))),
+  (SELECT doc_id, unnest(p) AS u, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\n\s*[-•*]\s*|\n\n+|\n(\d+\.\s)', chr(1) || '\1', 'g'), chr(1)) AS p FROM documents))),
  c AS (SELECT doc_id, i, CASE WHEN length(block) <= 578 THEN [block] ELSE regexp_extract_all(block, '(?s)\S.{0,577}( |$)|\S.{577}') END AS cut FROM b WHERE length(block) > 5),
  q AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n, trim(piece, chr(10) || chr(9) || chr(13) || ' ') AS piece FROM (SELECT doc_id, i, unnest(cut) AS piece, generate_subscripts(cut, 1) AS j FROM c)),
  f AS (SELECT doc_id, CAST(0 AS BIGINT) AS n, '' AS pending, CAST(NULL AS VARCHAR) AS body FROM (SELECT DISTINCT doc_id FROM q) UNION ALL
   SELECT doc_id, n, CASE WHEN length(joined) > 578 THEN piece WHEN length(joined) >= 150 THEN '' ELSE joined END, CASE WHEN length(joined) > 578 THEN pending WHEN length(joined) >= 150 THEN joined END
   FROM (SELECT q.doc_id, q.n, q.piece, f.pending, CASE WHEN f.pending = '' THEN q.piece ELSE f.pending || ' ' || q.piece END AS joined FROM f JOIN q ON q.doc_id = f.doc_id AND q.n = f.n + 1)),
  o AS (SELECT doc_id, n, body FROM f WHERE body IS NOT NULL UNION ALL SELECT doc_id, n + 1, pending FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS r FROM f) WHERE r = 1 AND pending <> '')
-SELECT doc_id, 'EXPERIENCE' AS section, 'EXPERIENCE' AS category, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_index, '[Section: EXPERIENCE] ' || body AS text, length(body) AS char_length FROM o""".replace(" WHERE doc_id % 1 = 0", ""))
+SELECT doc_id, 'EXPERIENCE' AS section, 'EXPERIENCE' AS category, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_index, '[Section: EXPERIENCE] ' || body AS text, length(body) AS char_length FROM o""")
 def structural_chunks(spark, d):
     return sections.chunks(table(spark, d, "documents").select("doc_id", F.lit("EXPERIENCE").alias("section"), F.col("text").alias("content")))
 
