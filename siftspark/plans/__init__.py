@@ -1,6 +1,6 @@
 """Registered queries over the given tables, with the same questions in SQL."""
 
-from . import context, masking, matching, outcomes, planning, reporting, reports, screening, streams, views  # noqa: F401  (register their plans)
+from . import context, contracts, masking, matching, outcomes, planning, reporting, reports, screening, streams, views  # noqa: F401  (register their plans)
 from .catalogue import ORACLES, PLANS
 
 __all__ = ["ORACLES", "PLANS"]
