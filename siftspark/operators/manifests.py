@@ -59,3 +59,32 @@ def against_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     x = files.join(manifest.select("name", F.col("hash").alias("expected")), "name", "full_outer")
     code = F.when(F.col("expected").isNull(), "NOT_LISTED").when(F.col("hash").isNull(), "MISSING").when(F.col("hash") != F.col("expected"), "MISMATCH").otherwise("ACCEPTED")
     return x.select("name", code.alias("code"))
+
+
+#: The order in which categories take turns.
+TURNS = ("CONTEXT", "EXPERIENCE", "PROJECTS", "SKILLS", "EDUCATION")
+
+
+def ordered_context(passages: DataFrame, hits: DataFrame, limit: int, terms: tuple[str, ...] = ()) -> DataFrame:
+    """Passages (pair_id, idx, section, category, text) in the order in which a prompt takes them, and whether each is included: place, included.
+
+    Passages with a mandatory term go first, then those at or next to a hit (pair_id, idx) in the same section, by idx, then all others, a
+    category at a time in turn. Each that still fits into limit characters is included; one that does not is passed over.
+    """
+    at = hits.join(passages.select("pair_id", "idx", "section"), ["pair_id", "idx"]).select("pair_id", F.explode(F.array(F.col("idx") - 1, F.col("idx"), F.col("idx") + 1)).alias("idx"), "section").distinct()
+    x = passages.join(at.withColumn("_near", F.lit(True)), ["pair_id", "idx", "section"], "left").withColumn("_near", F.coalesce("_near", F.lit(False)))
+    turn = F.array_position(F.array(*map(F.lit, TURNS)), F.col("category"))
+    n = F.row_number().over(Window.partitionBy("pair_id", "category").orderBy("idx"))
+    must = reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(t.lower())) for t in terms], F.lit(False))
+    key = F.struct((~must).alias("m"), (~F.col("_near")).alias("n"), F.when(F.col("_near"), F.col("idx")).otherwise(F.col("_turn")).alias("a"), F.when(F.col("_near"), 0).otherwise(turn).alias("b"))
+    x = x.withColumn("_turn", n).select("pair_id", "idx", key.alias("key"), F.length("text").alias("size"))
+    rows = x.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("key", "idx", "size"))).alias("rows"))
+
+    def step(acc, r):
+        fits = acc["used"] + r["size"] <= limit
+        return F.struct((acc["used"] + F.when(fits, r["size"]).otherwise(0)).alias("used"), F.array_append(acc["out"], fits).alias("out"))
+
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<boolean>").alias("out"))
+    fits = F.aggregate("rows", start, step, lambda a: a["out"])
+    x = rows.select("pair_id", F.posexplode(F.arrays_zip(F.col("rows.idx").alias("idx"), fits.alias("included"))).alias("place", "r"))
+    return x.select("pair_id", "r.idx", (F.col("place") + 1).alias("place"), "r.included")

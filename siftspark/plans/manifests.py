@@ -52,3 +52,19 @@ def manifest_check(spark, d):
     labels = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("name"), "quality")
     listed = docs.join(labels, "name").select("name", F.sha2(F.concat("text", F.when(F.col("quality") == 0, "x").otherwise(F.lit(""))), 256).alias("hash"))
     return manifests.against_manifest(docs.where("name % 13 <> 0").select("name", F.sha2("text", 256).alias("hash")), listed)
+
+
+@plan("""WITH RECURSIVE p AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS pair_id, l_linenumber AS idx, l_linenumber // 3 AS section, (['CONTEXT', 'EXPERIENCE', 'PROJECTS', 'SKILLS', 'EDUCATION'])[l_linenumber % 5 + 1] AS category,
+  repeat('x', (l_linenumber * 37 + l_orderkey) % 90 + 10) || CASE WHEN (l_orderkey + l_linenumber) % 6 = 0 THEN ' Kafka' ELSE '' END AS text FROM lineitem),
+ h AS (SELECT * FROM p WHERE (pair_id + idx) % 5 = 0), k AS (SELECT p.*, contains(lower(text), 'kafka') AS must, EXISTS (SELECT 1 FROM h WHERE h.pair_id = p.pair_id AND h.section = p.section AND abs(h.idx - p.idx) <= 1) AS near,
+  row_number() OVER (PARTITION BY pair_id, category ORDER BY idx) AS turn, list_position(['CONTEXT', 'EXPERIENCE', 'PROJECTS', 'SKILLS', 'EDUCATION'], category) AS c FROM p),
+ o AS (SELECT pair_id, idx, length(text) AS size, row_number() OVER (PARTITION BY pair_id ORDER BY NOT must, NOT near, CASE WHEN near THEN idx ELSE turn END, CASE WHEN near THEN 0 ELSE c END, idx) AS place FROM k),
+ f AS (SELECT pair_id, idx, place, size <= 150 AS included, CASE WHEN size <= 150 THEN size ELSE 0 END AS used FROM o WHERE place = 1
+  UNION ALL SELECT o.pair_id, o.idx, o.place, f.used + o.size <= 150, f.used + CASE WHEN f.used + o.size <= 150 THEN o.size ELSE 0 END FROM f JOIN o ON o.pair_id = f.pair_id AND o.place = f.place + 1)
+SELECT pair_id, idx, place, included FROM f""")
+def context_order(spark, d):
+    k, n = F.col("pair_id"), F.col("idx")
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("idx")).distinct()
+    text = F.concat(F.repeat(F.lit("x"), ((n * 37 + k) % 90 + 10).cast("int")), F.when((k + n) % 6 == 0, " Kafka").otherwise(F.lit("")))
+    p = p.select("pair_id", "idx", F.floor(n / 3).alias("section"), F.element_at(F.array(*map(F.lit, manifests.TURNS)), (n % 5 + 1).cast("int")).alias("category"), text.alias("text"))
+    return manifests.ordered_context(p, p.where("(pair_id + idx) % 5 = 0").select("pair_id", "idx"), 150, ("kafka",))
