@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftspark.functions.text import escape_xml
 
 from .checks import squeezed
-from .sections import BLANK, BLOCK_ENDS, LEAST, MOST, heading_pattern
+from .sections import BLANK, BLOCK_ENDS, HEADINGS, LEAST, MOST, chunks, heading_pattern
 
 #: How the ends of a range of months are written, what joins them, months, words for today, and a line that names a role.
 END = r"(?:[A-Za-z]+\.?\s+\d{4}|\d{1,2}[/.-]\d{4}|\d{4}[/.-]\d{1,2}|\d{4}|Present|Current|Now)"
@@ -131,3 +131,37 @@ class ChunkText:
 def register(spark: SparkSession) -> None:
     """Makes chunk_text known to SQL."""
     spark.udtf.register("chunk_text", ChunkText)
+
+
+#: Longest title and header, a year that makes the block before it a title, starts that no title has, bounds of page-aware chunks.
+TITLE, HEADER, YEAR, NO_TITLE = 180, 160, r"\b(?:19|20)\d{2}\b", r"(?i)^[-•*]|^(?:technologies|tech stack|skills)\s*:"
+PAGE_LEAST, PAGE_MOST, ENTRIES = 400, 420, ("EXPERIENCE", "PROJECTS")
+
+
+def page_chunks(blocks: DataFrame) -> DataFrame:
+    """Blocks (doc_id, page_number, block_no, text), each a heading or text, to chunks of entries: section, entry, chunk_index, page_number, block_no, blocks, text.
+
+    A heading opens its section and an entry; so does, in experience and projects, a short title: one before a block with a year, or, in
+    projects, with a bar. Later chunks of an entry repeat its header, the first two blocks. page_number and block_no are those of the entry's
+    first block, blocks how many it has.
+    """
+    w = Window.partitionBy("doc_id").orderBy("page_number", "block_no")
+    whole = F.btrim("text", F.lit(BLANK))
+    heading = rf"(?i)^[#*=\-\s]*({heading_pattern()})[:\s\-*=#]*$"
+    named = F.lit(None).cast("string")
+    for name in HEADINGS:
+        named = F.when(F.regexp_extract(whole, heading, 1).rlike(f"(?i)^(?:{heading_pattern(name)})$"), name).otherwise(named)
+    x = blocks.withColumn("named", named).withColumn("after", F.coalesce(F.lead("text").over(w), F.lit("")))
+    x = x.withColumn("section", F.coalesce(F.last("named", ignorenulls=True).over(w), F.lit("EXPERIENCE")))
+    marked = F.col("after").rlike(YEAR) | ((F.col("section") == "PROJECTS") & F.contains("text", F.lit("|")))
+    title = F.col("section").isin(*ENTRIES) & (F.length(whole) < TITLE) & marked & ~whole.rlike(NO_TITLE)
+    x = x.withColumn("entry", F.sum((F.col("named").isNotNull() | title).cast("int")).over(w)).where("named is null")
+    row = F.struct("page_number", "block_no", whole.alias("text"))
+    e = x.groupBy("doc_id", "entry").agg(F.first("section").alias("section"), F.array_sort(F.collect_list(row)).alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["text"]), "\n\n")
+    header = F.left(F.array_join(F.transform(F.slice("rows", 1, 2), lambda r: r["text"]), " "), F.lit(HEADER))
+    e = e.select(F.struct("doc_id", "entry", F.col("rows")[0]["page_number"].alias("page_number"), F.col("rows")[0]["block_no"].alias("block_no"), F.size("rows").alias("blocks"), header.alias("header")).alias("doc_id"), "section", body.alias("content"))
+    c = chunks(e, PAGE_LEAST, PAGE_MOST).select("doc_id.*", "section", "chunk_index", "text")
+    prefix = F.concat(F.lit("[Section: "), "section", F.lit("] "))
+    again = F.concat(prefix, "header", F.lit("\n"), F.substr("text", F.length(prefix) + 1))
+    return c.withColumn("text", F.when((F.col("chunk_index") > 0) & F.col("section").isin(*ENTRIES), again).otherwise(F.col("text"))).drop("header")

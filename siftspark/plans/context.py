@@ -52,3 +52,20 @@ def prompt_rows(spark, d):
 def chunk_function(spark, d):
     context.register(spark)
     return spark.sql("SELECT doc_id, c.* FROM {docs} d, LATERAL chunk_text('EXPERIENCE', d.text) c", docs=table(spark, d, "documents"))
+
+
+PAGES = (
+    (1, 0, "' Work Experience: '"), (1, 1, "concat('Engineer ', c_custkey)"), (1, 2, "'2019 - 2020 at X'"), (1, 3, "if(c_custkey % 3 = 0, repeat('y', 500), 'Built things.')"), (2, 0, "'Lead'"), (2, 1, "'since 2021'"),
+    (2, 2, "'PROJECTS'"), (2, 3, "concat('Tool | ', c_custkey)"), (2, 4, "'- in use in 2022 by many'"), (3, 0, "'EDUCATION'"), (3, 1, "'Bachelor, 2011'"),
+)
+
+
+@plan("""WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 3 = 0 AS long, 'Engineer ' || c_custkey || ' 2019 - 2020 at X' AS head FROM customer), e AS (
+ SELECT doc_id, 'EXPERIENCE' AS section, 0 AS chunk_index, 1 AS page_number, 1 AS block_no, 3 AS blocks, '[Section: EXPERIENCE] ' || head || CASE WHEN long THEN '' ELSE ' Built things.' END AS text FROM c
+ UNION ALL SELECT doc_id, 'EXPERIENCE', k, 1, 1, 3, '[Section: EXPERIENCE] ' || head || chr(10) || repeat('y', CASE k WHEN 1 THEN 398 ELSE 102 END) FROM c, (VALUES (1), (2)) v(k) WHERE long
+ UNION ALL SELECT doc_id, 'EXPERIENCE', 0, 2, 0, 2, '[Section: EXPERIENCE] since 2021' FROM c UNION ALL SELECT doc_id, 'PROJECTS', 0, 2, 3, 2, '[Section: PROJECTS] Tool | ' || doc_id || ' in use in 2022 by many' FROM c
+ UNION ALL SELECT doc_id, 'EDUCATION', 0, 3, 1, 1, '[Section: EDUCATION] Bachelor, 2011' FROM c) SELECT * FROM e""")
+def page_chunks(spark, d):
+    rows = F.array(*[F.struct(F.lit(p).alias("page_number"), F.lit(b).alias("block_no"), F.expr(t).alias("text")) for p, b, t in PAGES])
+    x = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(rows).alias("b")).select("doc_id", "b.*")
+    return context.page_chunks(x).drop("entry")
