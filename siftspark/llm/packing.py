@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import encoder
+from .tokens import encoder, is_plain
 
 #: Items of one size and kind that one task puts in order.
 ROWS_PER_SALT = 2_000
@@ -27,6 +27,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = 4096, end_id: int = 1)
     Null text counts as empty: one piece of one id. Returns doc_id, piece, start, length, ids_crc32.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    plain = is_plain(vocabulary)
     end, width = np.array([end_id], "<u4").tobytes(), 4 * limit
 
     def texts(b: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
@@ -42,7 +43,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = 4096, end_id: int = 1)
             yield ids, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, plain).encode
         for b in batches:
             for ids, held in texts(b):
                 rows = []

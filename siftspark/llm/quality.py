@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batch_of
-from .common import CHUNK_BYTES
 from .lines import SPACE, TABLE
 from .repeats import _mix, _powers
 
@@ -20,6 +19,8 @@ WORDS, SIZE, NONZERO = 1 << 14, 32, 4
 #: Shapes (a word with its letters and digits reduced to classes, the first SHAPE_PARTS of them) have index vectors of their own.
 SHAPES, SHAPE_SIZE, SHAPE_PARTS = 512, 32, 8
 ROW_BLOCK = 256
+#: UTF-8 bytes looked at together; the arrays made of them take some hundred times as much.
+CHUNK_BYTES = 1 << 18
 #: Bytes of words at their ends that don't count, and classes of bytes: letters, capitals, digits, all others their own.
 _punctuation = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 _classes = np.arange(256, dtype=np.uint8)
@@ -143,7 +144,7 @@ def features(texts: pa.Array, vectors: np.ndarray, shapes: np.ndarray) -> np.nda
     m = len(texts)
     n, again, distinct = np.zeros(m), np.zeros(m), np.zeros(m)
     words, forms = np.zeros((m, SIZE), np.float32), np.zeros((m, SHAPE_SIZE), np.float32)
-    pairs = []
+    long, seen = -1, np.empty(0, bool)  # a text that comes in stretches, and its words so far
     for rows, starts, data in stretches(_bytes(texts)):
         at, whole, word, form = coded(data)
         if not len(at):
@@ -157,9 +158,15 @@ def features(texts: pa.Array, vectors: np.ndarray, shapes: np.ndarray) -> np.nda
         again[row] += np.add.reduceat(repeat.astype(np.float64), first)
         words[row] += np.add.reduceat(vectors[word], first, axis=0)
         forms[row] += np.add.reduceat(shapes[form], first, axis=0)
-        pairs.append(np.unique((rows[text].astype(np.int64) << 14) | word))
-    if pairs:
-        distinct = np.bincount(np.unique(np.concatenate(pairs)) >> 14, minlength=m)
+        pair = np.unique((rows[text].astype(np.int64) << 14) | word)
+        if len(rows) == 1 or rows[0] == long:
+            if rows[0] != long:
+                long, seen = rows[0], np.zeros(WORDS, bool)
+            own = pair >> 14 == long
+            seen[pair[own] & (WORDS - 1)] = True
+            distinct[long] = seen.sum()
+            pair = pair[~own]
+        distinct += np.bincount(pair >> 14, minlength=m)
     some = np.maximum(n, 1)[:, None]
     tail = np.stack([again / some[:, 0], distinct / some[:, 0], np.log1p(n) / 10, n == 0], axis=1)
     return np.concatenate([words / some, forms / some, tail], axis=1).astype(np.float32)

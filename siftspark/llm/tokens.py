@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -63,16 +64,18 @@ class WordEncoder:
     file's rules differ. Surrogates are replaced, as in UTF-8 encoding.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool | None = None) -> None:
+        """plain: whether the faster way fits the file's rules, where a driver has found out; the file's library is loaded when it is needed."""
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self._tokenizer = path, None
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.special = [t["content"] for t in file["added_tokens"]]
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the others are shown as chr(256), chr(257), ...
         shown = {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(sorted({*range(256)} - {*visible}))}
         ranks = {}
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+        for token, i in file["model"]["vocab"].items():
             end = token.endswith(_END)
             raw = [shown.get(c) for c in (token.removesuffix(_END) if end else token)]
             if None not in raw:
@@ -84,7 +87,15 @@ class WordEncoder:
         self.fast = tiktoken.Encoding("words", pat_str=r"[^ \t\n\x0b\x0c\r]+", mergeable_ranks=ranks, special_tokens={})
         self.between, self.hole = ranks[bytes([_BETWEEN])], ranks[bytes([_HOLE])]
         self.plain = _PLAIN
-        self.plain = _PLAIN if self.encode([_PROBE]) == self._whole([_PROBE]) else _NEVER
+        self.plain = _PLAIN if (self.encode([_PROBE]) == self._whole([_PROBE]) if plain is None else plain) else _NEVER
+
+    @property
+    def tokenizer(self):
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -134,8 +145,13 @@ class WordEncoder:
             out[k] += self._filled(x, [next(ids) for _ in words]) if words else x.tobytes()
 
 
-def encoder(path: str) -> WordEncoder:
+def is_plain(path: str) -> bool:
+    """Whether the faster way fits a vocabulary file: found out by the probe, on the driver."""
+    return WordEncoder(path).plain is _PLAIN
+
+
+def encoder(path: str, plain: bool) -> WordEncoder:
     """This worker's encoder for a vocabulary file."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, plain)
     return _encoders[path]
