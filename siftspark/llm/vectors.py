@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates, and of a block of queries, that meet in one task.
-CANDIDATES, QUERIES = 8192, 1024
+#: Rows of a block of candidates, and of a block of queries, that meet in one task; queries looked at together inside it.
+CANDIDATES, QUERIES, TOGETHER = 8192, 8192, 512
+#: What a search has done, for tests and figures: (queries x candidates) there were, and of them the entries read of each list or the candidates verified.
+WORK = {"all": 0, "read": 0.0, "resolved": 0}
 
 
 def usable(vector: Column, zero: bool = True) -> Column:
@@ -89,10 +91,11 @@ def nra(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int)
     Each component has a sorted list of the candidates; a query reads it from the top where its own
     component is positive, from the bottom where it is negative. After depth t all lists have been
     read down to their frontier. A component that has been read counts as it is; one that hasn't
-    counts at least as the list's far end and at most as its frontier. So the bounds of all
-    candidates, those not seen included, are products of the query's positive and negative parts
-    with the lists clamped at the frontiers. Depth doubles until, for each query, few enough
-    outsiders' upper bounds reach the k-th best lower bound; those that do are resolved exactly.
+    counts at most as the frontier, and at least as the list's far end. The depth grows in steps of a
+    sixteenth of the lists. The upper bounds of a sample of candidates tell when it pays to bound all
+    of them; the leaders by upper bound are then resolved, and the k-th best of these is a lower
+    bound of the k-th best there is. A query stops when few outsiders' upper bounds reach it: these
+    are resolved exactly, all others cannot qualify.
     """
     q, x = np.floor(q * 64), np.floor(x * 64)
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
@@ -100,36 +103,70 @@ def nra(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int)
         return _exact_large(qids, q, ids, x, k)
     kind = np.float32 if top < 2**24 else np.float64  # sums of whole numbers below these are exact
     q, x = q.astype(kind), x.astype(kind)
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    both, n = np.hstack([plus, minus]), len(x)
-    lists = np.sort(x, axis=0)
-    active, out, depth = np.arange(len(q)), [], max(k + 1, n // 4)
+    lists, out = np.sort(x, axis=0), []
+    for a in range(0, len(q), TOGETHER):
+        r, i, s = _nra(qids[a : a + TOGETHER], q[a : a + TOGETHER], ids, x, lists, k)
+        out.append((r + a, i, s))
+    return tuple(np.concatenate([p[j] for p in out]) if out else np.empty(0, int) for j in range(2)) + (np.concatenate([p[2] for p in out]).astype(np.int64) if out else np.empty(0, np.int64),)
+
+
+def _scores(q: np.ndarray, x: np.ndarray, r: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (r, i), r rising: a product of a query with its own rows at a time."""
+    out = np.empty(len(r), q.dtype)
+    at = np.searchsorted(r, np.arange(len(q) + 1))
+    for n in np.unique(r):
+        out[at[n] : at[n + 1]] = x[i[at[n] : at[n + 1]]] @ q[n]
+    return out
+
+
+def _nra(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, active, out = len(x), np.arange(len(q)), []
+    both = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
+    sample = np.random.default_rng(5).permutation(n)[: max(4 * k, n // 32)]
+    WORK["all"] += len(q) * n
+
+    def upper(who: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
+        high, low = lists[n - depth], lists[depth - 1]
+        return both[who] @ np.hstack([np.maximum(rows, high), np.minimum(rows, low)]).T  # what is beyond the frontier has been read
+
+    def settle(who: np.ndarray, can: np.ndarray, depth: int) -> None:
+        r, i = np.nonzero(can)
+        s = np.full(can.shape, -np.inf, q.dtype)
+        s[r, i] = _scores(q[who], x, r, i)
+        s[qids[who][:, None] == ids[None, :]] = -np.inf
+        WORK["read"] += len(who) * depth
+        WORK["resolved"] += len(r)
+        found = _top(s, k)
+        out.append((who[found[0]], *found[1:]))
+
+    # of a few, what the best of the sample reach tells how deep to read first
+    depth, step = max(k + 1, n // 16), max(1, n // 16)
     while len(active):
-        a = both[active]
-        if depth >= n:  # the lists have been read to their ends: bounds meet
-            s = q[active] @ x.T
-            s[qids[active][:, None] == ids[None, :]] = -np.inf
-            out.append((active, *_top(s, k)))
+        if depth + step >= n:  # the lists end: all that is left is resolved
+            settle(active, np.ones((len(active), n), bool), n)
             break
-        high, low = lists[n - depth], lists[depth - 1]
-        upper = a @ np.hstack([np.maximum(x, high), np.minimum(x, low)]).T
-        lower = a @ np.hstack([np.where(x >= high, x, lists[0]), np.where(x <= low, x, lists[-1])]).T
-        own = qids[active][:, None] == ids[None, :]
-        lower[own], upper[own] = -np.inf, -np.inf
-        least = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(active), -np.inf)
-        can = upper >= least[:, None]
-        few = can.sum(axis=1) <= max(4 * k, n // 16)
-        if few.any():
-            r, i = np.nonzero(can[few])
-            s = np.full((int(few.sum()), n), -np.inf, kind)
-            s[r, i] = np.einsum("ij,ij->i", q[active[few]][r], x[i])
-            s[own[few]] = -np.inf
-            out.append((active[few], *_top(s, k)))
-        active = active[~few]
-        depth *= 2 if len(active) * 2 < len(q) else 4
-    rows = [(who[r], i, s) for who, r, i, s in out]
-    r, i, s = (np.concatenate([p[j] for p in rows]) for j in range(3))
-    return r, i, s.astype(np.int64)
+        some = upper(active, x[sample], depth)
+        best = q[active] @ x[sample].T
+        likely = np.partition(best, len(sample) - min(k, len(sample)), axis=1)[:, len(sample) - min(k, len(sample))] if len(sample) > k else best.max(axis=1)
+        ripe = (some >= likely[:, None]).mean(axis=1) <= 0.5
+        if ripe.any():
+            who = active[ripe]
+            bound = upper(who, x, depth)
+            bound[qids[who][:, None] == ids[None, :]] = -np.inf
+            lead = np.argpartition(bound, n - 4 * k, axis=1)[:, n - 4 * k :] if n > 4 * k else np.tile(np.arange(n), (len(who), 1))
+            lead = np.sort(lead, axis=1)
+            known = _scores(q[who], x, np.repeat(np.arange(len(who)), lead.shape[1]), lead.ravel()).reshape(lead.shape)
+            known[qids[who][:, None] == ids[lead]] = -np.inf
+            WORK["resolved"] += lead.size
+            least = np.partition(known, lead.shape[1] - k, axis=1)[:, lead.shape[1] - k] if lead.shape[1] > k else np.full(len(who), -np.inf)
+            can = bound >= least[:, None]
+            few = can.sum(axis=1) <= max(4 * k, n // 8)
+            if few.any():
+                settle(who[few], can[few], depth)
+                active = np.setdiff1d(active, who[few])
+        depth += step
+    r, i, s = (np.concatenate([p[j] for p in out]) if out else np.empty(0, int) for j in range(3))
+    return r, i, s
 
 
 def _exact_large(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,46 +218,61 @@ def kd_leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
     return leaves
 
 
-def projected(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, m: int = 8, p: float = 0.97, leaf: int = 128, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def projected(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, m: int = 16, p: float = 0.85, leaf: int = 64, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Largest inner products by incremental neighbours in a projected kd-tree, with a chi-square stop.
 
     A component sqrt(M^2 - |x|^2) makes all candidates as long as the longest, M, so the largest
     inner product is the smallest distance. Candidates are projected by m Gaussian (2-stable)
-    directions and indexed in a kd-tree. A query takes the leaves in order of their distance D to
-    its projection and verifies their vectors exactly. For a vector at distance d the squared
-    projected distance over d^2 follows chi-square with m degrees, so once D^2 exceeds the
-    p-quantile times the squared distance of the k-th best so far, each better vector left has been
-    met with probability p at least: it stops. Leaves are verified in growing batches.
+    directions and indexed in a kd-tree. A query verifies the candidates in order of their distance D
+    to its projection: those of the nearest leaves, then, in growing batches, those of all leaves
+    that come near enough. For a vector at distance d the squared projected distance over d^2
+    follows chi-square with m degrees, so once D^2 exceeds the p-quantile times the squared distance
+    of the k-th best so far, each better vector left would have been met with probability p at
+    least: it stops.
     """
     long = float(np.sqrt((x * x).sum(1).max()))
     extra = np.sqrt(np.maximum(long**2 - (x * x).sum(1), 0))
     a = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, m))
     px, pq = np.hstack([x, extra[:, None]]) @ a, q @ a[:-1]
-    leaves = kd_leaves(px, leaf)
-    low, high = (np.array([f(px[r], axis=0) for r in leaves]) for f in (np.min, np.max))
-    gap = np.stack([(np.maximum(low - row, 0) + np.maximum(row - high, 0)) for row in pq])
-    gap = (gap**2).sum(2)
-    order = np.argsort(gap, axis=1, kind="stable")
-    place = np.argsort(order, axis=1, kind="stable")
-    best, quantile, lens = np.full((len(q), len(x)), -np.inf), chi_square(p, m), (q * q).sum(1) + long**2
-    todo, a0, step = np.ones(len(q), bool), 0, max(1, ceil(2 * k / leaf))
-    while todo.any() and a0 < len(leaves):
-        need = todo[:, None] & (place >= a0) & (place < a0 + step)
-        for j in np.flatnonzero(need.any(0)):
-            rows = np.flatnonzero(need[:, j])
-            best[rows[:, None], leaves[j]] = np.einsum("id,jd->ij", q[rows], x[leaves[j]], optimize=True)
-        a0 += step
-        if a0 < len(leaves):
-            w = np.flatnonzero(todo)
-            b = best[w]
-            b[qids[w][:, None] == ids[None, :]] = -np.inf
-            kth = np.partition(b, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(w), -np.inf)
-            todo[w] = gap[w, order[w, a0]] <= quantile * np.maximum(lens[w] - 2 * kth, 0)
-        step *= 2
-    best[qids[:, None] == ids[None, :]] = -np.inf
-    r, i, _ = _top(best, k)
-    s = np.einsum("ij,ij->i", q[r], x[i])
-    return r, i, s
+    order = np.concatenate(leaves := kd_leaves(px, leaf))
+    px, x, ids_ = px[order], x[order], ids[order]  # leaf by leaf
+    start = np.concatenate([[0], np.cumsum([len(r) for r in leaves])])
+    low, high = (f.reduceat(px, start[:-1], axis=0) for f in (np.minimum, np.maximum))
+    quantile, lens, square = chi_square(p, m), (q * q).sum(1) + long**2, (px * px).sum(1)
+    rows, columns, scores = [], [], []
+    first, sizes = min(len(leaves), max(2, ceil(2 * k / leaf))), np.diff(start)
+    for n, row in enumerate(pq):
+        if n % TOGETHER == 0:
+            some = pq[n : n + TOGETHER]
+            apart = square - 2 * (some @ px.T) + (some * some).sum(1)[:, None]
+        gap = ((np.maximum(low - row, 0) + np.maximum(row - high, 0)) ** 2).sum(1)
+        near = np.zeros(len(leaves), bool)
+        near[np.argpartition(gap, first - 1)[:first]] = True
+        others = ids_ != qids[n]
+        done = np.flatnonzero(np.repeat(near, sizes) & others)
+        s = x[done] @ q[n]
+        reach = lambda s: quantile * max(lens[n] - 2 * np.partition(s, len(s) - k)[len(s) - k], 0) if len(s) > k else np.inf  # noqa: B023, E731
+        limit, d = reach(s), apart[n % TOGETHER]
+        left = np.flatnonzero(np.repeat((gap <= limit) & ~near, sizes) & others & (d <= limit))
+        for share in (0.25, 0.5, 1.0):
+            now = d[left] <= limit * share if limit < np.inf else np.ones(len(left), bool)
+            done, s = np.append(done, left[now]), np.append(s, x[left[now]] @ q[n])
+            left, limit = left[~now], min(limit, reach(s))
+        WORK["all"] += len(x)
+        WORK["resolved"] += len(done)
+        keep = np.argpartition(-s, 2 * k)[: 2 * k] if len(s) > 2 * k else np.arange(len(s))
+        least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+        keep = np.flatnonzero(s >= least) if (s >= least).sum() > 2 * k else keep  # ties at the k-th place
+        rows.append(np.full(len(keep), n))
+        columns.append(order[done[keep]])
+        scores.append(s[keep])
+    r, i, s = (np.concatenate(v) if v else np.empty(0, int) for v in (rows, columns, scores))
+    by = np.lexsort((i, -s, r))
+    r, i, s = r[by], i[by], s[by]
+    place = np.arange(len(r)) - np.searchsorted(r, r, side="left")
+    r, i = r[place < k], i[place < k]
+    inverse = np.argsort(order)
+    return r, i, np.einsum("ij,ij->i", q[r], x[inverse[i]])
 
 
 def near_top_k(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
