@@ -13,6 +13,10 @@ import numpy as np
 import pyarrow as pa
 
 
+#: Rows looked at together, so that the work for each size of group is shared.
+ROWS_TOGETHER = 80_000
+
+
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
@@ -24,8 +28,8 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int, deri
     """
     held: dict[str, np.ndarray] | None = None
     overflow = None  # the key of a group whose rows are being put off
-    for batch in batches:
-        cols = {n: column(batch, n) for n in batch.schema.names}
+    for some in _together(batches):
+        cols = {n: np.concatenate([column(b, n) for b in some]) for n in some[0].schema.names}
         cols |= {n: f(cols) for n, f in (derived or {}).items()}
         if overflow is not None:
             same = np.logical_and.reduce([cols[k] == v for k, v in zip(keys, overflow, strict=True)])
@@ -52,6 +56,18 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int, deri
         yield from _whole(held, np.array([0, n]), limit)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    some, n = [], 0
+    for b in batches:
+        some.append(b)
+        n += b.num_rows
+        if n >= ROWS_TOGETHER:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
 def _whole(cols: dict[str, np.ndarray], starts: np.ndarray, limit: int) -> Iterator[tuple[str, dict[str, np.ndarray], np.ndarray]]:
     size = np.diff(starts)
     for kind, keep in (("large", size > limit), ("groups", (size > 1) & (size <= limit))):

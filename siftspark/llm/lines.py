@@ -17,8 +17,14 @@ from .repeats import _mix, _powers
 COUNTED = 1 << 21
 COUNT_BLOCK = 1 << 15
 #: Rows of one token that meet in one task; candidates that a line names for each token at first, where more than MANY are all but sure.
-GROUP_ROWS, FIRST, MANY = 8192, 3, 16
-N_BITS, POS_BITS = 20, 16
+GROUP_ROWS, FIRST, MANY = 8192, 24, 32
+#: Words of lines to be joined again that are sent to all tasks at most; more are joined.
+WORDS_SENT = 1 << 17
+#: A key holds 40 bits of a word's hash, the line's number of words and the word's place among them; longer lines count as the longest, which only lets more pairs pass.
+N_BITS, POS_BITS = 12, 12
+REST = N_BITS + POS_BITS
+#: Bits that may differ, up to which the parities of a pair say that it is all but sure.
+SURE_BITS = 48
 TABLE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -109,27 +115,37 @@ def line_sets(data: bytes, wanted: np.ndarray, rarity: np.ndarray) -> tuple[np.n
     return h, row, np.searchsorted(row, np.arange(len(wanted) + 1))
 
 
-def _index(rarity, similarity: float):
-    """Prefix words of lines: key (word, size, place), id, and the parities of the words' bits in two words of 64."""
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64())])
+_INDEX = "key long, id long, b1 long, b2 long"
+
+
+def _index(rarity, similarity: float, only=None):
+    """Prefix words of lines that stand more than once in all documents, or of them those in only (sorted): key (word, size, place), id, and the parities of the line's words in 128 classes."""
+    schema = pa.schema([(x, pa.int64()) for x in ("key", "id", "b1", "b2")])
     make = lambda *c: batch_of(schema, *c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = b.column(1)
+            offsets, flat = b.column(1).offsets.to_numpy(), b.column(1).flatten()
+            offsets = offsets - offsets[0]
+            line, own = flat.field("line").to_numpy(), flat.field("id").to_numpy()
             for rows, firsts, data in _buffers((i, _raw(t)) for i, t in enumerate(b.column(0))):
-                got = [(f + x["line"], x["id"]) for r, f in zip(rows.tolist(), firsts.tolist(), strict=True) for x in lines[r].as_py()]
-                got.sort()
-                wanted, ids = (np.array(x, np.int64) for x in zip(*got, strict=True))
+                some = slice(offsets[rows[0]], offsets[rows[-1] + 1])
+                wanted = line[some] + np.repeat(firsts, offsets[rows + 1] - offsets[rows])
+                order = np.argsort(wanted)
+                wanted, ids = wanted[order], own[some][order]
                 h, row, at = line_sets(data, wanted, rarity.value)
                 n = np.diff(at)
-                bit, half = np.uint64(1) << (h >> np.uint64(58)), (h >> np.uint64(57)) & np.uint64(1)  # one of 128 bits for each word
+                bit, half = np.uint64(1) << (h >> np.uint64(58)), (h >> np.uint64(57)) & np.uint64(1)
                 b1, b2 = (np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), at[:-1]) for k in (0, 1))
                 place = np.arange(len(h)) - at[row]
-                pre = place < prefix_length(n, similarity)[row]
-                row, place, word = row[pre], place[pre], h[pre] >> np.uint64(N_BITS + POS_BITS)
+                pre = (place < prefix_length(n, similarity)[row]) & (rarity.value[(h & np.uint64(COUNTED - 1)).astype(np.int64)] > 1)
+                row, place, word = row[pre], place[pre], h[pre] >> np.uint64(REST)
+                if only is not None:
+                    at_ = np.minimum(np.searchsorted(only.value, word), len(only.value) - 1)
+                    hit = only.value[at_] == word
+                    row, place, word = row[hit], place[hit], word[hit]
                 size = np.minimum(n[row], (1 << N_BITS) - 1).astype(np.uint64)
-                key = (word << np.uint64(N_BITS + POS_BITS)) | (size << np.uint64(POS_BITS)) | np.minimum(place, (1 << POS_BITS) - 1).astype(np.uint64)
+                key = (word << np.uint64(REST)) | (size << np.uint64(POS_BITS)) | np.minimum(place, (1 << POS_BITS) - 1).astype(np.uint64)
                 yield from in_pieces(make, key.view(np.int64), ids[row], b1[row].view(np.int64), b2[row].view(np.int64))
 
     return run
@@ -143,57 +159,62 @@ def _matching(x: dict, late: np.ndarray, early: np.ndarray, similarity: float) -
     n, m = x["n"][late], x["n"][early]
     ok = np.flatnonzero(np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
     late, early, n, m = late[ok], early[ok], n[ok], m[ok]
-    need = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+    need = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int32)
     ok = np.flatnonzero(np.minimum(n - x["pos"][late], m - x["pos"][early]) >= need)
     late, early, most = late[ok], early[ok], (n + m)[ok] - 2 * need[ok]
-    differ = np.bitwise_count(x["b1"][late] ^ x["b1"][early]).astype(np.int64) + np.bitwise_count(x["b2"][late] ^ x["b2"][early])
+    differ = np.bitwise_count(x["b1"][late] ^ x["b1"][early]).astype(np.int32) + np.bitwise_count(x["b2"][late] ^ x["b2"][early])
     ok = np.flatnonzero((differ <= most) & (x["id"][late] != x["id"][early]))
-    return late[ok], early[ok], differ[ok], 2 * differ[ok] <= most[ok]
+    late, early, differ, most = late[ok], early[ok], differ[ok], most[ok]
+    swap = x["id"][late] < x["id"][early]
+    return np.where(swap, early, late), np.where(swap, late, early), differ, (2 * differ <= most) & (most <= SURE_BITS)
 
 
-def _chosen(x: dict, late: np.ndarray, early: np.ndarray, differ: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chosen(x: dict, late: np.ndarray, early: np.ndarray, differ: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, ...]:
     """For each late row all of early, or, if more than MANY are all but sure, the FIRST nearest of these alone (over: others are left out)."""
     order = np.lexsort((x["id"][early], differ, late))
-    late, early, sure = late[order], early[order], sure[order]
+    late, early, differ, sure = late[order], early[order], differ[order], sure[order]
     first = np.searchsorted(late, late, side="left")
     upto = np.concatenate([[0], np.cumsum(sure)])
-    some = upto[np.searchsorted(late, late, side="right")] - upto[first] > MANY
-    keep = ~some | (np.arange(len(late)) - first < FIRST)
-    over = some
-    return late[keep], early[keep], over[keep].astype(np.int64)
+    over = upto[np.searchsorted(late, late, side="right")] - upto[first] > MANY
+    keep = ~over | (np.arange(len(late)) - first < FIRST)
+    return late[keep], early[keep], differ[keep], over[keep].astype(np.int32)
+
+
+_CANDIDATES = "id long, to long, differ int, over int, key long, b1 long, b2 long"
 
 
 def _candidates(keys: list[str], limit: int, similarity: float, all_of_probe: bool):
-    """For each line and prefix word, earlier lines that may match, as _chosen() picks them, or all of them for probes. Rows must be sorted by key inside their groups."""
-    schema = pa.schema([("id", pa.int64()), ("to", pa.int64()), ("over", pa.int64()), ("key", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64())])
+    """For each line and prefix word, earlier lines that may match, as _chosen() picks them, or all of them for probes; rows of words over limit come back with to null."""
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in _CANDIDATES.split(", ")])
 
-    def pick(x: dict, probe: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-        swap = x["id"][i] < x["id"][j]
-        late, early, differ, sure = _matching(x, np.where(swap, j, i), np.where(swap, i, j), similarity)
+    def pick(x: dict, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        late, early, differ, sure = _matching(x, i, j, similarity)
         if not len(late):
             return
-        if probe is None:
-            late, early, over = _chosen(x, late, early, differ, sure)
+        if "probe" in x:
+            ok = x["probe"][late].astype(bool)
+            late, early, differ = late[ok], early[ok], differ[ok]
+            over = np.zeros(len(late), np.int32)
         else:
-            ok = probe[late].astype(bool)
-            late, early = late[ok], early[ok]
-            over = np.zeros(len(late), np.int64)
-        zero = pa.nulls(len(late), pa.int64())
-        yield batch_of(schema, x["id"][late], x["id"][early], over, zero, zero, zero)
+            late, early, differ, over = _chosen(x, late, early, differ, sure)
+        none = pa.nulls(len(late), pa.int64())
+        yield batch_of(schema, x["id"][late], x["id"][early], differ, over, none, none, none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, c, starts in grouped(batches, keys, limit, {"w": lambda c: c["key"].view(np.uint64) >> np.uint64(N_BITS + POS_BITS)}):
+        for kind, c, starts in grouped(batches, keys, limit, {"w": lambda c: c["key"].view(np.uint64) >> np.uint64(REST)}):
             if kind == "large":
-                none = pa.nulls(len(c["id"]), pa.int64())
-                yield batch_of(schema, c["id"], none, none, c["key"], c["b1"], c["b2"])
+                none = [pa.nulls(len(c["id"]), f.type) for f in list(schema)[1:4]]
+                yield batch_of(schema, c["id"], *none, c["key"], c["b1"], c["b2"])
                 continue
             key = c["key"].view(np.uint64)
-            x = {"n": ((key >> np.uint64(POS_BITS)) & np.uint64((1 << N_BITS) - 1)).astype(np.int64), "pos": (key & np.uint64((1 << POS_BITS) - 1)).astype(np.int64), "id": c["id"], "b1": c["b1"].view(np.uint64), "b2": c["b2"].view(np.uint64)}
-            probe = c["probe"] if all_of_probe else None
+            x = {"n": ((key >> np.uint64(POS_BITS)) & np.uint64((1 << N_BITS) - 1)).astype(np.int32), "pos": (key & np.uint64((1 << POS_BITS) - 1)).astype(np.int32), "id": c["id"], "b1": c["b1"].view(np.uint64), "b2": c["b2"].view(np.uint64)}
+            if all_of_probe:
+                x["probe"] = c["probe"]
             for i, j in small_pairs(starts, 64):
-                yield from pick(x, probe, i, j)
+                yield from pick(x, i, j)
             for g in np.flatnonzero(np.diff(starts) > 64):
-                own, n = np.arange(starts[g], starts[g + 1]), x["n"][starts[g] : starts[g + 1]]
+                own, n = np.arange(starts[g], starts[g + 1]), x["n"][starts[g] : starts[g + 1]]  # in order of n
                 # a row and every row of its length window, before and behind, so that it sees all of its candidates at once
                 low, high = np.searchsorted(n, similarity * n - 1, "left"), np.searchsorted(n, n / similarity + 1, "right")
                 for s in range(0, len(own), 256):
@@ -201,32 +222,29 @@ def _candidates(keys: list[str], limit: int, similarity: float, all_of_probe: bo
                     part = np.arange(s, min(s + 256, len(own)))
                     i, j = np.repeat(part, len(near)), np.tile(near, len(part))
                     ok = x["id"][own[i]] > x["id"][own[j]]
-                    yield from pick(x, probe, own[i[ok]], own[j[ok]])
+                    yield from pick(x, own[i[ok]], own[j[ok]])
 
     return run
 
 
-_CANDIDATES = "id long, to long, over long, key long, b1 long, b2 long"
-
-
 def _joined(index: DataFrame, scratch: Scratch, similarity: float, limit: int, name: str, all_of_probe: bool = False) -> DataFrame:
-    """Candidate pairs (id, to, over). Words of more than limit lines are dealt out as pairs of chunks of them."""
-    word = F.shiftrightunsigned("key", N_BITS + POS_BITS)
+    """Candidate pairs (id, to, differ, over). Words of more than limit lines are dealt out as pairs of chunks of them."""
+    word = F.shiftrightunsigned("key", REST)
     found = index.repartition(word).sortWithinPartitions("key").mapInArrow(_candidates(["w"], limit, similarity, all_of_probe), _CANDIDATES)
     found = scratch.save(found, f"{name}-found")
     scratch.settle()
     large = found.where("to is null").select("key", "id", "b1", "b2").withColumn("w", word)
     out = found.where("to is not null")
     if not large.isEmpty():
-        chunks = large.groupBy("w").agg(F.ceil(F.count("*") / (limit // 2)).cast("int").alias("n"))
-        y = large.join(chunks, "w").withColumn("c", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+        chunks = large.groupBy("w").agg(F.ceil(F.count("*") / (limit // 2)).cast("int").alias("k"))
+        y = large.join(chunks, "w").withColumn("c", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
         if all_of_probe:
             y = y.join(index.where("probe = 1").select("id").distinct().withColumn("probe", F.lit(1).cast("long")), "id", "left").fillna(0, ["probe"])
-        y = y.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        y = y.withColumn("lo", F.least("c", "o").cast("long")).withColumn("hi", F.greatest("c", "o").cast("long")).drop("c", "o", "n")
+        y = y.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        y = y.withColumn("lo", F.least("c", "o").cast("long")).withColumn("hi", F.greatest("c", "o").cast("long")).drop("c", "o", "k")
         more = y.repartition("w", "lo", "hi").sortWithinPartitions("w", "lo", "hi", "key").mapInArrow(_candidates(["w", "lo", "hi"], 1 << 62, similarity, all_of_probe), _CANDIDATES)
         out = out.union(scratch.save(more, f"{name}-more"))
-    return out.groupBy("id", "to").agg(F.max("over").alias("over"))
+    return out.groupBy("id", "to").agg(F.min("differ").alias("differ"), F.max("over").alias("over"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,9 +281,10 @@ def later_lines(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, limi
     Lines of the same words in turn meet by a grouped minimum; only the first goes on. Words are
     ordered by rarity in all documents, and an equality join on the prefixes, with length,
     positional and bit filters, gives candidates: all of them, but where very many match all but
-    surely by their bits only the nearest few of a line and word; a line of which none proves
-    right and that has more is joined again with all of them. Candidates are verified on the
-    lines' whole texts.
+    surely by their bits only the nearest few of a line and word. One proven earlier line is
+    enough: the nearest candidate of each line is verified on the lines' whole texts, then all
+    others of the lines that are left; a line that then has none proven, but had some left out, is
+    joined again with all of them.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string"))
     kinds = ", ".join(f"{x} long" for x in _LINES)
@@ -286,26 +305,39 @@ def later_lines(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, limi
         s = some.groupBy(F.col("doc_id").alias("s_doc"), F.col("th").alias("s_th")).agg(F.collect_list(F.struct("line", "id")).alias("lines"))
         return d.join(s, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("th") == F.col("s_th"))).select("text", "lines")
 
-    index = with_text(ordered).mapInArrow(_index(rarity, similarity), "key long, id long, b1 long, b2 long")
+    index = with_text(ordered).mapInArrow(_index(rarity, similarity), _INDEX)
     pairs = scratch.save(_joined(index, scratch, similarity, limit, "line-1"), "line-pairs")
 
     def verified(p: DataFrame, name: str) -> DataFrame:
         used = p.select("id").union(p.select("to")).distinct()
         texts = scratch.save(with_text(ordered.join(used, "id", "left_semi")).mapInArrow(_texts, "t_id long, line binary").dropDuplicates(["t_id"]), f"{name}-texts")
         scratch.settle()
-        x = p.join(texts, p.id == F.col("t_id")).select("id", "to", F.col("line").alias("a"))
-        x = x.join(texts, F.col("to") == F.col("t_id")).select("id", "a", F.col("line").alias("b"))
-        return scratch.save(x.mapInArrow(_verify(similarity), "id long").distinct(), f"{name}-verified")
+
+        def proven(q: DataFrame, part: str) -> DataFrame:
+            x = q.join(texts, q.id == F.col("t_id")).select("id", "to", F.col("line").alias("a"))
+            x = x.join(texts, F.col("to") == F.col("t_id")).select("id", "a", F.col("line").alias("b"))
+            return scratch.save(x.mapInArrow(_verify(similarity), "id long").distinct(), f"{name}-{part}")
+
+        nearest = p.groupBy("id").agg(F.min(F.struct("differ", "to")).alias("best")).select("id", "best.to")
+        found = proven(nearest, "nearest")
+        rest = p.join(found, "id", "left_anti").join(nearest, ["id", "to"], "left_anti").select("id", "to")
+        return found.union(proven(rest, "rest"))
 
     found = verified(pairs, "line-1")
     again = scratch.save(pairs.where("over = 1").select("id").distinct().join(found, "id", "left_anti"), "line-again")
     if not again.isEmpty():
-        probes = index.join(again.withColumn("probe", F.lit(1).cast("long")), "id", "left").fillna(0, ["probe"])
-        words = probes.where("probe = 1").select(F.shiftrightunsigned("key", N_BITS + POS_BITS).alias("pw")).distinct()
-        probes = probes.join(words, F.shiftrightunsigned("key", N_BITS + POS_BITS) == F.col("pw"), "left_semi")
-        probes = scratch.save(probes.select("key", "id", "b1", "b2", "probe"), "line-probes")
-        more = scratch.save(_joined(probes, scratch, similarity, limit, "line-2", True).join(pairs, ["id", "to"], "left_anti"), "line-pairs-2")
-        found = found.union(verified(more, "line-2")).distinct()
+        word = F.shiftrightunsigned("key", REST)
+        own = with_text(ordered.join(again, "id", "left_semi")).mapInArrow(_index(rarity, similarity), _INDEX)
+        words = scratch.save(own.select(word.alias("pw")).distinct(), "line-words")
+        if words.count() <= WORDS_SENT:
+            sent = np.sort(np.array([r.pw for r in words.collect()], np.int64).view(np.uint64))
+            some = with_text(ordered).mapInArrow(_index(rarity, similarity, scratch.spark.sparkContext.broadcast(sent)), _INDEX)
+        else:
+            some = scratch.save(index, "line-index").join(words, word == F.col("pw"), "left_semi")
+        some = some.join(again.withColumn("probe", F.lit(1).cast("long")), "id", "left").fillna(0, ["probe"])
+        probes = scratch.save(some.select("key", "id", "b1", "b2", "probe"), "line-probes")
+        more = _joined(probes, scratch, similarity, limit, "line-2", True).join(pairs, ["id", "to"], "left_anti")
+        found = found.union(verified(scratch.save(more, "line-pairs-2"), "line-2")).distinct()
     scratch.settle()
     gone = ordered.join(found, "id", "left_semi").select("doc_id", "th", "line")
     same = lines.join(first, ["s1", "s2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "line")

@@ -102,9 +102,11 @@ def brute_lines(rows, similarity=0.8):
     return out
 
 
-@pytest.mark.parametrize(("limit", "many"), [(8192, 16), (8, 0)])
-def test_line_dedup(spark, monkeypatch, limit, many):
+@pytest.mark.parametrize(("limit", "many", "sent"), [(8192, 16, 1 << 17), (8, 0, 1 << 17), (8192, 0, 0)])
+def test_line_dedup(spark, monkeypatch, limit, many, sent):
     monkeypatch.setattr(lines, "MANY", many)
+    monkeypatch.setattr(lines, "FIRST", 1 if sent == 0 else lines.FIRST)
+    monkeypatch.setattr(lines, "WORDS_SENT", sent)
     r = np.random.default_rng(2)
     words = [f"v{i}" for i in range(60)]
     make = lambda: " ".join(r.choice(words, r.integers(2, 14)))
