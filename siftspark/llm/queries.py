@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, packing, quality, repeats, simhash, url_filter, vectors
+from . import audit, langid, lines, mixing, packing, quality, repeats, resampling, simhash, squares, url_filter, vectors
 from .common import Scratch, table
 
 def every_20th() -> Column:
@@ -68,8 +68,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's texts: every document's weight and score, and the rank of the drawn."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all their orders, for each source."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+
+
+def op13_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of up to 2,048 tokens of the byte-level vocabulary."""
+    import public_tokenizers
+
+    return squares.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_quality_classifier, op4_source_mix, op5_near_neighbours, op6_url_filter, op7_simhash_near_dedup, op8_line_dedup, op9_repeated_strings, op10_language_id)
+    f.__name__: f for f in (op1_exact_top_k, op2_best_fit_packing, op3_quality_classifier, op4_source_mix, op5_near_neighbours, op6_url_filter, op7_simhash_near_dedup, op8_line_dedup, op9_repeated_strings, op10_language_id, op11_target_resampling, op12_filter_audit, op13_online_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,4 +109,34 @@ SELECT doc_id, source, size, source_size, target, key, CAST(CASE WHEN source_siz
  r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) r(h, p, v)),
  m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)""",
+    "op11_target_resampling": r"""WITH RECURSIVE k(i, c) AS (SELECT 0, [x::UBIGINT for x in range(256)] UNION ALL SELECT i + 1, [CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END for x in c] FROM k WHERE i < 8),
+ crc AS (SELECT c FROM k WHERE i = 8),
+ texts AS (SELECT 's' AS side, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark),
+ d AS (SELECT side, doc_id, row_number() OVER () AS n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+ w AS (SELECT side, n, unnest(words) AS word FROM d),
+ v AS (SELECT DISTINCT word, hex(word) AS h FROM w),
+ b AS (SELECT word, xor(list_reduce(list_prepend(4294967295::UBIGINT, [CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS UBIGINT) for i in range(len(h) // 2)]),
+   lambda a, x: xor(crc.c[CAST(xor(a & 255, x) AS INTEGER) + 1], a >> 8)), 4294967295::UBIGINT) % 10000 AS bucket FROM v, crc),
+ c AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM w JOIN b USING (word) GROUP BY bucket),
+ z AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM c),
+ g AS (SELECT word, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (all_s + 10000) / ((s + 1.0::DOUBLE) * (all_t + 10000)))) AS BIGINT) AS gain FROM b JOIN c USING (bucket), z),
+ m AS (SELECT n, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM w JOIN g USING (word) WHERE side = 's' GROUP BY n),
+ x AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (n) WHERE side = 's'),
+ y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM x),
+ r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS r, count(*) FILTER (n_features >= 20) OVER () AS fit FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= fit * 10 // 100 THEN r END AS rank FROM r""",
+    "op12_filter_audit": r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ f AS (SELECT t.doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+   coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic FROM t LEFT JOIN (SELECT doc_id AS l_doc, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l_doc = doc_id),
+ p AS (SELECT * FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS p1), (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS p2), (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS p3), (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS p4), (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS p5)
+   WHERE len(list_distinct([p1, p2, p3, p4, p5])) = 5),
+ o AS (SELECT p1 || p2 || p3 || p4 || p5 AS filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM p),
+ q AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS failing,
+   count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+ x AS (SELECT *, len(translate(failing, substr(filter_order, 1, step - 1), '')) = len(failing) AS there, contains(failing, substr(filter_order, step, 1)) AS hit,
+   len(translate(failing, substr(filter_order, 1, step), '')) = len(failing) AS stays FROM q, o),
+ s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, coalesce(sum(n) FILTER (stays), 0) AS kept, coalesce(sum(n) FILTER (there AND hit), 0) AS removed, coalesce(sum(n) FILTER (hit AND NOT there), 0) AS redundant,
+   coalesce(sum(n) FILTER (failing = substr(filter_order, step, 1)), 0) AS unique_fails, coalesce(sum(good) FILTER (there AND hit), 0) AS good_lost, coalesce(sum(toxic) FILTER (there AND hit), 0) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+ CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM s""",
 }
