@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import reciprocal_rank_fusion
-from .retrieval import dense_top, lexical, sparse_top
+from .retrieval import dense_top, lexical, loose, sparse_top
 from .skills import GROUPS, SCOPES, expanded, mentioned
 
 #: Words that are no concepts, compounds that are one, the words of an empty query, and the most concepts before words stop and in all.
@@ -25,36 +25,57 @@ PROJECTS, DELIVERY, EDUCATION = "Projects demonstrating hands-on experience", "H
 CATEGORIES = ("SKILLS", "EXPERIENCE", "PROJECTS", "EDUCATION")
 KINDS = {"SKILLS": "skill", "EXPERIENCE": "experience", "PROJECTS": "project", "EDUCATION": "education"}
 
+#: What a profile says of a skill.
+SKILL = "struct<canonical: string, aliases: array<string>, substitutes: array<string>>"
+
 _STOP = rf"(?:{'|'.join(STOP_WORDS)}|\d+)"
 
 
+def mentioned_part(name: str) -> str:
+    """The pattern of a name without what may stand around it."""
+    return loose(name).removeprefix(r"(?<!\w)").removesuffix(r"(?!\w)")
+
+
+def best_of(rows: DataFrame, keys: list[str], order: list, rank: str, k: int = 10) -> DataFrame:
+    """The k first rows of each key, with their rank."""
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
+
+
 def _asks(query: Column) -> Column:
     return (F.trim(query) != "") & ~F.contains(F.lower(query), F.lit(NOTHING))
 
 
-def alternatives(rows: DataFrame, keys: list[str], terms: str, to: str) -> DataFrame:
-    """Adds to: the lexical forms of all spellings of an array of terms, in order, each once."""
-    x = rows.select(*keys, F.posexplode(expanded(F.col(terms))).alias("_at", "_term")).withColumn("_term", lexical(F.col("_term"))).where("_term <> ''")
-    x = x.groupBy(*keys).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_term"))), lambda t: t["_term"])).alias(to))
-    return rows.join(x, keys)
+def alternatives(rows: DataFrame, keys: list[str], terms: str, to: str, others: str | None = None) -> DataFrame:
+    """Adds to: the lexical forms of all spellings of an array of terms, in order, each once; rows without any go. others: the same for a second array, in its place, where none may be left."""
+    none = F.array().cast("array<string>")
+    both = {to: expanded(F.col(terms))} | ({others: expanded(F.coalesce(others, none))} if others else {})
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("terms")) for k, v in both.items()])
+    x = rows.select(*keys, F.explode(kinds).alias("_k")).select(*keys, F.col("_k.kind").alias("_kind"), F.posexplode("_k.terms").alias("_at", "_term"))
+    x = x.withColumn("_term", lexical(F.col("_term"))).where("_term <> ''")
+    ordered = lambda k: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("_kind") == k, F.struct("_at", "_term")))), lambda t: t["_term"])).alias(k)
+    x = x.groupBy(*keys).agg(*map(ordered, both)).where(F.size(to) > 0)
+    return rows.drop(*both).join(x, keys)
 
 
 def concept_plan(queries: DataFrame) -> DataFrame:
-    """Queries (job, category, query, required, preferred: arrays of skills, degree: arrays of terms) to concepts: job, category, ord, priority, alternatives.
+    """Queries (job, category, query, required, preferred, degree) to concepts: job, category, ord, priority, alternatives, substitutes.
 
+    required and preferred: arrays of skills (canonical, aliases, substitutes); degree: arrays of terms, one for the level and one for the fields.
     Named skills come first (for education the degree's terms), then technical names, compounds and quoted phrases of the query, items of
     its lists without stop words at their ends, and the words that no concept has yet. Concepts with the same alternatives are one. Words
     are added until there are 64 concepts. A query that asks for nothing adds none.
     """
     q, of = F.col("query"), ["job", "category"]
     asks, education = _asks(q), F.col("category") == "EDUCATION"
-    rows = lambda part, priority, terms: F.transform(terms, lambda t, i: F.struct(F.lit(part).alias("part"), i.alias("pos"), F.lit(priority).alias("priority"), t.alias("terms")))
+    nobody = F.array().cast("array<string>")
+    row = lambda part, i, priority, terms, others: F.struct(F.lit(part).alias("part"), i.alias("pos"), F.lit(priority).alias("priority"), terms.alias("terms"), others.alias("substitutes"))
+    rows = lambda part, priority, terms: F.transform(terms, lambda t, i: row(part, i, priority, t, nobody))
+    skilled = lambda part, priority, some: F.transform(F.coalesce(F.when(~education, some), none_of), lambda k, i: row(part, i, priority, F.concat(F.array(k["canonical"]), F.coalesce(k["aliases"], nobody)), F.coalesce(k["substitutes"], nobody)))
     single = lambda names: F.transform(names, lambda n: F.array(n))
-    none = F.array().cast("array<array<string>>")
+    none, none_of = F.array().cast("array<array<string>>"), F.array().cast(f"array<{SKILL}>")
     known = F.array_compact(F.array(*[F.when(reduce(or_, [q.rlike(mentioned(n)) for n in g]), F.array(F.lit(g[0]))) for g in GROUPS]))
     named = F.concat(
-        rows(0, "required", F.when(education, F.coalesce("degree", none)).otherwise(single(F.coalesce("required", F.array().cast("array<string>"))))),
-        rows(1, "preferred", F.when(education, none).otherwise(single(F.coalesce("preferred", F.array().cast("array<string>"))))),
+        rows(0, "required", F.when(education, F.coalesce("degree", none)).otherwise(none)), skilled(0, "required", F.col("required")), skilled(1, "preferred", F.col("preferred")),
         rows(2, "context", F.when(asks, known).otherwise(none)),
         rows(3, "context", F.when(asks, single(F.regexp_extract_all(q, F.lit(rf"(?i)\b({'|'.join(COMPOUNDS)})\b")))).otherwise(none)),
         rows(4, "context", F.when(asks, single(F.regexp_extract_all(q, F.lit(r'"([^"\n]{1,120})"')))).otherwise(none)),
@@ -64,18 +85,18 @@ def concept_plan(queries: DataFrame) -> DataFrame:
     item = F.trim(F.regexp_replace(F.regexp_replace("item", rf"^(?:{_STOP}(?: |$))+", ""), rf"(?:(?:^| ){_STOP})+$", ""))
     x = x.withColumn("terms", F.when(F.col("part") == 5, F.array(item)).otherwise(F.col("terms"))).drop("item")
     x = x.where((F.col("part") != 5) | ((F.col("terms")[0] != "") & (F.size(F.split(F.col("terms")[0], " ")) <= ITEM_WORDS)))
-    x = alternatives(x, [*of, "part", "pos"], "terms", "alternatives").drop("terms")
+    x = alternatives(x, [*of, "part", "pos"], "terms", "alternatives", "substitutes").drop("terms")
     once = Window.partitionBy(*of, F.array_join("alternatives", "\n")).orderBy("part", "pos")
     x = x.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    covered = x.select(*of, F.explode(F.split(F.array_join("alternatives", " "), " ")).alias("word")).distinct()
+    covered = x.select(*of, F.explode(F.split(F.array_join(F.concat("alternatives", "substitutes"), " "), " ")).alias("word")).distinct()
     words = queries.where(asks).select(*of, F.posexplode(F.split(lexical(q), " ")).alias("pos", "word")).where(~F.col("word").rlike(rf"^{_STOP}$") & (F.col("word") != ""))
     words = words.groupBy(*of, "word").agg(F.min("pos").alias("pos")).join(covered, [*of, "word"], "left_anti")
-    words = words.select(*of, F.lit(6).alias("part"), "pos", F.lit("context").alias("priority"), F.array("word").alias("terms"))
-    x = x.union(alternatives(words, [*of, "part", "pos"], "terms", "alternatives").drop("terms").select(*x.columns))
+    words = words.select(*of, F.lit(6).alias("part"), "pos", F.lit("context").alias("priority"), F.array("word").alias("terms"), nobody.alias("substitutes"))
+    x = x.union(alternatives(words, [*of, "part", "pos"], "terms", "alternatives", "substitutes").drop("terms").select(*x.columns))
     x = x.withColumn("_n", F.row_number().over(once)).where("_n = 1").withColumn("ord", F.row_number().over(Window.partitionBy(*of).orderBy("part", "pos")))
     named_n = F.sum((F.col("part") < 6).cast("int")).over(Window.partitionBy(*of))
     most = F.when(F.col("part") < 6, F.lit(ALL)).otherwise(F.least(F.lit(ALL), F.greatest(F.lit(WORDS), named_n + 1)))
-    return x.withColumn("_most", most).where(F.col("ord") <= F.col("_most")).select(*of, "ord", "priority", "alternatives")
+    return x.withColumn("_most", most).where(F.col("ord") <= F.col("_most")).select(*of, "ord", "priority", "alternatives", "substitutes")
 
 
 def target_concepts(plan: DataFrame, targets: DataFrame) -> DataFrame:
@@ -155,23 +176,27 @@ def retrieval_queries(profiles: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def resolved_targets(approved: DataFrame, skills: DataFrame, queries: DataFrame, plan: DataFrame) -> DataFrame:
-    """All targets of each job: job, target_id, category, kind, treatment, text, origin, groups (how many it has).
+    """All targets of each job: job, target_id, category, kind, treatment, text, origin, groups (arrays of terms), substitutes, importance.
 
-    approved: job, target_id, category, kind, treatment, text, groups. skills: job, no, name, wanted (required or preferred). queries: job,
-    category, query. plan: their concepts. A category with an approved requirement is explicit; explicit experience still gets delivery by
-    each required skill. Of the others, skills and experience follow from required skills where there are any, preferred skills from the
-    same; the rest from the category's query, unless it asks for nothing, or, for experience, for years.
+    approved: job, target_id, category, kind, treatment, text, groups, and importance and substitutes if there are any (else 1 and none).
+    skills: job, no, name, aliases, substitutes, wanted (required or preferred). queries: job, category, query. plan: their concepts. A
+    category with an approved requirement is explicit; explicit experience still gets delivery by each required skill. Of the others,
+    skills and experience follow from required skills where there are any, preferred skills from the same (without substitutes); the
+    rest from the category's query and its first eight concepts, unless it asks for nothing, or, for experience, for years.
     """
     explicit = approved.where("treatment = 'requirement'").select("job", "category").distinct()
-    columns = ["job", "target_id", "category", "kind", "treatment", "text", "origin", "groups"]
-    out = approved.withColumn("origin", F.lit("approved")).select(*columns[:-1], F.size("groups").alias("groups"))
+    nobody = F.array().cast("array<string>")
+    columns = ["job", "target_id", "category", "kind", "treatment", "text", "origin", "groups", "substitutes", "importance"]
+    given = lambda c, otherwise: F.coalesce(F.col(c), otherwise) if c in approved.columns else otherwise
+    out = approved.withColumns({"origin": F.lit("approved"), "substitutes": given("substitutes", nobody), "importance": given("importance", F.lit(1)).cast("int")}).select(*columns)
     need, nice = (skills.where(F.col("wanted") == w) for w in ("required", "preferred"))
     has = need.select("job").distinct()
+    terms = F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", nobody)))
 
     def derived(rows: DataFrame, prefix: str, category: str, text: Column, treatment: str) -> DataFrame:
         return rows.select(
             "job", F.concat(F.lit(prefix), F.col("no").cast("string")).alias("target_id"), F.lit(category).alias("category"), F.lit(KINDS[category]).alias("kind"), F.lit(treatment).alias("treatment"),
-            text.alias("text"), F.lit("derived").alias("origin"), F.lit(1).alias("groups"),
+            text.alias("text"), F.lit("derived").alias("origin"), F.array(terms).alias("groups"), (F.coalesce("substitutes", nobody) if treatment == "requirement" else nobody).alias("substitutes"), F.lit(1).alias("importance"),
         )
 
     name, delivery = F.col("name"), F.concat(F.lit(DELIVERY), "name")
@@ -180,10 +205,30 @@ def resolved_targets(approved: DataFrame, skills: DataFrame, queries: DataFrame,
     out = out.union(derived(need.join(of("EXPERIENCE"), "job", "left_anti"), "derived_experience_", "EXPERIENCE", delivery, "requirement"))
     out = out.union(derived(need.join(of("SKILLS"), "job", "left_anti"), "derived_skills_", "SKILLS", name, "requirement"))
     out = out.union(derived(nice.join(has, "job", "left_semi").join(of("SKILLS"), "job", "left_anti"), "derived_preferred_", "SKILLS", name, "preference"))
-    groups = plan.where(~F.array_join("alternatives", " ").isin(*STOP_WORDS)).groupBy("job", "category").agg(F.least(F.count("*"), F.lit(LEGACY_GROUPS)).cast("int").alias("groups"))
+    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "alternatives"))), 1, LEGACY_GROUPS), lambda c: c["alternatives"])
+    groups = plan.where(~F.array_join("alternatives", " ").isin(*STOP_WORDS)).groupBy("job", "category").agg(first.alias("groups"))
     left = queries.where(_asks(F.col("query"))).join(explicit, ["job", "category"], "left_anti").join(groups, ["job", "category"])
     skilled = left.where(F.col("category").isin("SKILLS", "EXPERIENCE")).join(has, "job", "left_semi").select("job", "category")
     left = left.join(skilled, ["job", "category"], "left_anti").where((F.col("category") != "EXPERIENCE") | ~F.col("query").rlike(r"(?i)\byears?\b"))
     kind = F.create_map(*[F.lit(v) for kv in KINDS.items() for v in kv])[F.col("category")]
-    legacy = left.select("job", F.concat(F.lit("legacy_"), F.lower("category")).alias("target_id"), "category", kind.alias("kind"), F.lit("requirement").alias("treatment"), F.col("query").alias("text"), F.lit("derived").alias("origin"), "groups")
+    legacy = left.select(
+        "job", F.concat(F.lit("legacy_"), F.lower("category")).alias("target_id"), "category", kind.alias("kind"), F.lit("requirement").alias("treatment"), F.col("query").alias("text"), F.lit("derived").alias("origin"), "groups",
+        nobody.alias("substitutes"), F.lit(1).alias("importance"),
+    )
     return out.union(legacy)
+
+
+def profile_plan(profiles: DataFrame, queries: DataFrame) -> DataFrame:
+    """The concepts of all queries (job, category, query) of profiles (job, required, preferred, level, level_aliases, fields, field_aliases)."""
+    nobody = F.array().cast("array<string>")
+    fields = F.concat(F.coalesce("fields", nobody), F.coalesce("field_aliases", nobody))
+    level = F.concat(F.array("level"), F.coalesce("level_aliases", nobody))
+    degree = F.when(F.col("level") != "NONE", F.when(F.size(F.coalesce("fields", nobody)) > 0, F.array(level, fields)).otherwise(F.array(level)))
+    return concept_plan(queries.join(profiles.select("job", "required", "preferred", degree.alias("degree")), "job"))
+
+
+def profile_skills(profiles: DataFrame) -> DataFrame:
+    """The skills of profiles, one a row: job, no (from 0 among those wanted alike), name, aliases, substitutes, wanted."""
+    x = profiles.select("job", F.explode(F.array(*[F.struct(F.lit(w).alias("wanted"), F.coalesce(w, F.array().cast(f"array<{SKILL}>")).alias("skills")) for w in ("required", "preferred")])).alias("s"))
+    x = x.select("job", "s.wanted", F.posexplode("s.skills").alias("no", "k"))
+    return x.select("job", "no", F.col("k.canonical").alias("name"), "k.aliases", "k.substitutes", "wanted")

@@ -35,22 +35,38 @@ def loose(name: str) -> str:
 REWRITES = [(loose(name.casefold()), token) for name, token in sorted(((n, t) for t, names in IDENTITIES.items() for n in names), key=lambda p: -len(p[0]))]
 
 
+#: Whether a case-folded text may hold a name at all: most hold none, and skip the rewriting. Looser than the names' own patterns, and tried only where a name's first letter begins a word.
+_NAMES = "(?<![a-z0-9_])(?=[{}])(?:{})(?![a-z0-9_])".format(
+    "".join(sorted({n[0].casefold() for names in IDENTITIES.values() for n in names})), "|".join(p.removeprefix(r"(?<!\w)").removesuffix(r"(?!\w)") for p, _ in REWRITES)
+)
+
+
 def _folded(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC").str.casefold()
 
 
 @F.pandas_udf(StringType())
-def folded(text: pd.Series) -> pd.Series:
-    """Compatibility composition and case folding, which Spark has no function for."""
+def _folded_rows(text: pd.Series) -> pd.Series:
     return _folded(text)
 
 
+def folded(text: Column) -> Column:
+    """Compatibility composition and case folding. Spark has no function for it beyond ASCII, so only other texts go to Python."""
+    return F.coalesce(_folded_rows(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
+
+
 def lexical(text: Column) -> Column:
     """Words between blanks, each technical name as one token; the same again when applied to its own result."""
-    x = folded(text)
-    for pattern, token in REWRITES:
-        x = F.regexp_replace(x, f"(?U){pattern}", token)
-    return F.array_join(F.regexp_extract_all(x, F.lit(r"(?U)([^\W_]+)")), " ")
+
+    def rewritten(x: Column) -> Column:
+        y = x
+        for pattern, token in REWRITES:
+            y = F.regexp_replace(y, f"(?U){pattern}", token)
+        return F.when(x.rlike(_NAMES), y).otherwise(x)
+
+    # the fold is made once: bound to a name in an array, it isn't repeated for each pattern
+    once = F.transform(F.array(folded(text)), rewritten)
+    return F.trim(F.regexp_replace(F.element_at(once, 1), r"[^\p{L}\p{N}]+", " "))
 
 
 def lexical_terms(terms: list[str]) -> list[str]:
@@ -79,16 +95,25 @@ def sparse_top(texts: DataFrame, concepts: list[tuple[str, str, tuple[str, ...]]
     return x.withColumn("sparse_rank", F.row_number().over(w)).where(F.col("sparse_rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision; 0 for unequal lengths and zero vectors."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size).otherwise(0.0)
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(_dot(a, a))
+
+
+def cosine_to(a: Column, norm_a: Column, b: Column, norm_b: Column) -> Column:
+    """Cosine in double precision of vectors whose norms are known; 0 for unequal lengths and zero vectors."""
+    size = norm_a * norm_b
+    return F.when((F.size(a) == F.size(b)) & (size > 0), _dot(a, b) / size).otherwise(0.0)
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, key: str, k: int = 10) -> DataFrame:
     """(key, id, v) ranked for the one query (key, q) of each key by cosine of four places, then id. Exact: every vector of a key is scored."""
-    x = vectors.join(queries, key).select(key, "id", F.round(cosine(F.col("v"), F.col("q")), 4).alias("score"))
+    q = queries.withColumn("_qn", norm(F.col("q")))
+    x = vectors.withColumn("_n", norm(F.col("v"))).join(q, key)
+    x = x.select(key, "id", F.round(cosine_to(F.col("v"), F.col("_n"), F.col("q"), F.col("_qn")), 4).alias("score"))
     w = Window.partitionBy(key).orderBy(F.desc("score"), "id")
     return x.withColumn("dense_rank", F.row_number().over(w)).where(F.col("dense_rank") <= k)
 

@@ -18,16 +18,22 @@ CONCEPTS = f"""s AS (SELECT p_partkey AS job, unnest([{{'o': 1, 'p': 'required',
  concepts AS (SELECT job, 'SKILLS' AS category, row_number() OVER (PARTITION BY job ORDER BY o) AS ord, p AS priority, a AS alternatives FROM (SELECT job, c.o AS o, c.p AS p, c.a AS a FROM s))"""
 
 
+def named(skill):
+    """A skill without other names."""
+    none = F.array().cast("array<string>")
+    return F.struct((F.col(skill) if isinstance(skill, str) else skill).alias("canonical"), none.alias("aliases"), none.alias("substitutes"))
+
+
 def asked(spark, d):
     return table(spark, d, "part").select(
-        F.col("p_partkey").alias("job"), F.lit("SKILLS").alias("category"), F.expr(QUERY).alias("query"), F.array("p_brand").alias("required"), F.array(F.concat(F.lit("size "), "p_size")).alias("preferred"),
+        F.col("p_partkey").alias("job"), F.lit("SKILLS").alias("category"), F.expr(QUERY).alias("query"), F.array(named("p_brand")).alias("required"), F.array(named(F.concat(F.lit("size "), "p_size"))).alias("preferred"),
         F.lit(None).cast("array<array<string>>").alias("degree"),
     )
 
 
 @plan(f"WITH {CONCEPTS} SELECT * FROM concepts")
 def concept_plan(spark, d):
-    return planning.concept_plan(asked(spark, d)).withColumn("alternatives", F.array_distinct(F.col("alternatives"))[0])
+    return planning.concept_plan(asked(spark, d)).drop("substitutes").withColumn("alternatives", F.array_distinct(F.col("alternatives"))[0])
 
 
 @plan(f"""WITH {CONCEPTS} SELECT * FROM concepts UNION ALL SELECT p_partkey, 'SKILLS', (SELECT max(ord) FROM concepts c WHERE c.job = p_partkey) + n, CASE WHEN p_partkey % 3 = 0 THEN 'preferred' ELSE 'required' END,
@@ -61,8 +67,9 @@ WANTED = [("the", "required", ("the",)), ("der", "required", ("der", "die")), ("
  f AS (SELECT label, id, dense_rank, sparse_rank, round(coalesce(1.0 / (60 + dense_rank), 0) + coalesce(1.0 / (60 + sparse_rank), 0), 6) AS rrf FROM (SELECT * FROM d WHERE dense_rank <= 10) FULL JOIN (SELECT * FROM s WHERE sparse_rank <= 10) USING (label, id))
 SELECT *, row_number() OVER (PARTITION BY label ORDER BY rrf DESC, id) AS place FROM f""".replace("\\\\", "\\"))
 def hybrid_search(spark, d):
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), lexical(F.col("text")).alias("lexical"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     chunks = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v")).join(texts, "id")
+    chunks = chunks.select("label", "id", "v", lexical(F.col("text")).alias("lexical"))  # of the texts that have a vector only
     queries = chunks.groupBy("label").agg(F.min_by("v", "id").alias("q"))
     return planning.hybrid(chunks, queries, WANTED, "label")
 
@@ -133,9 +140,10 @@ def resolve_targets(spark, d):
     )
     skill = lambda n, name, w: F.struct(F.lit(n).alias("no"), F.lit(name).alias("name"), F.lit(w).alias("wanted"))
     some = F.when(F.col("s") > 0, F.array(skill(0, "need0", "required"), skill(1, "need1", "required"), skill(0, "nice", "preferred"))).otherwise(F.array(skill(0, "nice", "preferred")))
-    skills = p.select("job", F.explode(some).alias("k")).select("job", "k.*")
+    none = F.lit(None).cast("array<string>")
+    skills = p.select("job", F.explode(some).alias("k")).select("job", "k.*", none.alias("aliases"), none.alias("substitutes"))
     asks = {"SKILLS": F.col("name"), "EXPERIENCE": F.lit("5 years of it"), "PROJECTS": F.lit("No explicit requirement"), "EDUCATION": F.concat(F.lit("brass "), "name")}
     q = p.select("job", F.explode(F.array(*[F.struct(F.lit(c).alias("category"), v.alias("query")) for c, v in asks.items()])).alias("q")).select("job", "q.*")
-    none = F.lit(None).cast("array<string>")
+    none = F.lit(None).cast(f"array<{planning.SKILL}>")
     plan_ = planning.concept_plan(q.withColumns({"required": none, "preferred": none, "degree": F.lit(None).cast("array<array<string>>")}))
-    return planning.resolved_targets(approved, skills, q, plan_)
+    return planning.resolved_targets(approved, skills, q, plan_).drop("substitutes", "importance").withColumn("groups", F.size("groups"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,3 +17,11 @@ def shared_folder(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="siftspark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read back: what several later steps read is made once, and a lost executor costs no more than a read."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
