@@ -65,7 +65,7 @@ def against_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
 TURNS = ("CONTEXT", "EXPERIENCE", "PROJECTS", "SKILLS", "EDUCATION")
 
 
-def ordered_context(passages: DataFrame, hits: DataFrame, limit: int, terms: tuple[str, ...] = ()) -> DataFrame:
+def ordered_context(passages: DataFrame, hits: DataFrame, limit: int, terms: tuple[str, ...] = (), spent: DataFrame | None = None) -> DataFrame:
     """Passages (pair_id, idx, section, category, text) in the order in which a prompt takes them, and whether each is included: place, included.
 
     Passages with a mandatory term go first, then those at or next to a hit (pair_id, idx) in the same section, by idx, then all others, a
@@ -84,7 +84,10 @@ def ordered_context(passages: DataFrame, hits: DataFrame, limit: int, terms: tup
         fits = acc["used"] + r["size"] <= limit
         return F.struct((acc["used"] + F.when(fits, r["size"]).otherwise(0)).alias("used"), F.array_append(acc["out"], fits).alias("out"))
 
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<boolean>").alias("out"))
+    if spent is not None:
+        rows = rows.join(spent, "pair_id", "left")
+    before = F.coalesce("spent", F.lit(0)).cast("int") if spent is not None else F.lit(0)
+    start = F.struct(before.alias("used"), F.array().cast("array<boolean>").alias("out"))
     fits = F.aggregate("rows", start, step, lambda a: a["out"])
     x = rows.select("pair_id", F.posexplode(F.arrays_zip(F.col("rows.idx").alias("idx"), fits.alias("included"))).alias("place", "r"))
     return x.select("pair_id", "r.idx", (F.col("place") + 1).alias("place"), "r.included")
