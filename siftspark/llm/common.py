@@ -14,6 +14,17 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """Names for private columns that no column of docs has, in any case: underscores are added to those that are taken."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

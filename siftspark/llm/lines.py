@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batch_of, grouped, in_pieces, small_pairs
-from .common import CHUNK_BYTES, Scratch
+from .common import CHUNK_BYTES, Scratch, spare
 from .repeats import _mix, _powers
 
 #: Hashed words that are counted for the order by rarity (any fixed order is right; a rare-first one is fast).
@@ -344,16 +344,21 @@ def later_lines(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, limi
     return same.union(gone).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("later"))
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for text, later in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):
-            t, gone = text.as_py(), later.as_py()
-            if t is not None and gone:
-                gone = set(gone)
-                t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-            out.append(t)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.string())], names=[*b.schema.names[:-2], "_kept"])
+def _kept(name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Puts the text without its later lines, as a column of that name, in place of the last two columns: text and later."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, later in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):
+                t, gone = text.as_py(), later.as_py()
+                if t is not None and gone:
+                    gone = set(gone)
+                    t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+                out.append(t)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.string())], names=[*b.schema.names[:-2], name])
+
+    return run
 
 
 def without_later_lines(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
@@ -362,12 +367,13 @@ def without_later_lines(docs: DataFrame, scratch: Scratch, **options) -> DataFra
     Null texts stay null; a text of which every line goes becomes empty; rows equal in doc_id and
     text are one document and lose the same lines.
     """
-    later = later_lines(docs, scratch, **options).select(F.col("doc_id").alias("_l_doc"), F.col("th").alias("_l_th"), F.col("later").alias("_later"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_l_doc")) & (F.xxhash64("text") == F.col("_l_th"))
+    l_doc, l_th, gone, kept = spare(docs, "_l_doc", "_l_th", "_later", "_kept")
+    later = later_lines(docs, scratch, **options).select(F.col("doc_id").alias(l_doc), F.col("th").alias(l_th), F.col("later").alias(gone))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(l_doc)) & (F.xxhash64("text") == F.col(l_th))
     rest = [c for c in docs.columns if c != "text"]
-    x = docs.join(later, on, "left").select(*rest, "text", "_later")
+    x = docs.join(later, on, "left").select(*rest, "text", gone)
     schema = ", ".join(f"`{c}` {t}" for c, t in x.select(*rest).dtypes)
-    x = x.mapInArrow(_kept, f"{schema}, `_kept` string").withColumnRenamed("_kept", "text")
+    x = x.mapInArrow(_kept(kept), f"{schema}, `{kept}` string").withColumnRenamed(kept, "text")
     if "n_chars" in docs.columns:
         x = x.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return x.select(*docs.columns)

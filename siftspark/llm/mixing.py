@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spare
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,9 +78,10 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     A document taken k + f times (0 <= f < 1) appears k times, and once more if f >= 1/2; whole
     texts only. Blank documents are taken 0 times. Rows with one doc_id share the largest count.
     """
-    m = mix(docs, scratch, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(
-        F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_mix_times")
+    own, times, one = spare(docs, "_mix_id", "_mix_times", "_mix_one")
+    m = mix(docs, scratch, **options).where("taken > 0").groupBy(F.col("doc_id").alias(own)).agg(
+        F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(times)
     )
-    out = docs.join(m, F.col("doc_id").eqNullSafe(F.col("_mix_id"))).where("_mix_times > 0")
-    repeated = out.withColumn("_mix_one", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+    out = docs.join(m, F.col("doc_id").eqNullSafe(F.col(own))).where(F.col(times) > 0)
+    repeated = out.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(times))))
     return repeated.select(*docs.columns)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siftspark.llm import lines, mixing, packing, repeats, simhash, url_filter, vectors
+from siftspark.llm import copies, lines, mixing, packing, repeats, simhash, url_filter, vectors
 from siftspark.llm.common import Scratch, components
 from siftspark.llm.queries import ORACLE_SQL, QUERIES, every_20th, vocabulary
 
@@ -251,7 +251,17 @@ def test_mix_ties_and_clashing_names(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again)) and len(got) == 11
     assert {r.source: round(r.target, 6) for r in got} == {"s": 23.571429, "t": 9.428571}
     assert sum(r.taken for r in got if r.source == "s") == 24 and sum(r.taken for r in got if r.source == "t") == 9
-    assert mixing.mixed_documents(frame.drop("_mix_id"), Scratch(spark)).columns == frame.drop("_mix_id").columns
+    out = mixing.mixed_documents(frame, Scratch(spark))
+    assert out.columns == frame.columns and {(r.target, r.taken, r.part, r.source_size, r["_mix_id"]) for r in out.collect()} == {(1, 2, "x", 3, 4)}
+
+
+def test_private_names_are_never_taken(spark):
+    rows = [(1, "one two three four five six\nalpha beta", "a", 1, "k"), (2, "one two three four five six\ngamma delta", "a", 2, "k"), (3, "one two three four five six\nalpha beta", "b", 3, "k"), (4, None, "b", 4, "k")]
+    names = ["_th", "_k_doc", "_k_th", "_later", "_l_doc", "_L_TH", "_kept", "_mix_id", "_mix_times", "_mix_one", "th", "later"]
+    frame = docs(spark, rows).withColumns({n: F.concat(F.lit(f"{n}-"), "doc_id") for n in names})
+    for out in (copies.one_of_each(frame, Scratch(spark)), lines.without_later_lines(frame, Scratch(spark)), mixing.mixed_documents(frame, Scratch(spark))):
+        found = out.collect()
+        assert out.columns == frame.columns and found and all(r[n] == f"{n}-{r.doc_id}" for r in found for n in names)
 
 
 def test_url_odd_rows(spark):
