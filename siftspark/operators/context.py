@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftspark.functions.text import escape_xml
 
 from .checks import squeezed
+from .manifests import LETTERS
 from .sections import BLANK, BLOCK_ENDS, HEADINGS, LEAST, MOST, chunks, heading_pattern
 
 #: How the ends of a range of months are written, what joins them, months, words for today, and a line that names a role.
@@ -97,7 +98,8 @@ def windows(docs: DataFrame, most: int = 3000, least: int = 1500) -> DataFrame:
 
 def prompts(sentences: DataFrame) -> DataFrame:
     """Sentences (pair_id, category, ordinal, text) to one text for each pair: a line for each distinct sentence, with the handles of all places where it stands."""
-    code = F.concat(F.left("category", F.lit(1)), F.col("ordinal").cast("string"))
+    letter = F.create_map(*[F.lit(v) for kv in LETTERS.items() for v in kv])[F.col("category")]
+    code = F.concat(letter, F.col("ordinal").cast("string"))
     x = sentences.groupBy("pair_id", "text").agg(F.array_join(F.array_sort(F.collect_set(code)), ",").alias("handles"), F.min(F.struct("category", "ordinal")).alias("first"))
     line = F.concat(F.lit("["), "handles", F.lit("] "), escape_xml(F.col("text")))
     lines = F.array_sort(F.collect_list(F.struct("first", line.alias("line"))))

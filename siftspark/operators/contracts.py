@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
@@ -38,55 +37,48 @@ def broken_rules(profiles: DataFrame) -> DataFrame:
     return profiles.select("job", F.explode(broken).alias("rule")).union(twice)
 
 
-@dataclass
-class Filters:
-    """What a pool may be filtered by; what is left out filters nothing. A range leaves unknown values out."""
-
-    search: str = ""
-    status: str = ""
-    decision: str = ""
-    score: tuple[float | None, float | None] = (None, None)
-    category: str = ""
-    least_category_score: float | None = None
-    years: tuple[float | None, float | None] = (None, None)
-    years_unknown: bool = False
-    rule: str = ""
-    rule_status: str = ""
-    requirements: list[str] = field(default_factory=list)
-    requirement_status: str = "DIRECT"
-    all_requirements: bool = True
-    review_only: bool = False
-    reason: str = ""
-    tag: str = ""
-    assignee: str = ""
-    reviewer: str = ""
-    reviewed_after: str = ""
-
-    def __post_init__(self) -> None:
-        for low, high in (self.score, self.years):
-            if low is not None and high is not None and low > high:
-                raise ValueError("the least value is above the largest")
-        if self.least_category_score is not None and not self.category:
-            raise ValueError("a category score needs a category")
-
-    def condition(self) -> Column:
-        """On pairs with text, status, decision, score, years, category_scores, checks (rule, status), requirements (map of id to state), needs_review, reasons, tags, assignee, reviewer, reviewed."""
-        holds = lambda c, part: F.contains(F.lower(c), F.lit(part.strip().lower()))
-        out = [holds("text", self.search)] if self.search.strip() else []
-        out += [F.col(c) == v for c, v in (("status", self.status), ("decision", self.decision), ("assignee", self.assignee), ("reviewer", self.reviewer)) if v]
-        for name, (low, high) in (("score", self.score), ("years", self.years)):
-            out += [F.col(name) >= low] if low is not None else []
-            out += [F.col(name) <= high] if high is not None else []
-        out += [F.col("years").isNull()] if self.years_unknown else []
-        out += [F.try_element_at("category_scores", F.lit(self.category)) >= self.least_category_score] if self.least_category_score is not None else []
-        if self.rule or self.rule_status:  # both on the same check
-            own = lambda c: reduce(and_, [c[k] == v for k, v in (("rule", self.rule), ("status", self.rule_status)) if v])
-            out.append(F.exists("checks", own))
-        if self.requirements:
-            states = [F.coalesce(F.try_element_at("requirements", F.lit(r)), F.lit("UNASSESSED")) == self.requirement_status for r in self.requirements]
-            out.append(reduce(and_ if self.all_requirements else or_, states))
-        out += [F.col("needs_review") | (F.col("status") == "REVIEW_REQUIRED")] if self.review_only else []
-        out += [holds("reasons", self.reason)] if self.reason else []
-        out += [F.exists("tags", lambda t: F.lower(t) == self.tag.lower())] if self.tag else []
-        out += [F.left(F.col("reviewed").cast("string"), F.lit(10)) >= self.reviewed_after] if self.reviewed_after else []
-        return F.coalesce(reduce(and_, out, F.lit(True)), F.lit(False))
+def _contains(column: str):
+    return lambda part: F.contains(F.lower(column), F.lit(str(part).strip().lower()))
+
+
+def _range(column):
+    """{"from": low, "to": high}, either of them; a value that is unknown lies in no range."""
+
+    def test(ends: dict) -> Column:
+        low, high = ends.get("from"), ends.get("to")
+        if low is not None and high is not None and low > high:
+            raise ValueError(f"an empty range: {ends}")
+        value = column(ends) if callable(column) else F.col(column)
+        return value.between(F.lit(low) if low is not None else value, F.lit(high) if high is not None else value)
+
+    return test
+
+
+def _inside(column: str):
+    """A struct of an array that has all the given values at once."""
+    return lambda wanted: F.exists(column, lambda item: reduce(and_, [item[k] == v for k, v in wanted.items()], F.lit(True)))
+
+
+def _states(asked: dict) -> Column:
+    """{"ids": [...], "state": "DIRECT", "of": "all" or "any"}: a requirement without a state is UNASSESSED."""
+    state = lambda i: F.coalesce(F.try_element_at("requirements", F.lit(i)), F.lit("UNASSESSED"))
+    hits = [state(i) == asked.get("state", "DIRECT") for i in asked["ids"]]
+    return reduce(and_ if asked.get("of", "all") == "all" else or_, hits)
+
+
+#: Predicates by name: each makes a condition on a pair of what is asked. A pool's filter is any set of them.
+PREDICATES = {
+    **{c: (lambda v, c=c: F.col(c) == v) for c in ("status", "decision", "assignee", "reviewer")},
+    "text": _contains("text"), "reasons": _contains("reasons"), "tag": lambda t: F.exists("tags", lambda x: F.lower(x) == t.lower()),
+    "score": _range("score"), "years": _range("years"), "reviewed": _range(lambda _: F.date_format("reviewed", "yyyy-MM-dd")),
+    "category": _range(lambda ends: F.try_element_at("category_scores", F.lit(ends["name"]))),
+    "unknown": lambda columns: reduce(and_, [F.col(c).isNull() for c in columns]),
+    "check": _inside("checks"), "requirements": _states, "to_review": lambda yes: (F.col("needs_review") | (F.col("status") == "REVIEW_REQUIRED")) == F.lit(yes),
+}
+
+
+def matching_all(asked: dict) -> Column:
+    """The pairs that all predicates of a filter hold for; one that can't be judged (a null) doesn't hold, and an empty filter lets all pass. Names that are no predicates are refused."""
+    if unknown := asked.keys() - PREDICATES.keys():
+        raise ValueError(f"no such filter: {', '.join(sorted(unknown))}")
+    return F.coalesce(reduce(and_, [PREDICATES[name](v) for name, v in asked.items()], F.lit(True)), F.lit(False))

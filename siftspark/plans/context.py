@@ -39,11 +39,11 @@ def context_windows(spark, d):
     return x.select("doc_id", "section", "start", "stop", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@plan("""WITH s AS (SELECT l_orderkey AS pair_id, (['SKILLS', 'PROJECTS'])[l_suppkey % 2 + 1] AS category, l_linenumber AS ordinal, 'made <' || l_returnflag || l_partkey % 3 || '> & more' AS text FROM lineitem),
- g AS (SELECT pair_id, text, array_to_string(list_sort(list_distinct(list(category[1] || ordinal))), ',') AS handles, min({'c': category, 'o': ordinal}) AS first FROM s GROUP BY ALL)
+@plan("""WITH s AS (SELECT l_orderkey AS pair_id, (['SKILLS', 'PROJECTS', 'EXPERIENCE', 'EDUCATION'])[l_suppkey % 4 + 1] AS category, (['S', 'P', 'E', 'D'])[l_suppkey % 4 + 1] AS letter, l_linenumber AS ordinal, 'made <' || l_returnflag || l_partkey % 3 || '> & more' AS text FROM lineitem),
+ g AS (SELECT pair_id, text, array_to_string(list_sort(list_distinct(list(letter || ordinal))), ',') AS handles, min({'c': category, 'o': ordinal}) AS first FROM s GROUP BY ALL)
 SELECT pair_id, string_agg('[' || handles || '] ' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10) ORDER BY first, '[' || handles || '] ' || text) AS prompt FROM g GROUP BY pair_id""")
 def prompt_rows(spark, d):
-    kind = F.when(F.col("l_suppkey") % 2 == 0, "SKILLS").otherwise("PROJECTS")
+    kind = F.element_at(F.array(*map(F.lit, ("SKILLS", "PROJECTS", "EXPERIENCE", "EDUCATION"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
     text = F.concat(F.lit("made <"), "l_returnflag", (F.col("l_partkey") % 3).cast("string"), F.lit("> & more"))
     return context.prompts(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pair_id"), kind.alias("category"), F.col("l_linenumber").alias("ordinal"), text.alias("text")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftspark.operators.contracts import Filters, broken_rules
+from siftspark.operators.contracts import broken_rules, matching_all
 
 from .catalogue import plan
 from .relations import PAIRS, pairs, table
@@ -36,9 +36,9 @@ def contract_rules(spark, d):
 
 
 SETS = {
-    "search": Filters(search=" HI "), "state": Filters(status="SUCCESS", decision="HOLD"), "score": Filters(score=(20, 60)), "category": Filters(category="skills", least_category_score=50), "years": Filters(years=(None, 5)),
-    "unknown": Filters(years_unknown=True), "check": Filters(rule="education", rule_status="FAIL"), "all": Filters(requirements=["r1", "r2"]), "any": Filters(requirements=["r1", "r3"], requirement_status="UNASSESSED", all_requirements=False),
-    "review": Filters(review_only=True), "reason": Filters(reason="DATE"), "tag": Filters(tag="Hot"), "people": Filters(assignee="a1", reviewer="v0"), "after": Filters(reviewed_after="2024-01-05"), "none": Filters(),
+    "search": {"text": " HI "}, "state": {"status": "SUCCESS", "decision": "HOLD"}, "score": {"score": {"from": 20, "to": 60}}, "category": {"category": {"name": "skills", "from": 50}}, "years": {"years": {"to": 5}},
+    "unknown": {"unknown": ["years"]}, "check": {"check": {"rule": "education", "status": "FAIL"}}, "all": {"requirements": {"ids": ["r1", "r2"]}}, "any": {"requirements": {"ids": ["r1", "r3"], "state": "UNASSESSED", "of": "any"}},
+    "review": {"to_review": True}, "reason": {"reasons": "DATE"}, "tag": {"tag": "Hot"}, "people": {"assignee": "a1", "reviewer": "v0"}, "after": {"reviewed": {"from": "2024-01-05"}}, "none": {},
 }
 
 
@@ -58,5 +58,5 @@ def pool_filters(spark, d):
         F.when(k % 8 == 0, "date precision").alias("reasons"), F.when(k % 10 == 0, F.array(F.lit("hot"))).otherwise(F.array(F.lit("cold"))).alias("tags"), F.concat(F.lit("a"), k % 3).alias("assignee"),
         F.concat(F.lit("v"), k % 2).alias("reviewer"), F.when(k % 11 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (k % 9).cast("int"))).alias("reviewed"),
     )
-    hit = F.array_compact(F.array(*[F.when(f.condition(), name) for name, f in SETS.items()]))
+    hit = F.array_compact(F.array(*[F.when(matching_all(asked), name) for name, asked in SETS.items()]))
     return x.select("pair_id", F.explode(hit).alias("name")).groupBy("name").agg(F.count("*").alias("n"), F.sum("pair_id").alias("ids"))
