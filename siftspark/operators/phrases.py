@@ -111,30 +111,36 @@ def target_coverage(passages: DataFrame, targets: DataFrame, own: str | None = N
     sections of the target's category, nor, for applied kinds, those without a verb of action in a
     section of experience or projects. The first of the best wins. own: the passages' job, where a
     document is held against one job's targets alone.
-    Out: job, doc_id, target_id, coverage, accepted_substitute, n_groups (covered), passage.
+    Out: job, doc_id, target_id, coverage, accepted_substitute, n_groups (covered), passage_id.
     """
     text, words = F.col("passage"), F.split("lexical", " ")
     holds = lambda some: F.exists(words, lambda w: w.isin(*some))  # noqa: E731  (cheaper than the pattern, and true wherever the pattern is found)
     p = passages.where(~(holds(NEGATIONS) & negated(text))).withColumn("_acts", F.col("category").isin("EXPERIENCE", "PROJECTS") & holds(VERBS) & acts(text))
+    # all that is asked of a passage later travels in the index, so that texts are read once and never shuffled
+    place = [F.col("id"), F.col("doc_id"), F.col("category"), F.col("chunk_no"), F.col("passage_no"), F.col("_acts")]
     terms = group_terms(targets)
-    index = phrase_index(p.select(*(["id"] if own is None else [F.struct("id", F.col(own).alias("job")).alias("id")]), "lexical"), terms)
-    if own is None:
-        found = index.join(sent(terms), "phrase")
-    else:
-        found = index.select("id.id", "id.job", "phrase").join(sent(terms), ["job", "phrase"])
-    found = found.groupBy("id", "job", "target_id").agg(F.size(F.collect_set(F.when(F.col("group") >= 0, F.col("group")))).alias("n_groups"))
+    index = phrase_index(p.select(F.struct(*place, *([] if own is None else [F.col(own).alias("job")])).alias("id"), "lexical"), terms)
+    found = index.select("id.*", "phrase").join(sent(terms), ["phrase"] if own is None else ["job", "phrase"])
+    found = found.groupBy("id", "job", "target_id").agg(
+        F.size(F.collect_set(F.when(F.col("group") >= 0, F.col("group")))).alias("n_groups"), *[F.first(c).alias(c) for c in ("doc_id", "category", "chunk_no", "passage_no", "_acts")]
+    )
     t = targets.select("job", "target_id", F.col("category").alias("_wanted"), F.col("kind").isin(*APPLIED).alias("_applied"), F.size("groups").alias("_asked"))
-    x = found.join(sent(t), ["job", "target_id"]).join(p.drop("lexical"), "id")
+    x = found.join(sent(t), ["job", "target_id"])
     scopes = F.create_map(*[v for c, some in SCOPES.items() for v in (F.lit(c), F.array(*map(F.lit, some)))])
     x = x.where(F.array_contains(scopes[F.col("_wanted")], F.col("category")) & (~F.col("_applied") | F.col("_acts")))
     cover = F.when(F.col("n_groups") == 0, 0.5).otherwise(F.col("n_groups") / F.col("_asked"))
     x = x.withColumns({"coverage": cover, "accepted_substitute": F.col("n_groups") == 0})
-    best = F.min_by(F.struct("coverage", "accepted_substitute", "n_groups", "passage"), F.struct(-F.col("coverage"), F.col("chunk_no"), F.col("passage_no")))
+    best = F.min_by(F.struct("coverage", "accepted_substitute", "n_groups", F.col("id").alias("passage_id")), F.struct(-F.col("coverage"), F.col("chunk_no"), F.col("passage_no")))
     return x.groupBy("job", "doc_id", "target_id").agg(best.alias("b")).select("job", "doc_id", "target_id", "b.*")
 
 
+def with_passages(rows: DataFrame, passages: DataFrame) -> DataFrame:
+    """Adds the text of the passage that passage_id names, where there is one."""
+    return rows.join(passages.select(F.col("id").alias("passage_id"), "passage"), "passage_id", "left").drop("passage_id")
+
+
 def pair_assessments(pairs: DataFrame, targets: DataFrame, covered: DataFrame) -> DataFrame:
-    """Pairs (pair_id, job, doc_id), all with a row for each target of their job: the target's columns, coverage (0: nothing found), status, accepted_substitute, n_groups, passage."""
+    """Pairs (pair_id, job, doc_id), all with a row for each target of their job: the target's columns, coverage (0: nothing found), status, accepted_substitute, n_groups, passage_id."""
     x = pairs.select("pair_id", "job", "doc_id").join(sent(targets.select("job", "target_id", "category", "kind", "treatment", "importance", "origin")), "job")
     x = x.join(covered, ["job", "doc_id", "target_id"], "left")
     some = F.col("coverage").isNotNull()

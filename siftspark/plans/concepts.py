@@ -142,7 +142,8 @@ def concept_search(spark, d):
     texts = texts_of(spark, d)
     profiles = job_profiles(texts)
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    own = texts.select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), "source", F.expr(KIND_OF).alias("part"), "text", "doc_id").join(vectors, "doc_id")
+    own = texts.select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), "source", F.expr(KIND_OF).alias("part"), "doc_id").join(vectors, "doc_id").drop("doc_id")
+    own = stored(own, "chunks")  # without texts: those are read once, by the index
     scoped = planning.in_scope(own.select(F.lit(0).alias("doc_id"), F.col("part").alias("category"), F.struct("id", "lang").alias("chunk_id")))
     scoped = scoped.select(F.col("wanted").alias("category"), "chunk_id.*")
     wanted = own.where("source is not null").groupBy(F.col("source").alias("job")).agg(F.min_by("v", "id").alias("q")).join(job_queries(profiles).select("job", "category"), "job")
@@ -150,7 +151,7 @@ def concept_search(spark, d):
     x = x.select("job", "category", "lang", "id", F.round(cosine_to(F.col("v"), F.col("_n"), F.col("q"), F.col("_qn")), 4).alias("score"))
     dense = planning.best_of(x, ["job", "category", "lang"], [F.desc("score"), "id"], "dense_rank")
     concepts = job_concepts(profiles)
-    index = phrases.phrase_index(own.select("id", lexical(F.col("text")).alias("lexical")), concepts.select(F.explode(F.concat("alternatives", "substitutes")).alias("phrase")))
+    index = phrases.phrase_index(texts.join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), lexical(F.col("text")).alias("lexical")), concepts.select(F.explode(F.concat("alternatives", "substitutes")).alias("phrase")))
     hits = phrases.concept_hits(index, concepts).join(scoped, ["category", "id"])
     sparse = phrases.concept_top(hits, 10, ("job", "category", "lang"))
     return reciprocal_rank_fusion(dense, sparse, ["job", "category", "lang"], "id").where("place <= 20").select("job", "category", "lang", "id", "dense_rank", "sparse_rank", "rrf", "place")
@@ -177,8 +178,8 @@ ASSESSED = f"""{PROFILES},
   CASE WHEN coverage IS NULL THEN 'MISSING_INFORMATION' WHEN coverage = 1 AND n_groups > 0 THEN 'DIRECT' ELSE 'PARTIAL' END AS status FROM texts t JOIN t0 ON t0.job = t.source LEFT JOIN best ON best.doc_id = t.doc_id AND best.job = t0.job AND best.target_id = t0.target_id)"""
 
 
-def assessed(spark, d) -> DataFrame:
-    """Every document against all targets of its source's profile."""
+def assessed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Every document against all targets of its source's profile, and the passages."""
     texts = texts_of(spark, d)
     profiles = job_profiles(texts)
     approved = profiles.selectExpr("job", f"inline(array({TARGETS}))")
@@ -187,16 +188,15 @@ def assessed(spark, d) -> DataFrame:
     p = sections.passages(texts.select(F.struct("doc_id", "source").alias("doc_id"), "text"))
     p = p.select(F.struct("doc_id.doc_id", "passage_no").alias("id"), F.struct("doc_id.doc_id", "doc_id.source").alias("doc_id"), F.lit(0).alias("chunk_no"), "passage_no", "passage", lexical(F.col("passage")).alias("lexical"), "doc_id.doc_id")
     p = p.toDF("id", "doc", "chunk_no", "passage_no", "passage", "lexical", "doc_id").withColumn("category", F.expr(KIND_OF)).drop("doc_id").withColumnRenamed("doc", "doc_id")
-    p = stored(p, "passages")  # the index and the best passages read it
     covered = phrases.target_coverage(p, targets, own="doc_id.source")
     pairs = texts.where("source is not null").select(F.col("doc_id").alias("pair_id"), F.col("source").alias("job"), F.struct("doc_id", "source").alias("doc_id"))
-    return phrases.pair_assessments(pairs, targets, covered).drop("doc_id", "origin")
+    return phrases.pair_assessments(pairs, targets, covered).drop("doc_id", "origin"), p
 
 
 @plan(f"WITH {ASSESSED} SELECT * FROM assessed")
 def target_evidence(spark, d):
     """The best passage of every document for every target of its job: groups that are all asked for, substitutes, degrees in place of their own groups."""
-    return assessed(spark, d).withColumn("passage", F.trim("passage"))
+    return phrases.with_passages(*assessed(spark, d)).withColumn("passage", F.trim("passage"))
 
 
 @plan(f"""WITH {ASSESSED},
@@ -208,4 +208,4 @@ SELECT pair_id, round(round(score, 9), 6) AS composite_score, CAST(supported AS
  CASE WHEN NOT (supported > 0 AND (asked = 0 OR proved > 0) AND round(score, 6) > 0) THEN 'INSUFFICIENT_SUPPORTED_RELEVANCE' END AS reason FROM sc JOIN n USING (pair_id)""")
 def evidence_scores(spark, d):
     """From profiles to a score for every document: targets, best passages, coverage by category, eligibility."""
-    return coverage_scores(assessed(spark, d))
+    return coverage_scores(assessed(spark, d)[0])

@@ -85,7 +85,7 @@ def assess(spark, targets, passages):
     t = spark.createDataFrame([("j", *x) for x in targets], TARGET).withColumn("origin", F.lit("approved"))
     p = spark.createDataFrame([(n, d, c, 0, n, text) for n, (d, c, text) in enumerate(passages)], PASSAGE).withColumn("lexical", lexical(F.col("passage")))
     pairs = spark.createDataFrame([(d, "j", d) for d in sorted({x[0] for x in passages})], "pair_id int, job string, doc_id int")
-    rows = phrases.pair_assessments(pairs, t, phrases.target_coverage(p, t)).collect()
+    rows = phrases.with_passages(phrases.pair_assessments(pairs, t, phrases.target_coverage(p, t)), p).collect()
     return {(r.pair_id, r.target_id): (r.status, round(r.coverage, 3), r.accepted_substitute, r.n_groups, r.passage) for r in rows}
 
 
