@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: The mail pattern and its mask.
 MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -40,7 +41,7 @@ def excerpt(text: Column, needle: Column, before: int = 80, after: int = 180) ->
     return F.when(at > 0, F.substr(text, F.greatest(at - before, F.lit(1)), at + after - F.greatest(at - before, F.lit(1))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _entropy(text: pd.Series) -> pd.Series:
     def of(t: str) -> float:
         p = np.unique(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32), return_counts=True)[1] / len(t)
