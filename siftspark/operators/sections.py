@@ -64,30 +64,71 @@ def blocks(content: Column) -> Column:
     return F.filter(F.transform(raw, _strip), lambda b: F.length(b) > 5)
 
 
+def packed(section: Column, content: Column, least: int = LEAST, most: int = MOST) -> Column:
+    """The bodies of the chunks of a section's content, in order; see chunks()."""
+    cap = F.lit(most) - F.length(section) - len("[Section: ] ")
+    rule = F.concat(F.lit(r"(?s)\S.{0,"), (cap - 1).cast("string"), F.lit(r"}(?= |\z)|\S.{"), (cap - 1).cast("string"), F.lit("}"))
+    cut = F.flatten(F.transform(blocks(content), lambda b: F.when(F.length(b) <= cap, F.array(b)).otherwise(F.regexp_extract_all(b, rule, F.lit(0)))))
+    pieces = F.filter(F.transform(cut, _strip), lambda p: p != "")
+
+    def step(acc: Column, piece: Column) -> Column:
+        joined = F.when(acc["pending"] == "", piece).otherwise(F.concat(acc["pending"], F.lit(" "), piece))
+        over, closed = F.length(joined) > cap, F.length(joined) >= least
+        out = F.when(over, F.array_append(acc["out"], acc["pending"])).when(closed, F.array_append(acc["out"], joined)).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.when(over, piece).when(closed, "").otherwise(joined).alias("pending"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("pending"))
+    return F.aggregate(pieces, start, step, lambda a: F.when(a["pending"] == "", a["out"]).otherwise(F.array_append(a["out"], a["pending"])))
+
+
+def category(section: Column) -> Column:
+    """The category of a section; null for a name that is none."""
+    return F.element_at(F.create_map(*[F.lit(v) for kv in CATEGORY.items() for v in kv]), section)
+
+
 def chunks(parsed: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     """(doc_id, section, content) to its chunks: section, category, chunk_index, text, char_length.
 
     Blocks over a section's capacity are cut at the last space within it, else at the capacity; pieces are
     then joined greedily while they fit, and a chunk closes once it has the least length.
     """
-    prefix = F.concat(F.lit("[Section: "), "section", F.lit("] "))
-    x = parsed.withColumn("prefix", prefix).withColumn("cap", F.lit(most) - F.length(prefix))
-    rule = F.concat(F.lit(r"(?s)\S.{0,"), (F.col("cap") - 1).cast("string"), F.lit(r"}(?= |\z)|\S.{"), (F.col("cap") - 1).cast("string"), F.lit("}"))
-    x = x.withColumn("rule", rule).withColumn("blocks", blocks(F.col("content")))
-    cut = F.flatten(F.transform("blocks", lambda b: F.when(F.length(b) <= F.col("cap"), F.array(b)).otherwise(F.regexp_extract_all(b, F.col("rule"), F.lit(0)))))
-    x = x.withColumn("pieces", F.filter(F.transform(cut, _strip), lambda p: p != ""))
+    x = parsed.select("doc_id", "section", F.posexplode(packed(F.col("section"), F.col("content"), least, most)).alias("chunk_index", "body"))
+    text = F.concat(F.lit("[Section: "), "section", F.lit("] "), "body")
+    return x.select("doc_id", "section", category(F.col("section")).alias("category"), "chunk_index", text.alias("text"), F.length("body").alias("char_length"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        joined = F.when(acc["pending"] == "", piece).otherwise(F.concat(acc["pending"], F.lit(" "), piece))
-        over, closed = F.length(joined) > F.col("cap"), F.length(joined) >= least
-        out = F.when(over, F.array_append(acc["out"], acc["pending"])).when(closed, F.array_append(acc["out"], joined)).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.when(over, piece).when(closed, "").otherwise(joined).alias("pending"))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("pending"))
-    packed = F.aggregate("pieces", start, step, lambda a: F.when(a["pending"] == "", a["out"]).otherwise(F.array_append(a["out"], a["pending"])))
-    x = x.select("doc_id", "section", "prefix", F.posexplode(packed).alias("chunk_index", "body"))
-    category = F.element_at(F.create_map(*[F.lit(v) for kv in CATEGORY.items() for v in kv]), F.col("section"))
-    return x.select("doc_id", "section", category.alias("category"), "chunk_index", F.concat("prefix", "body").alias("text"), F.length("body").alias("char_length"))
+def in_order(text: Column) -> Column:
+    """array<struct<section, content>> of a text, by each section's first place: what sections() gives as rows, here without a shuffle. Blank texts have none."""
+    parts = F.split(F.regexp_replace(F.translate(text, "\x01\x02", ""), rf"(?imd)^[#*=\-\s]*({heading_pattern()})[:\s\-*=#]*$", "\x01$1\x02"), "\x01")
+    one = F.array(F.struct(F.lit("EXPERIENCE").alias("section"), _strip(text).alias("content")))
+
+    def part(p: Column, i: Column) -> Column:
+        name = F.when(i == 0, "SUMMARY").otherwise(section_of(_strip(F.substring_index(p, "\x02", 1))))
+        return F.struct(name.alias("section"), _strip(F.substring_index(p, "\x02", -1)).alias("content"))
+
+    def merged(ps: Column) -> Column:
+        rows = F.filter(F.when(F.size(ps) > 1, F.transform(ps, part)).otherwise(one), lambda r: r["content"] != "")
+        same = lambda n: F.array_join(F.transform(F.filter(rows, lambda r: r["section"] == n), lambda r: r["content"]), "\n\n")
+        return F.transform(F.array_distinct(F.transform(rows, lambda r: r["section"])), lambda n: F.struct(n.alias("section"), same(n).alias("content")))
+
+    return F.get(F.transform(F.array(parts), merged), F.lit(0))
+
+
+def section_of(heading: Column) -> Column:
+    """The section that a heading's words open; EXPERIENCE for others."""
+    named = F.lit("EXPERIENCE")
+    for name in reversed(HEADINGS):
+        named = F.when(heading.rlike(f"(?i)^(?:{heading_pattern(name)})$"), name).otherwise(named)
+    return named
+
+
+def document_chunks(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """(doc_id, text) to the chunks of its sections in order: global_chunk_id from 0 in the document, section, category, chunk_index, text, char_length. Nothing shuffles."""
+    each = lambda s: F.transform(packed(s["section"], s["content"], least, most), lambda b, k: F.struct(s["section"].alias("section"), k.alias("chunk_index"), b.alias("body")))
+    x = docs.select("doc_id", in_order(F.col("text")).alias("_sections"))
+    x = x.select("doc_id", F.posexplode(F.flatten(F.transform("_sections", each))).alias("global_chunk_id", "c")).select("doc_id", "global_chunk_id", "c.*")
+    text = F.concat(F.lit("[Section: "), "section", F.lit("] "), "body")
+    return x.select("doc_id", "global_chunk_id", "section", category(F.col("section")).alias("category"), "chunk_index", text.alias("text"), F.length("body").alias("char_length"))
 
 
 def passages(docs: DataFrame) -> DataFrame:

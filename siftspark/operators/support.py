@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .anchors import not_held
 from .checks import quoted, squeezed
 
 #: Fixed value: the categories that need evidence.
@@ -30,12 +31,10 @@ def fitting(groups: DataFrame, key: str, priority: str, size: str, budget: int)
 
 
 def not_contained(retrieved: DataFrame, full: DataFrame, keys: list[str], own: str | None = None) -> DataFrame:
-    """Retrieved passages (keys, text) that no full passage of the same keys holds between word boundaries, white space and case apart; own: rows of the same value don't count."""
-    inner = F.concat(F.lit(" "), squeezed(F.col("text")), F.lit(" "))
-    f = full.select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.concat(F.lit(" "), squeezed(F.col("text")), F.lit(" ")).alias("_full"), *([F.col(own).alias("_own")] if own else [])).distinct()
-    x = retrieved.withColumn("_inner", inner)
-    on = [*[F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys], F.contains("_full", "_inner")]
-    return x.join(f, [*on, F.col(own) != F.col("_own")] if own else on, "left_anti").drop("_inner")
+    """Retrieved passages (keys, text) that no full passage of the same keys holds between blanks, white space and case apart; own: rows of the same value don't count. Blank ones stay."""
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    return not_held(retrieved, full, keys, own, squeezed, words, lambda source, passage: F.contains(spaced(source), spaced(passage)))
 
 
 def review_reasons(pairs: DataFrame, checked: DataFrame, evidence: DataFrame) -> DataFrame:
