@@ -76,8 +76,16 @@ def histories(events: DataFrame, before: DataFrame) -> DataFrame:
     return new.join(before, "pair_id", "left").select("pair_id", F.concat(F.coalesce("history", F.array().cast("array<string>")), steps).alias("history"))
 
 
-def stage_labels(pairs: DataFrame) -> DataFrame:
-    """(pair_id, extraction, status, rules, matched, judged, failure_code) to the observed state of each stage, with reason: one row for each stage."""
+#: Fixed value: what is said of a pair beyond its job's limit.
+BEYOND = "Outside this role's detailed assessment limit; not a recruiter rejection."
+
+
+def stage_labels(pairs: DataFrame, full: bool = False) -> DataFrame:
+    """(pair_id, extraction, status, rules, matched, judged, failure_code) to the observed state of each stage, with reason: one row for each stage.
+
+    full: with the error of the extraction (extraction_error), the messages of checks that did not pass, in their order (checks: array of
+    status and message), and what is said of pairs beyond the limit.
+    """
     status, rules = F.col("status"), F.col("rules")
     passed, ready = rules.isin("PASS", "REVIEW"), F.col("extraction") == "SUCCEEDED"
     review = (status == "REVIEW_REQUIRED") & F.col("judged").isNull() & F.col("matched")
@@ -91,6 +99,10 @@ def stage_labels(pairs: DataFrame) -> DataFrame:
     fourth = F.coalesce("judged", waits.otherwise("NOT_REACHED"))
     none = F.lit(None).cast("string")
     why = (none, none, F.when(review | (status == "PROCESSING_FAILED"), F.col("failure_code")), F.when(status == "EVALUATION_FAILED", F.col("failure_code")))
+    if full:
+        open_checks = F.filter(F.coalesce("checks", F.array()), lambda c: ~F.coalesce(c["status"] == "PASS", F.lit(False)))
+        messages = F.array_join(F.transform(open_checks, lambda c: F.coalesce(c["message"], F.lit(""))), "; ")
+        why = (F.col("extraction_error"), messages, why[2], F.when(status == "CUTOFF_EXCLUDED", BEYOND).otherwise(why[3]))
     steps = [F.struct(F.lit(k).alias("stage"), s.alias("state"), w.alias("reason")) for k, (s, w) in enumerate(zip((first, second, third, fourth), why, strict=True))]
     return pairs.select("pair_id", F.explode(F.array(*steps)).alias("s")).select("pair_id", "s.*")
 

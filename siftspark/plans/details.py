@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftspark.operators import anchors, intervals, located, sections
+from siftspark.operators import anchors, intervals, located, sections, verification, views
 
 from .catalogue import plan
-from .relations import PROFILE, table
+from .relations import PAIRS, PROFILE, pairs, table
 from .screening import _ANY, SECTIONS
 
 #: Profiles with as many more projects as make several chunks.
@@ -91,3 +91,85 @@ def interval_union(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     a = day * 1000 + F.col("o_orderkey") % 977
     return intervals.interval_union(o.select(F.col("c_mktsegment").alias("who"), a.alias("a"), (a + 50 + F.col("o_custkey") % 700).alias("b")), "who", "a", "b")
+
+
+_KIND = "(['SKILLS', 'EXPERIENCE', 'PROJECTS', 'EDUCATION'])"
+_MADE = f"""g AS (SELECT l_orderkey AS pair_id, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+ e AS (SELECT pair_id, n, p, {_KIND}[p % 4 + 1] AS category, {_KIND}[p % 4 + 1] || ':' || n AS citation, 'ev_' || p AS evidence_id, CASE WHEN p % 23 = 0 THEN 'you are now ' ELSE '' END || 'Made ' || p || ' parts' AS text FROM g),
+ c AS (SELECT *, CASE WHEN p % 7 = 0 THEN 'flags[' || n % 2 || ']' ELSE lower({_KIND}[(p + CASE WHEN p % 11 = 0 THEN 1 ELSE 0 END) % 4 + 1]) END AS field, CASE p % 13 WHEN 0 THEN 'SKILLS-1' WHEN 1 THEN 'SKILLS:99' ELSE citation END AS cited FROM e),
+ k AS (SELECT *, CASE p % 6 WHEN 0 THEN text WHEN 3 THEN 'made 9999 parts' WHEN 5 THEN 'Unrelated' ELSE 'made parts' END AS claim, CASE p % 6 WHEN 2 THEN ' ' WHEN 3 THEN 'made' WHEN 4 THEN 'MADE' ELSE text END AS quote, CASE p % 6 WHEN 0 THEN evidence_id WHEN 1 THEN 'ev_0' WHEN 5 THEN evidence_id END AS own FROM c WHERE p % 10 <> 0)"""
+
+
+@plan(f"""WITH {_MADE}, f AS (SELECT DISTINCT pair_id, lower(x) AS field, [x] AS allowed, NULL AS i FROM g, (SELECT unnest({_KIND}) AS x) UNION ALL
+  SELECT DISTINCT pair_id, 'flags[' || v.i || ']', CASE WHEN v.i = 1 THEN ['EXPERIENCE'] ELSE {_KIND} END, v.i FROM g, (VALUES (0), (1)) v(i)),
+ a AS (SELECT c.pair_id, c.field, c.cited AS citation, false AS claimed, CASE WHEN NOT regexp_full_match(c.cited, '(SKILLS|EXPERIENCE|PROJECTS|EDUCATION):[1-9][0-9]*') THEN 'MALFORMED' WHEN e.citation IS NULL THEN 'UNKNOWN' WHEN NOT list_contains(f.allowed, e.category) THEN 'WRONG' END AS reason
+   FROM c JOIN f USING (pair_id, field) LEFT JOIN e ON e.pair_id = c.pair_id AND e.citation = c.cited UNION ALL
+  SELECT k.pair_id, k.field, k.cited, true, CASE WHEN e.citation IS NULL OR NOT list_contains(f.allowed, e.category) THEN 'INVALID' WHEN trim(claim) = '' OR trim(quote) = '' THEN 'EMPTY' WHEN NOT contains(lower(e.text), lower(quote)) THEN 'QUOTE'
+   WHEN own <> e.evidence_id THEN 'ID' WHEN own IS NOT NULL AND claim <> e.text THEN 'EXPLICIT' WHEN NOT list_has_all(regexp_extract_all(quote, '\\d+'), regexp_extract_all(claim, '\\d+')) THEN 'NUMBER' END
+   FROM k JOIN f USING (pair_id, field) LEFT JOIN e ON e.pair_id = k.pair_id AND e.citation = k.cited),
+ o AS (SELECT pair_id, field, citation, bool_or(NOT claimed) AS cite, bool_or(NOT claimed AND reason IS NOT NULL) AS bc, bool_or(claimed AND reason IS NOT NULL) AS bk, bool_or(claimed AND reason IS NULL) AS ok FROM a GROUP BY ALL),
+ w AS (SELECT f.pair_id, f.field, f.i, coalesce(bool_or(cite), false) AS cites, coalesce(bool_or(bc), false) AS bc, coalesce(bool_or(bk), false) AS bk, coalesce(bool_or(cite AND NOT ok), false) AS un FROM f LEFT JOIN o ON o.pair_id = f.pair_id AND o.field = f.field GROUP BY ALL),
+ s AS (SELECT pair_id, 'EVIDENCE_INJECTION_SIGNAL:' || citation AS s FROM e WHERE p % 23 = 0 UNION ALL SELECT DISTINCT pair_id, 'PROMPT' FROM g WHERE pair_id % 9 = 0),
+ r AS (SELECT pair_id, 'MISSING_CITATIONS:' || field AS r FROM w WHERE NOT cites UNION ALL SELECT pair_id, 'INVALID_CITATIONS:' || field FROM w WHERE bc UNION ALL SELECT pair_id, 'UNSUPPORTED_CLAIM:' || field FROM w WHERE bk UNION ALL
+  SELECT pair_id, 'MISSING_CLAIM_SUPPORT:' || field FROM w WHERE un UNION ALL SELECT pair_id, 'MISSING_EVIDENCE:' || allowed[1] FROM f WHERE i IS NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.pair_id = f.pair_id AND e.category = f.allowed[1]) UNION ALL
+  SELECT pair_id, 'INJECTION_SIGNAL_REQUIRES_REVIEW' FROM s UNION ALL SELECT pair_id, 'EVIDENCE_CONTEXT_TRUNCATED' FROM g WHERE pair_id % 8 = 0),
+ p AS (SELECT DISTINCT pair_id FROM g)
+SELECT pair_id, (SELECT coalesce(string_agg(DISTINCT r, ',' ORDER BY r), '') FROM r WHERE r.pair_id = p.pair_id) AS reasons, (SELECT coalesce(string_agg(i::VARCHAR, ',' ORDER BY i), '') FROM w WHERE w.pair_id = p.pair_id AND i IS NOT NULL AND cites AND NOT bc AND NOT bk AND NOT un) AS verified_flags,
+ (SELECT coalesce(string_agg(DISTINCT s, ',' ORDER BY s), '') FROM s WHERE s.pair_id = p.pair_id) AS signals, (SELECT coalesce(string_agg(DISTINCT citation, ',' ORDER BY citation), '') FROM a WHERE a.pair_id = p.pair_id AND reason IS NULL) AS valid,
+ (SELECT coalesce(string_agg(DISTINCT citation, ',' ORDER BY citation), '') FROM a WHERE a.pair_id = p.pair_id AND reason IS NOT NULL) AS invalid FROM p""")
+def evidence_verification(spark, d):
+    p, n = F.col("p"), F.col("n")
+    kind = lambda k: F.element_at(F.array(*map(F.lit, verification.LETTERS)), (k % 4 + 1).cast("int"))
+    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
+    text = F.concat(F.when(p % 23 == 0, "you are now ").otherwise(F.lit("")), F.lit("Made "), p.cast("string"), F.lit(" parts"))
+    e = g.select("*", kind(p).alias("category"), F.concat(kind(p), F.lit(":"), n.cast("string")).alias("citation"), F.concat(F.lit("ev_"), p.cast("string")).alias("evidence_id"), text.alias("text"))
+    field = F.when(p % 7 == 0, F.format_string("flags[%d]", (n % 2).cast("int"))).otherwise(F.lower(kind(p + F.when(p % 11 == 0, 1).otherwise(0))))
+    c = e.select("*", field.alias("field"), F.when(p % 13 == 0, "SKILLS-1").when(p % 13 == 1, "SKILLS:99").otherwise(F.col("citation")).alias("cited"))
+    text, k = F.col("text"), p % 6
+    claim = F.when(k == 0, text).when(k == 3, "made 9999 parts").when(k == 5, "Unrelated").otherwise(F.lit("made parts"))
+    quote = F.when(k == 2, " ").when(k == 3, "made").when(k == 4, "MADE").otherwise(text)
+    own = F.when(k.isin(0, 5), F.col("evidence_id")).when(k == 1, "ev_0")
+    claims = c.where(p % 10 != 0).select("pair_id", "field", F.col("cited").alias("citation"), claim.alias("claim"), quote.alias("quote"), own.alias("evidence_id"))
+    pair = g.select("pair_id").distinct()
+    flags = pair.select("pair_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("index")).withColumn("type", F.when(F.col("index") == 1, verification.CAREER_GAP).otherwise("OTHER"))
+    signals = F.when(F.col("pair_id") % 9 == 0, F.array(F.lit("PROMPT")))
+    v = verification.verification(pair.select("pair_id", signals.alias("signals"), (F.col("pair_id") % 8 != 0).alias("complete")), e, flags, c.select("pair_id", "field", F.col("cited").alias("citation")), claims)
+    return v.select("pair_id", *[F.array_join(F.col(x).cast("array<string>"), ",").alias(x) for x in ("reasons", "verified_flags", "signals", "valid", "invalid")])
+
+
+@plan(f"""WITH {PAIRS}, e AS (SELECT l_orderkey AS pair_id, l_linenumber || '/' || l_partkey || '/' || l_suppkey AS event_id, l_suppkey AS actor, l_shipdate AS ts, l_returnflag AS snapshot FROM lineitem)
+SELECT pair_id, coalesce((SELECT string_agg(event_id || '@' || strftime(ts, '%Y-%m-%d') || '=' || snapshot, ',' ORDER BY ts DESC, event_id) FROM e WHERE e.pair_id = p.pair_id), '') AS history,
+ coalesce((SELECT string_agg(o.job || '/' || o.pair_id || '/' || o.status, ',' ORDER BY o.job, o.pair_id) FROM pairs o WHERE o.doc_id = p.doc_id AND o.pair_id <> p.pair_id), '') AS roles FROM pairs p WHERE status = 'REVIEW_REQUIRED'""")
+def pair_details(spark, d):
+    p = pairs(spark, d)
+    event_id = F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey")
+    events = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pair_id"), event_id.alias("event_id"), F.col("l_suppkey").alias("actor"), F.col("l_shipdate").alias("created_at"), F.col("l_returnflag").alias("snapshot"))
+    x = verification.pair_details(p.where("status = 'REVIEW_REQUIRED'"), p.select("pair_id", "doc_id", "job", "status", "score"), events)
+    event = lambda e: F.concat(e["event_id"], F.lit("@"), F.date_format(e["created_at"], "yyyy-MM-dd"), F.lit("="), e["snapshot"])
+    return x.select("pair_id", F.array_join(F.transform("history", event), ",").alias("history"), F.array_join(F.transform("other_roles", lambda r: F.concat_ws("/", r["job"], r["pair_id"], r["status"])), ",").alias("roles"))
+
+
+@plan(f"""WITH {PAIRS}, c AS (SELECT l_orderkey AS pair_id, string_agg('line ' || l_linenumber || ' of ' || l_partkey, '; ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS m FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1)
+SELECT pair_id, coalesce(m, '') AS messages, CASE WHEN status = 'CUTOFF_EXCLUDED' THEN 'Outside this role''s detailed assessment limit; not a recruiter rejection.' WHEN status = 'EVALUATION_FAILED' THEN 'F' || pair_id % 2 END AS judged_reason,
+ CASE WHEN doc_id % 3 = 2 THEN 'UNREADABLE' END AS extraction_reason FROM pairs LEFT JOIN c USING (pair_id)""")
+def stage_reasons(spark, d):
+    k = F.col("pair_id")
+    status = F.when(F.col("l_returnflag") == "N", "PASS").when(F.col("l_returnflag") == "A", "FAIL").otherwise("REVIEW")
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", status.alias("status"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(" of "), F.col("l_partkey").cast("string")).alias("message"))
+    c = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pair_id")).agg(F.array_sort(F.collect_list(row)).alias("checks"))
+    x = pairs(spark, d).join(c, "pair_id", "left").withColumn("extraction_error", F.when(F.col("doc_id") % 3 == 2, "UNREADABLE")).withColumn("failure_code", F.concat(F.lit("F"), (k % 2).cast("string")))
+    x = x.withColumn("extraction", F.lit("SUCCEEDED")).withColumn("rules", F.lit("REVIEW")).withColumn("matched", F.lit(True)).withColumn("judged", F.lit(None).cast("string"))
+    of = lambda n, name: F.max(F.when(F.col("stage") == n, F.col("reason"))).alias(name)
+    return views.stage_labels(x, full=True).groupBy("pair_id").agg(of(1, "messages"), of(3, "judged_reason"), of(0, "extraction_reason"))
+
+
+@plan(r"""WITH s AS (SELECT doc_id AS draft_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS source FROM documents WHERE text IS NOT NULL), q AS (SELECT draft_id, 0 AS target, source[20:60] AS quote FROM s UNION ALL SELECT draft_id - 1, 1, source[1:40] FROM s UNION ALL SELECT draft_id, 2, source[5:30] || '!!' FROM s),
+ a AS (SELECT draft_id, quote FROM q WHERE target = 1 AND draft_id % 2 = 0)
+SELECT q.draft_id, target, coalesce(contains(source, trim(q.quote)), false) OR EXISTS (SELECT 1 FROM a WHERE a.draft_id = q.draft_id AND contains(a.quote, trim(q.quote))) AS accepted FROM q LEFT JOIN s USING (draft_id)""")
+def target_quotes(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("draft_id"), "text")
+    blocks = docs.select("draft_id", F.posexplode(F.split("text", r"\n")).alias("block", "text")).select("draft_id", F.lit(1).alias("page"), "block", "text").where("trim(text) <> ''")
+    s = docs.select("draft_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t"))
+    wide = lambda c: F.replace(c, F.lit(" "), F.lit(" \n "))
+    q = s.select("draft_id", F.lit(0).alias("target"), wide(F.substring("t", 20, 41)).alias("quote")).union(s.select(F.col("draft_id") - 1, F.lit(1), F.left("t", F.lit(40)))).union(s.select("draft_id", F.lit(2), F.concat(F.substring("t", 5, 26), F.lit("!!"))))
+    return verification.quoted_targets(q, blocks, q.where("target = 1 and draft_id % 2 = 0").select("draft_id", "quote"))
