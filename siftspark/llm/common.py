@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: UTF-8 bytes handled at once inside a task; longer texts are cut into overlapping stretches.
 CHUNK_BYTES = 1 << 20
+#: Spark's setting by which the shuffle files of a query go when it ends; a saved table needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def spare(docs: DataFrame, *names: str) -> list[str]:
@@ -49,20 +49,18 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back; the result has no lineage but the files."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def read_all(self, prefix: str, like: DataFrame) -> DataFrame:
         """Every table saved under ``prefix/...``, as one."""
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{prefix}/*")
 
-    def settle(self) -> None:
-        """Let Spark delete the shuffle files of steps that have been written: it does so when their plans are collected as garbage."""
-        for _ in range(2):  # plans go with the first, the shuffles they alone held with the second
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(1)
-
     def drop(self, name: str) -> None:
         """Delete one of this object's own tables, once nothing reads it any more."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

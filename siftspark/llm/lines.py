@@ -232,7 +232,6 @@ def _joined(index: DataFrame, scratch: Scratch, similarity: float, limit: int, n
     word = F.shiftrightunsigned("key", REST)
     found = index.repartition(word).sortWithinPartitions("key").mapInArrow(_candidates(["w"], limit, similarity, all_of_probe), _CANDIDATES)
     found = scratch.save(found, f"{name}-found")
-    scratch.settle()
     large = found.where("to is null").select("key", "id", "b1", "b2").withColumn("w", word)
     out = found.where("to is not null")
     if not large.isEmpty():
@@ -299,7 +298,6 @@ def later_lines(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, limi
     first = lines.groupBy("s1", "s2").agg(F.min(place).alias("first"))
     ordered = first.select("first.*").repartitionByRange("doc_id", "th", "line").sortWithinPartitions("doc_id", "th", "line")
     ordered = scratch.save(ordered.withColumn("id", F.monotonically_increasing_id()), "line-firsts")
-    scratch.settle()
 
     def with_text(some: DataFrame) -> DataFrame:
         s = some.groupBy(F.col("doc_id").alias("s_doc"), F.col("th").alias("s_th")).agg(F.collect_list(F.struct("line", "id")).alias("lines"))
@@ -311,7 +309,6 @@ def later_lines(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, limi
     def verified(p: DataFrame, name: str) -> DataFrame:
         used = p.select("id").union(p.select("to")).distinct()
         texts = scratch.save(with_text(ordered.join(used, "id", "left_semi")).mapInArrow(_texts, "t_id long, line binary").dropDuplicates(["t_id"]), f"{name}-texts")
-        scratch.settle()
 
         def proven(q: DataFrame, part: str) -> DataFrame:
             x = q.join(texts, q.id == F.col("t_id")).select("id", "to", F.col("line").alias("a"))
@@ -338,7 +335,6 @@ def later_lines(docs: DataFrame, scratch: Scratch, similarity: float = 0.8, limi
         probes = scratch.save(some.select("key", "id", "b1", "b2", "probe"), "line-probes")
         more = _joined(probes, scratch, similarity, limit, "line-2", True).join(pairs, ["id", "to"], "left_anti")
         found = found.union(verified(scratch.save(more, "line-pairs-2"), "line-2")).distinct()
-    scratch.settle()
     gone = ordered.join(found, "id", "left_semi").select("doc_id", "th", "line")
     same = lines.join(first, ["s1", "s2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "line")
     return same.union(gone).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("later"))

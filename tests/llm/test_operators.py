@@ -287,7 +287,7 @@ def test_url_aliases(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     rel, df = con.sql(ORACLE_SQL[name]), QUERIES[name](spark, DATA)
     cols = sorted(rel.columns)
