@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of candidates, and of a block of queries, that meet in one task; queries looked at together inside it.
 CANDIDATES, QUERIES, TOGETHER = 8192, 8192, 512
-#: What a search has done, for tests and figures: (queries x candidates) there were, and of them the entries read of each list or the candidates verified.
-WORK = {"all": 0, "read": 0.0, "resolved": 0}
+#: What a search has done, for tests and figures: (queries x candidates) there were, and of them the entries read of each list, the candidates whose projected distance was computed, and those verified or resolved.
+WORK = {"all": 0, "read": 0, "projected": 0, "resolved": 0}
 
 
 def usable(vector: Column, zero: bool = True) -> Column:
@@ -89,25 +89,23 @@ def nra(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int)
     """Exact top-k inner products of floor(64 v) by no-random-access aggregation over a block.
 
     Each component has a sorted list of the candidates; a query reads it from the top where its own
-    component is positive, from the bottom where it is negative. After depth t all lists have been
-    read down to their frontier. A component that has been read counts as it is; one that hasn't
-    counts at most as the frontier, and at least as the list's far end. The depth grows in steps of a
-    sixteenth of the lists. The upper bounds of a sample of candidates tell when it pays to bound all
-    of them; the leaders by upper bound are then resolved, and the k-th best of these is a lower
-    bound of the k-th best there is. A query stops when few outsiders' upper bounds reach it: these
-    are resolved exactly, all others cannot qualify.
+    component is positive, from the bottom where it is negative. All lists are read on together, a
+    sixteenth of them at a time. What a candidate's entries have shown gives its partial sum; the
+    upper bound adds the lists' frontiers for what has not been read, the lower bound takes off the
+    most that the rest can, by the norms of the query's and the candidate's unread parts (squared norms
+    are kept beside the lists). Nothing else of a candidate is looked at. A query stops when few
+    candidates' upper bounds reach the k-th best lower bound: no outsider can qualify. The final
+    scores of these few are then resolved. The bounds of a sample of candidates tell when it pays to bound all.
     """
-    q, x = np.floor(q * 64), np.floor(x * 64)
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
+    most = np.finfo(float).max  # where 64 times a component is beyond a double
+    with np.errstate(over="ignore"):
+        q, x = (np.clip(np.floor(v * 64), -most, most) for v in (q, x))
+    largest = float(max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)))
+    top = largest * largest * q.shape[1]
     if top >= 2.0**53:
         return _exact_large(qids, q, ids, x, k)
     kind = np.float32 if top < 2**24 else np.float64  # sums of whole numbers below these are exact
-    q, x = q.astype(kind), x.astype(kind)
-    lists, out = np.sort(x, axis=0), []
-    for a in range(0, len(q), TOGETHER):
-        r, i, s = _nra(qids[a : a + TOGETHER], q[a : a + TOGETHER], ids, x, lists, k)
-        out.append((r + a, i, s))
-    return tuple(np.concatenate([p[j] for p in out]) if out else np.empty(0, int) for j in range(2)) + (np.concatenate([p[2] for p in out]).astype(np.int64) if out else np.empty(0, np.int64),)
+    return _nra(qids, q.astype(kind), ids, x.astype(kind), k)
 
 
 def _scores(q: np.ndarray, x: np.ndarray, r: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -119,62 +117,101 @@ def _scores(q: np.ndarray, x: np.ndarray, r: np.ndarray, i: np.ndarray) -> np.nd
     return out
 
 
-def _nra(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, active, out = len(x), np.arange(len(q)), []
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """Each row's k-th best; -inf where there are fewer."""
+    m = scores.shape[1]
+    return np.partition(scores, m - k, axis=1)[:, m - k] if m >= k else np.full(len(scores), -np.inf)
+
+
+class _Lists:
+    """Sorted lists of a block's components, and what has been read of them: from the top in the first half of the columns, from the bottom in the second."""
+
+    def __init__(self, x: np.ndarray):
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.values = np.take_along_axis(x, self.order, axis=0)
+        self.squares = (x * x).sum(1)
+        self.n, self.d, self.depth = *x.shape, 0
+        self.seen, self.read = np.zeros((self.n, 2 * self.d), x.dtype), np.zeros((self.n, 2 * self.d), bool)
+
+    def read_to(self, depth: int) -> None:
+        cols = np.arange(self.d)
+        for part, at in ((slice(self.n - depth, self.n - self.depth), cols), (slice(self.depth, depth), cols + self.d)):
+            self.seen[self.order[part], at] = self.values[part]
+            self.read[self.order[part], at] = True
+        self.depth, self.edge = depth, np.concatenate([self.values[self.n - depth], self.values[depth - 1]])
+
+    def upper(self, both: np.ndarray, rows=slice(None)) -> np.ndarray:
+        """Upper bounds of rows for each query: what has been read, and the frontier for the rest."""
+        return both @ np.where(self.read[rows], self.seen[rows], self.edge).T
+
+    def lower(self, both: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Lower bounds, (query, row): rows are the same for all queries, or each query's own. Rounding is on the safe side."""
+        seen, read = self.seen[rows], self.read[rows]
+        per = (lambda a, b: a @ b.T) if rows.ndim == 1 else (lambda a, b: np.matmul(b, a[:, :, None])[:, :, 0])
+        known = per(both, seen).astype(float)
+        mine = (both * both).sum(1)[:, None] - per(both * both, read.astype(both.dtype))
+        theirs = self.squares[rows] - per((both != 0).astype(both.dtype), seen * seen)
+        # a query's zero components are read by neither side: they weigh nothing, and theirs stays an upper bound
+        return known - np.sqrt(np.maximum(mine, 0).astype(float) * np.maximum(theirs, 0)) * (1 + 1e-6)
+
+
+def _nra(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, lists, out, active = len(x), _Lists(x), [], np.arange(len(q))
     both = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])
-    sample = np.random.default_rng(5).permutation(n)[: max(4 * k, n // 32)]
+    sample = np.random.default_rng(5).permutation(n)[: max(4 * k, n // 64)]
+    likely_rank = max(1, k * len(sample) // n)
+    step = max(k + 1, n // 16)
     WORK["all"] += len(q) * n
 
-    def upper(who: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
-        high, low = lists[n - depth], lists[depth - 1]
-        return both[who] @ np.hstack([np.maximum(rows, high), np.minimum(rows, low)]).T  # what is beyond the frontier has been read
-
-    def settle(who: np.ndarray, can: np.ndarray, depth: int) -> None:
-        r, i = np.nonzero(can)
+    def stopped(who: np.ndarray, last: bool) -> np.ndarray:
+        """The queries that are done at this depth; their results go to out."""
+        if not last:
+            reach = _kth(lists.lower(both[who], sample), likely_rank)[:, None]
+            who = who[(lists.upper(both[who], sample) >= reach).mean(axis=1) <= 0.125]
+            if not len(who):
+                return who
+        bound = lists.upper(both[who])
+        bound[qids[who][:, None] == ids[None, :]] = -np.inf
+        lead = np.argpartition(bound, n - 4 * k, axis=1)[:, n - 4 * k :] if n > 4 * k else np.tile(np.arange(n), (len(who), 1))
+        least = lists.lower(both[who], lead)
+        least[qids[who][:, None] == ids[lead]] = -np.inf
+        can = bound >= _kth(least, k)[:, None]
+        few = last | (can.sum(axis=1) <= max(4 * k, n // 8))
+        who, can = who[few], can[few]
+        r, i = np.nonzero(can & (qids[who][:, None] != ids[None, :]))
+        WORK["read"] += len(who) * lists.depth
+        WORK["resolved"] += len(r)
         s = np.full(can.shape, -np.inf, q.dtype)
         s[r, i] = _scores(q[who], x, r, i)
-        s[qids[who][:, None] == ids[None, :]] = -np.inf
-        WORK["read"] += len(who) * depth
-        WORK["resolved"] += len(r)
         found = _top(s, k)
         out.append((who[found[0]], *found[1:]))
+        return who
 
-    # of a few, what the best of the sample reach tells how deep to read first
-    depth, step = max(k + 1, n // 16), max(1, n // 16)
     while len(active):
-        if depth + step >= n:  # the lists end: all that is left is resolved
-            settle(active, np.ones((len(active), n), bool), n)
-            break
-        some = upper(active, x[sample], depth)
-        best = q[active] @ x[sample].T
-        likely = np.partition(best, len(sample) - min(k, len(sample)), axis=1)[:, len(sample) - min(k, len(sample))] if len(sample) > k else best.max(axis=1)
-        ripe = (some >= likely[:, None]).mean(axis=1) <= 0.5
-        if ripe.any():
-            who = active[ripe]
-            bound = upper(who, x, depth)
-            bound[qids[who][:, None] == ids[None, :]] = -np.inf
-            lead = np.argpartition(bound, n - 4 * k, axis=1)[:, n - 4 * k :] if n > 4 * k else np.tile(np.arange(n), (len(who), 1))
-            lead = np.sort(lead, axis=1)
-            known = _scores(q[who], x, np.repeat(np.arange(len(who)), lead.shape[1]), lead.ravel()).reshape(lead.shape)
-            known[qids[who][:, None] == ids[lead]] = -np.inf
-            WORK["resolved"] += lead.size
-            least = np.partition(known, lead.shape[1] - k, axis=1)[:, lead.shape[1] - k] if lead.shape[1] > k else np.full(len(who), -np.inf)
-            can = bound >= least[:, None]
-            few = can.sum(axis=1) <= max(4 * k, n // 8)
-            if few.any():
-                settle(who[few], can[few], depth)
-                active = np.setdiff1d(active, who[few])
-        depth += step
+        depth = min(n, lists.depth + step)
+        lists.read_to(depth)
+        done = [stopped(active[a : a + TOGETHER], depth == n) for a in range(0, len(active), TOGETHER)]
+        active = np.setdiff1d(active, np.concatenate(done))
     r, i, s = (np.concatenate([p[j] for p in out]) if out else np.empty(0, int) for j in range(3))
-    return r, i, s
+    return r, i, s.astype(np.int64)
 
 
 def _exact_large(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same with whole numbers of any size, for components that doubles can't sum exactly; scores beyond a long are set to its ends."""
-    whole = lambda m: [[int(c) for c in row] for row in m.tolist()]
-    r, i, s, xs = [], [], [], whole(x)
-    for a, row in enumerate(whole(q)):
-        scores = [(-sum(map(int.__mul__, row, other)), j) for j, other in enumerate(xs) if ids[j] != qids[a]]
+    """The same with whole numbers of any size, for components that doubles can't sum exactly; scores beyond a long are set to its ends.
+
+    Scores in doubles, with the most that their rounding can be off, tell which candidates can be among the best; these are scored in whole numbers.
+    """
+    r, i, s = [], [], []
+    for a, row in enumerate(q):
+        with np.errstate(over="ignore", invalid="ignore"):
+            about, off = x @ row, np.abs(x) @ np.abs(row) * (len(row) + 2) * 2.0**-52
+            high, low = about + off, about - off
+        sure = np.isfinite(high) & np.isfinite(low)
+        other = ids != qids[a]
+        least = _kth(low[sure & other][None, :], k)[0]
+        mine = [int(c) for c in row.tolist()]
+        can = np.flatnonzero(other & (~sure | (high >= least)))
+        scores = [(-sum(map(int.__mul__, mine, map(int, x[j].tolist()))), j) for j in can]
         for neg, j in sorted(scores)[:k]:
             r.append(a), i.append(j), s.append(max(-(2**63), min(2**63 - 1, -neg)))
     return np.array(r, int), np.array(i, int), np.array(s, np.int64)
@@ -186,7 +223,7 @@ def exact_top_k(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     Candidates are all rows but those with the query's vec_id. Ties go to the smaller vec_id.
     Null vectors, such with null or non-finite components and rows with a null vec_id take no part;
     a vector only meets those of its dimension; repeated rows count each time, as queries and as
-    candidates; other columns are ignored.
+    candidates; other columns are ignored. Components that 64 times are beyond a double count as the largest double.
     """
     return _in_blocks(vectors, queries, nra, k, "long", usable(F.col("embedding")))
 
@@ -218,61 +255,125 @@ def kd_leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
     return leaves
 
 
-def projected(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, m: int = 16, p: float = 0.85, leaf: int = 64, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Largest inner products by incremental neighbours in a projected kd-tree, with a chi-square stop.
+class _Band:
+    """Candidates of about one norm: their projections in a kd-tree. rows: where they stand in the block."""
+
+    def __init__(self, x: np.ndarray, rows: np.ndarray, lengths: np.ndarray, directions: np.ndarray, leaf: int):
+        self.long = float(lengths[rows].max())
+        extra = np.sqrt(np.maximum(self.long**2 - lengths[rows] ** 2, 0))
+        p = np.hstack([x[rows], extra[:, None]]) @ directions
+        leaves = kd_leaves(p, leaf)
+        order = np.concatenate(leaves)
+        self.rows, self.p, self.x = rows[order], p[order], x[rows[order]]  # leaf by leaf
+        self.size = np.array([len(r) for r in leaves])
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.low, self.high = (f.reduceat(self.p, self.start[:-1], axis=0) for f in (np.minimum, np.maximum))
+
+    def of_leaves(self, some: np.ndarray) -> np.ndarray:
+        size = self.size[some]
+        return np.repeat(self.start[some] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+
+
+def bands(lengths: np.ndarray, ratio: float = 1.05, least: int = 256) -> list[np.ndarray]:
+    """Rows by falling length, cut where a length is less than the band's longest by ratio; of least rows each, the last may have fewer."""
+    order, out, a = np.argsort(-lengths, kind="stable"), [], 0
+    falling = -lengths[order]
+    while a < len(order):
+        b = min(len(order), max(a + least, int(np.searchsorted(falling, falling[a] / ratio, side="right"))))
+        out.append(order[a:b])
+        a = b
+    return out
+
 
-    A component sqrt(M^2 - |x|^2) makes all candidates as long as the longest, M, so the largest
-    inner product is the smallest distance. Candidates are projected by m Gaussian (2-stable)
-    directions and indexed in a kd-tree. A query verifies the candidates in order of their distance D
-    to its projection: those of the nearest leaves, then, in growing batches, those of all leaves
-    that come near enough. For a vector at distance d the squared projected distance over d^2
-    follows chi-square with m degrees, so once D^2 exceeds the p-quantile times the squared distance
-    of the k-th best so far, each better vector left would have been met with probability p at
-    least: it stops.
+class _Best:
+    """The candidates a query has verified."""
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.scores, self.kth = k, np.empty(0, int), np.empty(0), -np.inf
+
+    def add(self, rows: np.ndarray, scores: np.ndarray) -> None:
+        scores = np.append(self.scores, scores)
+        rows = np.append(self.rows, rows)
+        if len(scores) >= self.k:
+            self.kth = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            keep = scores >= self.kth  # with ties at the k-th place
+            rows, scores = rows[keep], scores[keep]
+        self.rows, self.scores = rows, scores
+
+
+def _search_band(band: _Band, q: np.ndarray, pq: np.ndarray, square: float, others: np.ndarray, best: _Best, quantile: float, leaf: int) -> None:
+    """Verifies a band's candidates in order of their projected distance until the stopping test holds; distances are computed for the leaves opened only."""
+    gap = ((np.maximum(band.low - pq, 0) + np.maximum(pq - band.high, 0)) ** 2).sum(1)
+    near = np.argsort(gap)
+    gap = gap[near]
+    limit = lambda: quantile * max(square + band.long**2 - 2 * best.kth, 0) if best.kth > -np.inf else np.inf
+    reach, opened, batch = limit(), 0, max(2, ceil(2 * best.k / leaf))
+    rows, apart = np.empty(0, int), np.empty(0)  # of leaves opened, not verified
+    while True:
+        end = min(opened + batch, int(np.searchsorted(gap, reach, side="right")))
+        if end > opened:
+            more = band.of_leaves(near[opened:end])
+            more = more[others[band.rows[more]]]
+            WORK["projected"] += len(more)
+            away = band.p[more] - pq
+            rows, apart = np.append(rows, more), np.append(apart, np.einsum("ij,ij->i", away, away))
+            opened, batch = end, 2 * batch
+        beyond = gap[opened] if opened < len(gap) else np.inf  # no leaf left holds any that are nearer
+        ready = np.flatnonzero(apart <= min(reach, beyond))
+        if not len(ready) and (opened == len(gap) or beyond > reach):
+            return
+        turn = max(4 * best.k, len(ready) // 4)
+        if len(ready) > turn:
+            ready = ready[np.argpartition(apart[ready], turn)[:turn]]
+        if len(ready):
+            now = rows[ready]
+            WORK["resolved"] += len(now)
+            best.add(band.rows[now], band.x[now] @ q)
+            reach = limit()
+            left = apart <= reach
+            left[ready] = False
+            rows, apart = rows[left], apart[left]
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """All components by the same power of two, so that no square is beyond a double and equal ones stay equal."""
+    return np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
+
+
+def projected(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, m: int = 16, p: float = 0.87, leaf: int = 64, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Largest inner products by incremental neighbours in projected kd-trees, with a chi-square stop.
+
+    Candidates lie in bands of about one norm, the longest first. A component sqrt(M^2 - |x|^2) makes
+    all of a band as long as its longest, M, so the largest inner product is the smallest distance.
+    They are projected by m Gaussian (2-stable) directions and indexed in a kd-tree. A query opens
+    the tree's leaves from the nearest on and verifies the candidates of those it has opened in order
+    of their distance D to its projection. For a vector at distance d the squared projected distance
+    over d^2 follows chi-square with m degrees, so once D^2 exceeds the p-quantile times the squared
+    distance of the k-th best so far, each better vector left would have been met with probability
+    p at least: it stops. Bands that can't reach the k-th best by their norm are not searched.
     """
-    long = float(np.sqrt((x * x).sum(1).max()))
-    extra = np.sqrt(np.maximum(long**2 - (x * x).sum(1), 0))
-    a = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, m))
-    px, pq = np.hstack([x, extra[:, None]]) @ a, q @ a[:-1]
-    order = np.concatenate(leaves := kd_leaves(px, leaf))
-    px, x, ids_ = px[order], x[order], ids[order]  # leaf by leaf
-    start = np.concatenate([[0], np.cumsum([len(r) for r in leaves])])
-    low, high = (f.reduceat(px, start[:-1], axis=0) for f in (np.minimum, np.maximum))
-    quantile, lens, square = chi_square(p, m), (q * q).sum(1) + long**2, (px * px).sum(1)
-    rows, columns, scores = [], [], []
-    first, sizes = min(len(leaves), max(2, ceil(2 * k / leaf))), np.diff(start)
-    for n, row in enumerate(pq):
-        if n % TOGETHER == 0:
-            some = pq[n : n + TOGETHER]
-            apart = square - 2 * (some @ px.T) + (some * some).sum(1)[:, None]
-        gap = ((np.maximum(low - row, 0) + np.maximum(row - high, 0)) ** 2).sum(1)
-        near = np.zeros(len(leaves), bool)
-        near[np.argpartition(gap, first - 1)[:first]] = True
-        others = ids_ != qids[n]
-        done = np.flatnonzero(np.repeat(near, sizes) & others)
-        s = x[done] @ q[n]
-        reach = lambda s: quantile * max(lens[n] - 2 * np.partition(s, len(s) - k)[len(s) - k], 0) if len(s) > k else np.inf  # noqa: B023, E731
-        limit, d = reach(s), apart[n % TOGETHER]
-        left = np.flatnonzero(np.repeat((gap <= limit) & ~near, sizes) & others & (d <= limit))
-        for share in (0.25, 0.5, 1.0):
-            now = d[left] <= limit * share if limit < np.inf else np.ones(len(left), bool)
-            done, s = np.append(done, left[now]), np.append(s, x[left[now]] @ q[n])
-            left, limit = left[~now], min(limit, reach(s))
+    whole, q, x = (q, x), _scaled(q), _scaled(x)
+    lengths = np.sqrt((x * x).sum(1))
+    directions = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, m))
+    index = [_Band(x, rows, lengths, directions, leaf) for rows in bands(lengths)]
+    pq, square, quantile = q @ directions[:-1], (q * q).sum(1), chi_square(p, m)
+    rows, columns = [], []
+    for n in range(len(q)):
+        best, others = _Best(k), ids != qids[n]
+        for band in index:
+            if np.sqrt(square[n]) * band.long * (1 + 1e-12) < best.kth:
+                break
+            _search_band(band, q[n], pq[n], square[n], others, best, quantile, leaf)
         WORK["all"] += len(x)
-        WORK["resolved"] += len(done)
-        keep = np.argpartition(-s, 2 * k)[: 2 * k] if len(s) > 2 * k else np.arange(len(s))
-        least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-        keep = np.flatnonzero(s >= least) if (s >= least).sum() > 2 * k else keep  # ties at the k-th place
-        rows.append(np.full(len(keep), n))
-        columns.append(order[done[keep]])
-        scores.append(s[keep])
-    r, i, s = (np.concatenate(v) if v else np.empty(0, int) for v in (rows, columns, scores))
+        rows.append(np.full(len(best.rows), n))
+        columns.append(best.rows)
+    r, i = (np.concatenate(v) if v else np.empty(0, int) for v in (rows, columns))
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = np.einsum("ij,ij->i", whole[0][r], whole[1][i])
     by = np.lexsort((i, -s, r))
     r, i, s = r[by], i[by], s[by]
     place = np.arange(len(r)) - np.searchsorted(r, r, side="left")
-    r, i = r[place < k], i[place < k]
-    inverse = np.argsort(order)
-    return r, i, np.einsum("ij,ij->i", q[r], x[inverse[i]])
+    return r[place < k], i[place < k], s[place < k]
 
 
 def near_top_k(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
