@@ -256,15 +256,16 @@ def kd_leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 class _Band:
-    """Candidates of about one norm: their projections in a kd-tree. rows: where they stand in the block."""
+    """Candidates of about one norm: their projections in a kd-tree. rows: where they stand in the block. Single precision: it decides what is looked at, scores are doubles."""
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray, lengths: np.ndarray, directions: np.ndarray, leaf: int):
+    def __init__(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, lengths: np.ndarray, directions: np.ndarray, leaf: int):
         self.long = float(lengths[rows].max())
         extra = np.sqrt(np.maximum(self.long**2 - lengths[rows] ** 2, 0))
-        p = np.hstack([x[rows], extra[:, None]]) @ directions
+        p = (np.hstack([x[rows], extra[:, None]]) @ directions).astype(np.float32)
         leaves = kd_leaves(p, leaf)
         order = np.concatenate(leaves)
-        self.rows, self.p, self.x = rows[order], p[order], x[rows[order]]  # leaf by leaf
+        self.rows, self.p, self.x = rows[order], p[order], x[rows[order]].astype(np.float32)  # leaf by leaf
+        self.ids, self.squares = ids[self.rows], (self.p * self.p).sum(1)
         self.size = np.array([len(r) for r in leaves])
         self.start = np.concatenate([[0], np.cumsum(self.size)])
         self.low, self.high = (f.reduceat(self.p, self.start[:-1], axis=0) for f in (np.minimum, np.maximum))
@@ -286,53 +287,56 @@ def bands(lengths: np.ndarray, ratio: float = 1.05, least: int = 256) -> list[np
 
 
 class _Best:
-    """The candidates a query has verified."""
+    """The best of the candidates that a query has verified, with all that are within rounding of the k-th."""
 
     def __init__(self, k: int):
-        self.k, self.rows, self.scores, self.kth = k, np.empty(0, int), np.empty(0), -np.inf
+        self.k, self.rows, self.scores, self.kth = k, np.empty(0, int), np.empty(0, np.float32), -np.inf
 
-    def add(self, rows: np.ndarray, scores: np.ndarray) -> None:
-        scores = np.append(self.scores, scores)
-        rows = np.append(self.rows, rows)
+    def add(self, rows: np.ndarray, scores: np.ndarray, rounding: float) -> None:
+        if self.kth > -np.inf:
+            some = scores >= self.kth - rounding
+            rows, scores = rows[some], scores[some]
+        scores, rows = np.append(self.scores, scores), np.append(self.rows, rows)
         if len(scores) >= self.k:
-            self.kth = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            keep = scores >= self.kth  # with ties at the k-th place
+            self.kth = float(np.partition(scores, len(scores) - self.k)[len(scores) - self.k])
+            keep = scores >= self.kth - rounding
             rows, scores = rows[keep], scores[keep]
         self.rows, self.scores = rows, scores
 
 
-def _search_band(band: _Band, q: np.ndarray, pq: np.ndarray, square: float, others: np.ndarray, best: _Best, quantile: float, leaf: int) -> None:
+#: Candidates verified before the stopping test is made again grow up to this.
+TURN = 1024
+
+
+def _search_band(band: _Band, qid: int, q: np.ndarray, pq: np.ndarray, square: float, best: _Best, quantile: float, leaf: int) -> None:
     """Verifies a band's candidates in order of their projected distance until the stopping test holds; distances are computed for the leaves opened only."""
     gap = ((np.maximum(band.low - pq, 0) + np.maximum(pq - band.high, 0)) ** 2).sum(1)
     near = np.argsort(gap)
-    gap = gap[near]
+    gap, rounding, away = gap[near], 1e-5 * np.sqrt(square) * band.long, float(pq @ pq)
     limit = lambda: quantile * max(square + band.long**2 - 2 * best.kth, 0) if best.kth > -np.inf else np.inf
-    reach, opened, batch = limit(), 0, max(2, ceil(2 * best.k / leaf))
-    rows, apart = np.empty(0, int), np.empty(0)  # of leaves opened, not verified
+    reach, opened, batch, turn = limit(), 0, max(2, ceil(2 * best.k / leaf)), 4 * best.k
+    own = bool((band.ids == qid).any())
+    rows, apart = np.empty(0, int), np.empty(0, np.float32)  # of leaves opened, not verified
     while True:
         end = min(opened + batch, int(np.searchsorted(gap, reach, side="right")))
         if end > opened:
             more = band.of_leaves(near[opened:end])
-            more = more[others[band.rows[more]]]
             WORK["projected"] += len(more)
-            away = band.p[more] - pq
-            rows, apart = np.append(rows, more), np.append(apart, np.einsum("ij,ij->i", away, away))
-            opened, batch = end, 2 * batch
+            rows, apart = np.append(rows, more), np.append(apart, band.squares.take(more) - 2 * (band.p.take(more, axis=0) @ pq) + away)
+            opened, batch = end, 3 * batch
         beyond = gap[opened] if opened < len(gap) else np.inf  # no leaf left holds any that are nearer
-        ready = np.flatnonzero(apart <= min(reach, beyond))
-        if not len(ready) and (opened == len(gap) or beyond > reach):
-            return
-        turn = max(4 * best.k, len(ready) // 4)
-        if len(ready) > turn:
-            ready = ready[np.argpartition(apart[ready], turn)[:turn]]
-        if len(ready):
-            now = rows[ready]
+        order = np.argsort(apart)
+        rows, apart, a = rows.take(order), apart.take(order), 0
+        while (b := min(a + turn, int(np.searchsorted(apart, min(reach, beyond), side="right")))) > a:
+            now = rows[a:b]
+            if own:
+                now = now[band.ids.take(now) != qid]
             WORK["resolved"] += len(now)
-            best.add(band.rows[now], band.x[now] @ q)
-            reach = limit()
-            left = apart <= reach
-            left[ready] = False
-            rows, apart = rows[left], apart[left]
+            best.add(band.rows.take(now), band.x.take(now, axis=0) @ q, rounding)
+            reach, turn, a = limit(), min(2 * turn, max(TURN, 4 * best.k)), b
+        rows, apart = rows[a:], apart[a:]
+        if beyond > reach or opened == len(gap):
+            return
 
 
 def _scaled(v: np.ndarray) -> np.ndarray:
@@ -355,15 +359,15 @@ def projected(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
     whole, q, x = (q, x), _scaled(q), _scaled(x)
     lengths = np.sqrt((x * x).sum(1))
     directions = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, m))
-    index = [_Band(x, rows, lengths, directions, leaf) for rows in bands(lengths)]
-    pq, square, quantile = q @ directions[:-1], (q * q).sum(1), chi_square(p, m)
+    index = [_Band(x, ids, rows, lengths, directions, leaf) for rows in bands(lengths)]
+    pq, square, quantile, single = (q @ directions[:-1]).astype(np.float32), (q * q).sum(1), chi_square(p, m), q.astype(np.float32)
     rows, columns = [], []
     for n in range(len(q)):
-        best, others = _Best(k), ids != qids[n]
+        best = _Best(k)
         for band in index:
-            if np.sqrt(square[n]) * band.long * (1 + 1e-12) < best.kth:
+            if np.sqrt(square[n]) * band.long * (1 + 1e-5) < best.kth:
                 break
-            _search_band(band, q[n], pq[n], square[n], others, best, quantile, leaf)
+            _search_band(band, qids[n], single[n], pq[n], square[n], best, quantile, leaf)
         WORK["all"] += len(x)
         rows.append(np.full(len(best.rows), n))
         columns.append(best.rows)
