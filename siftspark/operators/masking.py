@@ -12,22 +12,22 @@ from siftspark.functions.text import mask_mail
 from siftspark.operators.pages import header_and_body
 
 #: The patterns of phones and of years of degrees, names of places, technologies that are no names of persons, and the masks.
-PHONE = (
-    r"(?i)(?<!\d)(?:(?:\+?977[-.\s]?)?(?:9[78]\d{8}|0\d{1,2}[-.\s]?\d{6,7})|(?:\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,4})"
-    r"(?!\d)(?:\s*(?:x|ext\.?|extension)\s*\d+)?"
-)
+NUMBER = r"(?:(?:\+?977[-.\s]?)?(?:9[78]\d{8}|0\d{1,2}[-.\s]?\d{6,7})|(?:\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,4})"
+EXTENSION = r"(?:\s*(?:x|ext\.?|extension)\s*\d+)"
 PLACES = (
-    "kathmandu", "lalitpur", "bhaktapur", "pokhara", "kavre", "kavrepalanchok", "chitwan", "butwal", "biratnagar", "dharan", "nepalgunj", "banepa", "dhulikhel",
-    r"ward\s*(?:no\.?)?\s*\d+", "metro(?:politan)?", "sub-metro", "municipality", "gaupalika", "nagarpalika", "tole", "marga", "chowk",
-)
-YEAR, DEGREE_WORDS = r"19\d{2}|20[01]\d", (
-    "graduated", "graduation", "degree", r"batch\s+of", "completed", r"class\s+of", "bachelor(?:'s)?", "master(?:'s)?", "phd", "doctorate", "bca", "bit", "slc", "see", r"\+2",
-    r"b\.?e\b\.?", r"b\.?sc\b\.?",
-)
+    r"kathmandu|lalitpur|bhaktapur|pokhara|kavre|kavrepalanchok|chitwan|butwal|biratnagar|dharan|nepalgunj|banepa|dhulikhel"
+    r"|ward\s*(?:no\.?)?\s*\d+|metro(?:politan)?|sub-metro|municipality|gaupalika|nagarpalika|tole|marga|chowk"
+)
+YEAR = r"19\d{2}|20[01]\d"
+DEGREE_WORDS = (
+    r"graduated|graduation|degree|batch\s+of|completed|class\s+of|bachelor(?:'s)?|master(?:'s)?|phd|doctorate|bca|bit|slc|see|\+2"
+    r"|b\.?e\b\.?|b\.?sc\b\.?"
+)
 TECHNOLOGIES = (
     "julia", "delphi", "cassandra", "clojure", "solr", "spark", "hadoop", "jenkins", "postman", "haskell", "erlang", "elixir", "neo4j", "tableau", "spring", "ruby", "rust", "redis",
     "linux", "darwin", "oracle", "grafana",
 )
+PHONE = rf"(?i)(?<!\d){NUMBER}(?!\d){EXTENSION}?"
 PHONE_MASK, PLACE_MASK, YEAR_MASK, NAME_MASK = "[REDACTED_PHONE]", "[REDACTED_LOCATION]", "[PREVIOUS_ERA_YEAR]", "[REDACTED_NAME]"
 LABELS = {"PERSON": NAME_MASK, "GPE": PLACE_MASK, "LOC": PLACE_MASK, "FAC": PLACE_MASK}
 #: First lines that are headings, and the form of one part of a name.
@@ -44,12 +44,12 @@ def mask_phones(text: Column) -> Column:
 
 
 def mask_places(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?i)\b(?:{'|'.join(PLACES)})\b", PLACE_MASK)
+    return F.regexp_replace(text, rf"(?i)\b(?:{PLACES})\b", PLACE_MASK)
 
 
 def mask_degree_years(text: Column) -> Column:
     """Years that stand near a word of education on the same line, on either side; all others stay."""
-    words = rf"\b(?:{'|'.join(DEGREE_WORDS)})"
+    words = rf"\b(?:{DEGREE_WORDS})"
     return F.regexp_replace(text, rf"(?i)({words}\b[^\n;]{{0,60}}?\b)(?:{YEAR})\b|\b(?:{YEAR})(\b[^\n;]{{0,40}}?{words})", f"$1{YEAR_MASK.replace('$', '')}$2")
 
 

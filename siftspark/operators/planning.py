@@ -18,7 +18,7 @@ a an and or the of in on to for with by as at from is are be have has required p
 projects project skills skill knowledge strong good excellent ability working work developer development years year explicit no not minimum must should candidate candidates
 including using proficiency proficient familiarity familiar relevant degree education section
 """.split()
-COMPOUNDS = ("spring boot", "computer science", "software engineering", "machine learning", "data engineering", "quality assurance", "test automation", "rest apis?")
+COMPOUNDS = "spring boot|computer science|software engineering|machine learning|data engineering|quality assurance|test automation|rest apis?"
 NOTHING, WORDS, ALL, ITEM_WORDS, LEGACY_GROUPS = "no explicit requirement", 64, 128, 6, 8
 #: Texts of derived queries and targets.
 PROJECTS, DELIVERY, EDUCATION = "Projects demonstrating hands-on experience", "Hands-on delivery using ", "Education and certifications stated in the CV"
@@ -77,7 +77,7 @@ def concept_plan(queries: DataFrame) -> DataFrame:
     named = F.concat(
         rows(0, "required", F.when(education, F.coalesce("degree", none)).otherwise(none)), skilled(0, "required", F.col("required")), skilled(1, "preferred", F.col("preferred")),
         rows(2, "context", F.when(asks, known).otherwise(none)),
-        rows(3, "context", F.when(asks, single(F.regexp_extract_all(q, F.lit(rf"(?i)\b({'|'.join(COMPOUNDS)})\b")))).otherwise(none)),
+        rows(3, "context", F.when(asks, single(F.regexp_extract_all(q, F.lit(rf"(?i)\b({COMPOUNDS})\b")))).otherwise(none)),
         rows(4, "context", F.when(asks, single(F.regexp_extract_all(q, F.lit(r'"([^"\n]{1,120})"')))).otherwise(none)),
         rows(5, "context", F.when(asks & q.rlike("[,;]"), single(F.split(q, r"(?i)[,;]|\b(?:and|or)\b"))).otherwise(none)),
     )

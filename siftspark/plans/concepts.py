@@ -64,7 +64,7 @@ PLAN = (
  c0 AS (SELECT job, category, CASE priority WHEN 'required' THEN 0 ELSE 1 END AS part, pos, priority, terms, subs FROM skills, (VALUES ('SKILLS'), ('EXPERIENCE'), ('PROJECTS')) v(category)
   UNION ALL SELECT job, 'EDUCATION', 0, unnest([0, 1]), 'required', unnest([['BACHELOR', w[29]], [w[30] || ' ' || w[31], w[32], w[33]]]), [] FROM w
   UNION ALL {_MENTIONED}
-  UNION ALL SELECT job, category, 3, pos, 'context', [m[pos]], [] FROM (SELECT *, unnest(range(1, len(m) + 1)) AS pos FROM (SELECT *, regexp_extract_all(query, '(?i)\b({'|'.join(planning.COMPOUNDS)})\b') AS m FROM asking))
+  UNION ALL SELECT job, category, 3, pos, 'context', [m[pos]], [] FROM (SELECT *, unnest(range(1, len(m) + 1)) AS pos FROM (SELECT *, regexp_extract_all(query, '(?i)\b({planning.COMPOUNDS})\b') AS m FROM asking))
   UNION ALL SELECT job, category, 4, pos, 'context', [m[pos]], [] FROM (SELECT *, unnest(range(1, len(m) + 1)) AS pos FROM (SELECT *, regexp_extract_all(query, '"([^"\n]{{1,120}})"', 1) AS m FROM asking))
   UNION ALL SELECT job, category, 5, pos, 'context', [item], [] FROM (SELECT job, category, pos, trim(regexp_replace(regexp_replace({_lex("m[pos]")}, '^(?:{_STOP}(?: |$))+', ''), '(?:(?:^| ){_STOP})+$', '')) AS item
     FROM (SELECT *, unnest(range(1, len(m) + 1)) AS pos FROM (SELECT *, string_split_regex(query, '(?i)[,;]|\b(?:and|or)\b') AS m FROM asking WHERE regexp_matches(query, '[,;]')))) WHERE item <> '' AND len(string_split(item, ' ')) <= {planning.ITEM_WORDS}),

@@ -11,8 +11,7 @@ from .catalogue import plan
 from .relations import PROFILES, profiles, table
 
 #: The phone pattern without looking around: what stands before and after is caught and put back, twice, as neighbours share it.
-_NUMBER = r"(?:(?:\+?977[-.\s]?)?(?:9[78]\d{8}|0\d{1,2}[-.\s]?\d{6,7})|(?:\+?\d{1,3}[-.\s]?)?\(?\d{2,4}\)?[-.\s]?\d{3,4}[-.\s]?\d{3,4})"
-_AROUND = rf"(?i)(^|\D){_NUMBER}(?:(?:\s*(?:x|ext\.?|extension)\s*\d+)|($|\D))"
+_AROUND = rf"(?i)(^|\D){masking.NUMBER}(?:{masking.EXTENSION}|($|\D))"
 
 
 def phones_sql(x: str) -> str:
@@ -21,11 +20,11 @@ def phones_sql(x: str) -> str:
 
 
 def places_sql(x: str) -> str:
-    return rf"regexp_replace({x}, '(?i)\b(?:{'|'.join(masking.PLACES)})\b', '{masking.PLACE_MASK}', 'g')"
+    return rf"regexp_replace({x}, '(?i)\b(?:{masking.PLACES})\b', '{masking.PLACE_MASK}', 'g')"
 
 
 def years_sql(x: str) -> str:
-    words = rf"\b(?:{'|'.join(masking.DEGREE_WORDS)})".replace("'", "''")
+    words = rf"\b(?:{masking.DEGREE_WORDS})".replace("'", "''")
     return rf"regexp_replace({x}, '(?i)({words}\b[^\n;]{{0,60}}?\b)(?:{masking.YEAR})\b|\b(?:{masking.YEAR})(\b[^\n;]{{0,40}}?{words})', '\1{masking.YEAR_MASK}\2', 'g')"
 
 

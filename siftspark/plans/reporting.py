@@ -9,7 +9,7 @@ from siftspark.operators import masking, measures, pages, ranking, reporting, sk
 from siftspark.operators.ranking import TERMINAL
 
 from .catalogue import plan
-from .masking import _NUMBER, CALLED
+from .masking import CALLED
 from .relations import PAIRS, PROFILES, pairs, profiles, table
 
 
@@ -49,7 +49,7 @@ def xml_unsafe(spark, d):
 _LINES = "string_split(t, chr(10))"
 
 
-@plan(rf"""SELECT doc_id, md5(array_to_string(list_transform({_LINES}, lambda n: CASE WHEN regexp_matches(n, '{MAIL}') OR regexp_matches(n, '(^|\D){_NUMBER}($|\D)') THEN '[REDACTED_CONTACT]' ELSE n END), chr(10))) AS digest FROM (SELECT doc_id, {CALLED} AS t FROM documents)""")
+@plan(rf"""SELECT doc_id, md5(array_to_string(list_transform({_LINES}, lambda n: CASE WHEN regexp_matches(n, '{MAIL}') OR regexp_matches(n, '(^|\D){masking.NUMBER}($|\D)') THEN '[REDACTED_CONTACT]' ELSE n END), chr(10))) AS digest FROM (SELECT doc_id, {CALLED} AS t FROM documents)""")
 def contact_lines_all(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(pages.mask_lines(F.expr(CALLED), [MAIL, masking.PHONE]).cast("binary")).alias("digest"))
 
