@@ -33,16 +33,19 @@ def held(passages: DataFrame, full: DataFrame, cut: Callable[[Column], Column] =
 
     cut gives the words of a text, matches decides. A passage with a word that no full text of its k has is out at once; any other meets
     only the full texts with the word of it that the fewest of them have. Null texts and texts without words hold nothing and are not held.
+    Words and passages travel as hashes, texts only to the pairs that are left; a hash that two words share can add a pair, which matches refuses.
     """
-    word = lambda df: df.select("*", F.explode(F.array_distinct(cut(F.col("text")))).alias("word"))
-    f = full.select("k", "own", "text").where("text is not null").distinct().withColumn("_f", F.md5(F.col("text").cast("binary")))
-    p = passages.select("k", "own", "text").where("text is not null").distinct().withColumn("_n", F.size(F.array_distinct(cut(F.col("text")))))
-    postings = word(f).select("k", "word", "_f", F.col("own").alias("_own"))
-    counts = postings.groupBy("k", "word").agg(F.count("*").alias("_c"))
-    rare = word(p).join(counts, ["k", "word"]).groupBy("k", "own", "text", "_n").agg(F.count("*").alias("_known"), F.min(F.struct("_c", "word")).alias("_r"))
-    rare = rare.where("_known = _n").select("k", "own", "text", F.col("_r.word").alias("word"))
+    words = F.array_distinct(F.transform(cut(F.col("text")), lambda w: F.xxhash64("k", w)))
+    name = [F.xxhash64("k", "own", "text").alias("_p"), F.xxhash64(F.lit(1), "k", "own", "text").alias("_q")]
+    f = full.select("k", "own", "text").where("text is not null").distinct().withColumn("_f", F.unhex(F.md5(F.col("text").cast("binary"))))
+    p = passages.select("k", "own", "text").where("text is not null").distinct().select("*", *name)
+    postings = f.select(F.explode(words).alias("word"), "_f", F.col("own").alias("_own"))
+    counts = postings.groupBy("word").agg(F.count("*").alias("_c"))
+    asked = p.select("_p", "_q", "own", words.alias("_w")).select("_p", "_q", "own", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
+    rare = asked.join(counts, "word").groupBy("_p", "_q", "own", "_n").agg(F.count("*").alias("_known"), F.min(F.struct("_c", "word")).alias("_r"))
+    rare = rare.where("_known = _n").select("_p", "_q", "own", F.col("_r.word").alias("word"))
     other = F.coalesce(F.col("own") != F.col("_own"), F.lit(True))
-    pairs = rare.join(postings, ["k", "word"]).where(other).select("k", "own", "text", "_f").distinct()
+    pairs = rare.join(postings, "word").where(other).select("_p", "_q", "_f").distinct().join(p, ["_p", "_q"])
     whole = f.select("k", "_f", F.col("text").alias("_full")).distinct()
     return pairs.join(whole, ["k", "_f"]).where(matches(F.col("_full"), F.col("text"))).select("k", "own", "text").distinct()
 
