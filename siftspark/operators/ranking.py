@@ -50,6 +50,6 @@ def merged_intervals(spans: DataFrame, key: str, start: str, end: str) -> DataFr
     w = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     x = spans.withColumn("new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
-    x = x.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("island", F.sum("new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))  # equal spans are of one island, whichever of them comes first
     x = x.groupBy(key, "island").agg((F.max(end) - F.min(start)).alias("n"))
     return x.groupBy(key).agg(F.sum("n").alias("covered"), F.count("*").alias("islands"))

@@ -79,7 +79,7 @@ def category_ordinals(spark, d):
 
 @plan("""WITH s AS (SELECT o_custkey AS who, date_part('year', o_orderdate) * 12 + date_part('month', o_orderdate) AS a, date_part('year', o_orderdate) * 12 + date_part('month', o_orderdate) + 1 + o_orderkey % 9 AS b FROM orders),
  f AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY who ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS gap FROM s),
- i AS (SELECT *, sum(gap) OVER (PARTITION BY who ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM f),
+ i AS (SELECT *, sum(gap) OVER (PARTITION BY who ORDER BY a, b RANGE UNBOUNDED PRECEDING) AS island FROM f),
  m AS (SELECT who, CAST(sum(n) AS BIGINT) AS months, count(*) AS islands FROM (SELECT who, island, max(b) - min(a) AS n FROM i GROUP BY ALL) GROUP BY who)
 SELECT who, months, round(months / 12, 2) AS years, round((months + islands) / 12, 2) AS most_years FROM m""")
 def experience_months(spark, d):
