@@ -1,10 +1,14 @@
 """Where a query and its SQL once parted: ties, halves and neighbours that share a character."""
 
+import random
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
-from siftspark.operators import ranking
+from siftspark.operators import masking, ranking
 from siftspark.plans import ORACLES
+from siftspark.plans.masking import all_phones_sql
 
 
 def test_equal_spans_are_of_one_island(spark, tmp_path):
@@ -16,3 +20,13 @@ def test_equal_spans_are_of_one_island(spark, tmp_path):
     month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long")
     x = spark.read.parquet(f"{tmp_path}/orders.parquet").where("o_custkey < 2000").select(F.col("o_custkey").alias("who"), month.alias("a"), (month + 1).alias("b"))
     assert {(r.covered, r.islands) for r in ranking.merged_intervals(x, "who", "a", "b").collect()} == {(2, 2)}
+
+
+def test_phones_that_share_a_blank(spark):
+    made = random.Random(5)
+    parts = [*"0123456789" * 3, *"+()-. \n" * 3, "977", "98", "01-", "x", "ext. ", "Extension", "a", "_", "\x0b", "é"]
+    texts = ["+1 (826) 555-4081 190.137.223.204 x", *("".join(made.choices(parts, k=made.randint(5, 60))) for _ in range(3000))]
+    want = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i long, t string").orderBy("i").select(masking.mask_phones(F.col("t")).alias("t")).collect()]
+    assert want[0] == "[REDACTED_PHONE] [REDACTED_PHONE] x" and any(re.search(r"\S\[REDACTED_PHONE\]", t) for t in want)
+    con = duckdb.connect()
+    assert [con.execute(f"SELECT {all_phones_sql('$1')}", [t]).fetchone()[0] for t in texts] == want
