@@ -139,12 +139,12 @@ def global_search(docs: DataFrame, campaigns: DataFrame, term: str) -> DataFrame
 
 
 def other_roles(pairs: DataFrame) -> DataFrame:
-    """Adds roles to (pair_id, doc_id, job, score): the other jobs of the pair's document, each with its best score, as job=score. A document has as many as there are jobs at most."""
+    """Adds roles to (pair_id, doc_id, job, score): the other jobs of the pair's document, each with its best score, as job=score, to one place by the score's exact value, halves to even. A document has as many as there are jobs at most."""
     best = pairs.groupBy("doc_id", "job").agg(F.max("score").alias("score"))
     roles = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("job", "score"))).alias("roles"))
     others = F.filter("roles", lambda r: r["job"] != F.col("job"))
     x = pairs.join(roles, "doc_id")
-    return x.withColumn("roles", F.array_join(F.transform(others, lambda r: F.format_string("%s=%.1f", r["job"], r["score"])), ","))
+    return x.withColumn("roles", F.array_join(F.transform(others, lambda r: F.concat(r["job"], F.lit("="), F.call_function("format_number", r["score"], F.lit("0.0")))), ","))
 
 
 def saved_view(spec: str, allowed: dict[str, type]) -> Column:

@@ -6,7 +6,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from siftspark.operators import masking, ranking
+from siftspark.operators import masking, ranking, views
 from siftspark.plans import ORACLES
 from siftspark.plans.masking import all_phones_sql
 
@@ -30,3 +30,10 @@ def test_phones_that_share_a_blank(spark):
     assert want[0] == "[REDACTED_PHONE] [REDACTED_PHONE] x" and any(re.search(r"\S\[REDACTED_PHONE\]", t) for t in want)
     con = duckdb.connect()
     assert [con.execute(f"SELECT {all_phones_sql('$1')}", [t]).fetchone()[0] for t in texts] == want
+
+
+def test_scores_of_other_roles_round_by_their_exact_value(spark):
+    scores = [99.25, 99.75, 0.15, 0.25, 0.35, 12345.65, -0.25, 2.0]
+    x = spark.createDataFrame([(k, k, j, s if j == "b" else 0.0) for k, s in enumerate(scores) for j in "ab"], "pair_id long, doc_id long, job string, score double")
+    got = [r.roles for r in views.other_roles(x).where("job = 'a'").orderBy("pair_id").collect()]
+    assert got == [f"b={s:.1f}" for s in scores]
