@@ -5,7 +5,7 @@ import pytest
 from siftspark.plans import PLANS
 
 
-@pytest.mark.parametrize("name", ["concept_plan", "target_concepts"])
+@pytest.mark.parametrize("name", ["concept_plan", "target_concepts", "resolve_targets"])
 def test_plans_of_concepts_send_no_table_through_the_driver(spark, name):
     plan = PLANS[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
