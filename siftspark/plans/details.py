@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftspark.operators import anchors, intervals, located, sections, verification, views
 
 from .catalogue import plan
-from .relations import PAIRS, PROFILE, pairs, table
+from .relations import PAIRS, PROFILE, pairs, spread, table
 from .screening import _ANY, SECTIONS
 
 #: Profiles with as many more projects as make several chunks.
@@ -35,7 +35,7 @@ def chunked(source: str, least: int, most: int) -> str:
  firsts AS (SELECT doc_id, section, min(pos) AS pos FROM named WHERE content <> '' GROUP BY ALL), src AS (SELECT {{'d': doc_id, 'p': pos}} AS key, section, content FROM sections JOIN firsts USING (doc_id, section)), {chunked('src', 150, 600)}
 SELECT key.d AS doc_id, row_number() OVER (PARTITION BY key.d ORDER BY key.p, chunk_index) - 1 AS global_chunk_id, section, {_CATEGORY} AS category, chunk_index, '[Section: ' || section || '] ' || body AS text, length(body) AS char_length FROM chunked""")
 def document_chunks(spark, d):
-    return sections.document_chunks(table(spark, d, "customer").selectExpr("c_custkey as doc_id", f"{LONG} as text"))
+    return sections.document_chunks(spread(table(spark, d, "customer").select("c_custkey"), "c_custkey").selectExpr("c_custkey as doc_id", f"{LONG} as text"))
 
 
 _BLOCKS = """lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls, 1 + doc_id % 3 AS k FROM profiles), grid AS (SELECT doc_id, ls, k, unnest(range(0, (len(ls) + k - 1) // k)) AS i FROM lines),
