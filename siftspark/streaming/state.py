@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,6 +15,8 @@ from siftspark.sources.shared import shared_folder
 
 #: Parts of a job that count on their own, so that a large job is no single task's work.
 BUCKETS = 16
+#: Buckets of keys that share one state and one call of Python: a call for each of many small keys costs more than its rows.
+KEY_BUCKETS = 1024
 
 
 def once(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
@@ -36,25 +39,70 @@ def unfinished(starts: DataFrame, ends: DataFrame, within: str, late: str = "10
     return s.join(e, on, "left_outer").where("ended is null").select(F.col("s_key").alias("key"), "started")
 
 
-def _in_order(parts: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
-    return pd.concat(list(parts)).sort_values(by, kind="stable")  # the rows that one trigger brings of one key
+def _in_order(parts: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    return pd.concat(list(parts)).sort_values(by, kind="stable")  # the rows that one trigger brings of one bucket of keys
+
+
+def bucketed(x: DataFrame, key: str) -> DataFrame:
+    """Rows with their bucket of keys; rows without a key have buckets of their own (none), where the key is 0, so that keys stay whole numbers."""
+    bucket: Column = F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS))
+    return x.withColumn("none", F.col(key).isNull()).withColumn("bucket", bucket).withColumn(key, F.coalesce(F.col(key).cast("long"), F.lit(0)))
+
+
+def packed(values) -> bytes:
+    """Whole numbers as bytes, as a bucket's state keeps them."""
+    return np.array(list(values), "<i8").tobytes()
+
+
+def unpacked(raw) -> list[int]:
+    return np.frombuffer(bytes(raw), "<i8").tolist()
+
+
+def plain(columns: dict[str, list]) -> pd.DataFrame:
+    """Columns of plain objects: what Spark's state workers can send, strings and nulls too."""
+    return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
+
+
+def judged(rows: pd.DataFrame, versions: dict[int, int], none: bool) -> pd.DataFrame:
+    """Reviews in order of pair and seq, with accepted and version; versions (of all their pairs) are carried on."""
+    accepted, version = [], []
+    for pair, expected in zip(rows["pair_id"].tolist(), rows["expected"].tolist(), strict=True):
+        accepted.append(expected == versions[pair])
+        versions[pair] += accepted[-1]
+        version.append(versions[pair])
+    pairs = [None] * len(rows) if none else rows["pair_id"].tolist()
+    return plain({"pair_id": pairs, "seq": rows["seq"].tolist(), "decision": rows["decision"].tolist(), "accepted": accepted, "version": version})
+
+
+def let_through(rows: pd.DataFrame, last: dict[int, int], span: int, none: bool) -> pd.DataFrame:
+    """Of rows in order of key and micros those that come span or more after their key's last one let through, which is carried on."""
+    keys, micros = [], []
+    for key, at in zip(rows["key"].tolist(), rows["micros"].tolist(), strict=True):
+        if key not in last or at >= last[key] + span:
+            last[key] = at
+            keys.append(None if none else key)
+            micros.append(at)
+    return plain({"key": keys, "micros": micros})
 
 
 def reviewed(events: DataFrame) -> DataFrame:
-    """Events (pair_id, seq, expected, decision) with accepted and version: one counts if it expects the version that its pair then has."""
+    """Events (pair_id, seq, expected, decision) with accepted and version: one counts if it expects the version that its pair then has.
+
+    Pairs lie in KEY_BUCKETS buckets by hash; a bucket's state has the versions of its pairs.
+    """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        version = state.get[0] if state.exists else 0
-        rows = []
-        for r in _in_order(parts, "seq").itertuples():
-            accepted = r.expected == version
-            version += accepted
-            rows.append((key[0], r.seq, r.decision, bool(accepted), version))
-        state.update((version,))
-        yield pd.DataFrame(rows, columns=["pair_id", "seq", "decision", "accepted", "version"])
+        versions = dict(zip(*map(unpacked, state.get), strict=True)) if state.exists else {}
+        rows = _in_order(parts, ["pair_id", "seq"])
+        for pair in rows["pair_id"].unique().tolist():
+            versions.setdefault(pair, 0)
+        out = judged(rows, versions, key[0])
+        state.update((packed(versions), packed(versions.values())))
+        yield out
 
     out = "pair_id long, seq long, decision string, accepted boolean, version long"
-    return events.groupBy("pair_id").applyInPandasWithState(fold, out, "version long", "append", GroupStateTimeout.NoTimeout)
+    x = bucketed(events, "pair_id").groupBy("none", "bucket")
+    return x.applyInPandasWithState(fold, out, "pairs binary, versions binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def ready_parts(changes: DataFrame) -> DataFrame:
@@ -73,20 +121,16 @@ def ready_parts(changes: DataFrame) -> DataFrame:
 
 
 def coalesced(events: DataFrame, seconds: int) -> DataFrame:
-    """Of each key's events (key, ts) those that come seconds or more after the last one let through."""
+    """Of each key's events (key, ts) those that come seconds or more after the last one let through. Keys lie in buckets, as those of reviews."""
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for ts in _in_order(parts, "micros")["micros"].tolist():
-            if last is None or ts >= last + seconds * 1_000_000:
-                last = ts
-                out.append((key[0], ts))
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["key", "micros"])
-
-    x = events.select("key", F.unix_micros("ts").alias("micros")).groupBy("key")
-    x = x.applyInPandasWithState(fold, "key long, micros long", "last long", "append", GroupStateTimeout.NoTimeout)
+        last = dict(zip(*map(unpacked, state.get), strict=True)) if state.exists else {}
+        out = let_through(_in_order(parts, ["key", "micros"]), last, seconds * 1_000_000, key[0])
+        state.update((packed(last), packed(last.values())))
+        yield out
+
+    x = bucketed(events.select("key", F.unix_micros("ts").alias("micros")), "key").groupBy("none", "bucket")
+    x = x.applyInPandasWithState(fold, "key long, micros long", "keys binary, last binary", "append", GroupStateTimeout.NoTimeout)
     return x.select("key", F.timestamp_micros("micros").alias("ts"))
 
 

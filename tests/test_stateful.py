@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from siftspark.streaming import stateful
+from siftspark.streaming import state, stateful
 
 T0 = dt.datetime(2024, 1, 1, 0, 0)
 at = lambda s: T0 + dt.timedelta(seconds=s)
@@ -87,3 +87,30 @@ def test_ingestion_reads_the_folders_of_its_batch(spark, tmp_path):
     assert "PartitionFilters: [bucket" in plan.toString() and "ReadSchema: struct<hash:string>" in plan.toString()
     scan = plan.executedPlan().collectLeaves().apply(0)
     assert scan.metrics().apply("numFiles").value() <= 4  # of some 190: the folders asked for, a file for each trigger
+
+
+def test_keys_of_a_bucket_share_state_and_calls(spark, tmp_path):
+    """Python is called, and state kept, by bucket, not by key; keys stay apart, null ones and large ones too, and end at their own times."""
+    n, big = 3 * state.KEY_BUCKETS, 2**60 + 1
+    schema = "pair_id long, seq long, ts timestamp, expected long, decision string, stored long"
+    first = [(k, k, at(k), 0, "A", None) for k in range(n)] + [(big, n, at(0), 0, "B", None), (big + 1, n + 1, at(0), 1, None, 1), (None, n + 2, at(0), 0, "C", None)]
+    second = [(0, n + 3, at(n), 0, "D", None), (n - 1, n + 4, at(n), 1, "E", None), (None, n + 5, at(n), 0, "F", None), (big, n + 6, at(n), 1, "G", None)]
+    third = [(5, n + 7, at(n + 4000), 0, "H", None), (7, n + 8, at(9000), 1, "I", None)]
+    fourth = [(5, n + 9, at(n + 4001), 1, "J", None), (3, n + 10, at(n + 4001), 0, "K", None), (n - 1, n + 11, at(n + 4002), 2, "L", None)]
+    seen = []
+    out = stateful.run_stateful(stateful.versioned(stream(spark, tmp_path, schema, first, second, third, fourth), 5000, "10 seconds"), stateful.REVIEW_SINKS, seen)
+    accepted = {(r.pair_id, r.seq): r.version for r in out["accepted"].collect()}
+    assert len(accepted) == n + 8 and out["conflicts"].count() == 4
+    assert [accepted[k] for k in ((big, n), (big + 1, n + 1), (None, n + 2), (n - 1, n + 4), (big, n + 6))] == [1, 2, 1, 2, 2]
+    assert max(o["numRowsTotal"] for p in seen for o in p["stateOperators"]) <= 3 * (state.KEY_BUCKETS + 1)
+
+
+def test_reviews_and_wakeups_in_batches_share_buckets(spark, tmp_path):
+    n = 2 * state.KEY_BUCKETS
+    s = stream(spark, tmp_path, "pair_id long, seq long, expected long, decision string", [(k, k, 0, "A") for k in range(n)] + [(None, n, 0, "B")], [(k, n + 1 + k, 1, "C") for k in range(0, n, 2)] + [(None, 3 * n, 0, "D")])
+    query = state.reviewed(s).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "check")).foreachBatch(lambda b, k: b.write.parquet(f"{tmp_path}/out/batch={k}"))
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= state.KEY_BUCKETS + 1
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.where("accepted").count() == n + 1 + n // 2 and out.where("not accepted and pair_id is null and version = 1").count() == 1
