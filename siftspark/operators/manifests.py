@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,23 @@ def against_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
 TURNS = ("CONTEXT", "EXPERIENCE", "PROJECTS", "SKILLS", "EDUCATION")
 
 
+def taken(sizes: list[int | None], used: int, limit: int) -> list[bool | None]:
+    """For each size in turn, whether it fits into what is left of limit; one that doesn't is passed over."""
+    out: list[bool | None] = []
+    for size in sizes:
+        out.append(None if size is None else used + size <= limit)
+        used += size if out[-1] else 0
+    return out
+
+
+def _fitting(limit: int):
+    @F.arrow_udf("array<boolean>")
+    def fitting(sizes: pa.Array, used: pa.Array) -> pa.Array:
+        return pa.array([taken(s.as_py(), u.as_py(), limit) for s, u in zip(sizes, used, strict=True)], pa.list_(pa.bool_()))
+
+    return fitting
+
+
 def ordered_context(passages: DataFrame, hits: DataFrame, limit: int, terms: tuple[str, ...] = (), spent: DataFrame | None = None) -> DataFrame:
     """Passages (pair_id, idx, section, category, text) in the order in which a prompt takes them, and whether each is included: place, included.
 
@@ -80,14 +98,9 @@ def ordered_context(passages: DataFrame, hits: DataFrame, limit: int, terms: tup
     x = x.withColumn("_turn", n).select("pair_id", "idx", key.alias("key"), F.length("text").alias("size"))
     rows = x.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("key", "idx", "size"))).alias("rows"))
 
-    def step(acc, r):
-        fits = acc["used"] + r["size"] <= limit
-        return F.struct((acc["used"] + F.when(fits, r["size"]).otherwise(0)).alias("used"), F.array_append(acc["out"], fits).alias("out"))
-
     if spent is not None:
         rows = rows.join(spent, "pair_id", "left")
-    before = F.coalesce("spent", F.lit(0)).cast("int") if spent is not None else F.lit(0)
-    start = F.struct(before.alias("used"), F.array().cast("array<boolean>").alias("out"))
-    fits = F.aggregate("rows", start, step, lambda a: a["out"])
+    before = F.coalesce("spent", F.lit(0)).cast("long") if spent is not None else F.lit(0).cast("long")
+    fits = _fitting(limit)("rows.size", before)
     x = rows.select("pair_id", F.posexplode(F.arrays_zip(F.col("rows.idx").alias("idx"), fits.alias("included"))).alias("place", "r"))
     return x.select("pair_id", "r.idx", (F.col("place") + 1).alias("place"), "r.included")

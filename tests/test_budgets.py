@@ -1,11 +1,12 @@
 """The budget of contexts and batches of reviews, against plain loops."""
 
+import time
 import random
 from collections import defaultdict
 
 import pytest
 
-from siftspark.operators import batches, budget
+from siftspark.operators import batches, budget, manifests
 from siftspark.operators.planning import CATEGORIES
 
 CHUNKS = "pair_id int, category string, place int, document_id int, chunk_id string, text string"
@@ -102,3 +103,13 @@ def test_notes_stay_where_a_batch_has_none(spark):
     e = spark.createDataFrame([(k, p, v) for k, p, v in [(1, 1, 0), (2, 1, 1), (1, 2, 0), (3, 2, 1)]], "batch int, pair_id int, version int")
     got = {x.pair_id: (x.version, x.batch, x.reason, x.notes, x.tags, x.assignee) for x in batches.review_state(b, e, batches.decided_batches(b, e)).collect()}
     assert got == {1: (2, 2, "because", "first", "a", "ann"), 2: (2, 3, "", "third", "a", None)}
+
+
+def test_folds_take_time_in_proportion_to_rows():
+    """A pair of 100,000 chunks or passages: a fold whose steps look at all rows again does not end in this time."""
+    n, start = 100_000, time.process_time()
+    queues = sorted(1 + k % 4 for k in range(n))
+    omitted, used = budget.losses(queues, [str(k % 70_000) for k in range(n)], [3] * n, 300)
+    assert used <= 300 < used + 4 * 3 and sum(o is None for o in omitted) * 3 >= used and max(o for o in omitted if o) == sum(o is not None for o in omitted)
+    assert sum(manifests.taken([5] * n, 0, 4_999)) == 999 and manifests.taken([3, None, 9, 2], 1, 6) == [True, None, False, True]
+    assert time.process_time() - start < 10
