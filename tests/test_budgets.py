@@ -1,7 +1,7 @@
 """The budget of contexts and batches of reviews, against plain loops."""
 
-import time
 import random
+import time
 from collections import defaultdict
 
 import pytest
