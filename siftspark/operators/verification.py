@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .documents import injection_reasons
@@ -22,22 +22,43 @@ def fields_of(pairs: DataFrame, flags: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.explode(each).alias("f")).select("pair_id", "f.*").union(own)
 
 
+def _placed(fields: DataFrame, registry: DataFrame, cited: DataFrame, claims: DataFrame) -> DataFrame:
+    """Fields, citations, claims and the registry as rows of one table, dealt by pair once, sorted: each citation and claim (claimed: false or true) with what it needs of the others; rows of fields have claimed null.
+
+    All later groupings hold the pair, so none of them shuffles again.
+    """
+    text = {c: F.lit(None).cast("string") for c in ("field", "citation", "claim", "quote", "evidence_id", "category", "source")}
+    other = {"index": F.lit(None).cast("int"), "allowed": F.lit(None).cast("array<string>"), "claimed": F.lit(None).cast("boolean")}
+    as_facts = lambda x, **own: x.select("pair_id", *[own.get(c, v).alias(c) for c, v in {**text, **other}.items()])
+    of = lambda *names: {c: F.col(c) for c in names}
+    x = as_facts(fields, **of("field", "index", "allowed")).union(as_facts(cited, **of("field", "citation"), claimed=F.lit(False)))
+    x = x.union(as_facts(claims, **of("field", "citation", "claim", "quote", "evidence_id"), claimed=F.lit(True)))
+    x = x.union(as_facts(registry.where("citation is not null"), **of("citation", "category", "evidence_id"), source=F.col("text")))
+    x = x.where("pair_id is not null").repartition("pair_id")
+    check, registered = F.col("claimed").isNotNull(), F.col("field").isNull() & F.col("claimed").isNull()
+    sets = F.collect_set("allowed").over(Window.partitionBy("pair_id", "field"))
+    x = x.withColumn("sets", sets).withColumn("allowed", F.explode_outer(F.when(check & F.col("field").isNotNull(), F.col("sets")))).drop("sets").where(~check | F.col("allowed").isNotNull())
+    given = F.max(F.col("claimed").eqNullSafe(False) & F.col("citation").isNotNull()).over(Window.partitionBy("pair_id", "citation", "field"))
+    known = F.first(F.when(registered, F.struct("category", F.col("evidence_id").alias("id"), "source")), ignorenulls=True).over(Window.partitionBy("pair_id", "citation"))
+    return x.withColumn("given", given).withColumn("known", known).where(~registered).withColumn("known", F.when(check, F.col("known")))
+
+
+def _reason() -> Column:
+    """Why a row of _placed() does not stand; null where it does."""
+    known = F.col("known")
+    right = F.coalesce(F.array_contains("allowed", known["category"]), F.lit(False))
+    form = F.coalesce(F.col("citation").rlike(CITATION), F.lit(False))
+    plain = F.when(~form, "MALFORMED_CITATION").when(known["category"].isNull(), "UNKNOWN_CITATION").when(~right, "WRONG_CATEGORY")
+    full = support_reason(F.col("claim"), F.col("quote"), known["source"], right & F.col("given"), F.col("evidence_id"), known["id"])
+    return F.when(F.col("claimed"), full).when(~F.col("claimed"), plain)
+
+
 def checks(fields: DataFrame, registry: DataFrame, cited: DataFrame, claims: DataFrame) -> DataFrame:
     """(pair_id, field, citation, claimed, reason) for each citation (pair_id, field, citation) and claim (those, claim, quote, evidence_id); no reason: it stands.
 
     registry: pair_id, citation, category, evidence_id, text, one row for each citation. A claim's citation must be one of its field's.
     """
-    allowed = fields.select("pair_id", "field", "allowed")
-    empty = [F.lit(None).cast("string").alias(c) for c in ("claim", "quote", "evidence_id")]
-    rows = cited.select("pair_id", "field", "citation", F.lit(False).alias("claimed"), *empty).union(claims.select("pair_id", "field", "citation", F.lit(True), "claim", "quote", "evidence_id"))
-    known = registry.select("pair_id", "citation", "category", F.col("evidence_id").alias("source_id"), F.col("text").alias("source"))
-    given = cited.select("pair_id", "field", "citation").distinct().withColumn("given", F.lit(True))
-    x = rows.join(allowed, ["pair_id", "field"]).join(given, ["pair_id", "field", "citation"], "left").join(known, ["pair_id", "citation"], "left")
-    right = F.coalesce(F.array_contains("allowed", F.col("category")), F.lit(False))
-    form = F.coalesce(F.col("citation").rlike(CITATION), F.lit(False))
-    plain = F.when(~form, "MALFORMED_CITATION").when(F.col("category").isNull(), "UNKNOWN_CITATION").when(~right, "WRONG_CATEGORY")
-    full = support_reason(F.col("claim"), F.col("quote"), F.col("source"), right & F.coalesce("given", F.lit(False)), F.col("evidence_id"), F.col("source_id"))
-    return x.select("pair_id", "field", "citation", "claimed", F.when(F.col("claimed"), full).otherwise(plain).alias("reason"))
+    return _placed(fields, registry, cited, claims).where("claimed is not null").select("pair_id", "field", "citation", "claimed", _reason().alias("reason"))
 
 
 def verification(pairs: DataFrame, registry: DataFrame, flags: DataFrame, cited: DataFrame, claims: DataFrame, supported: bool = True) -> DataFrame:
@@ -45,16 +66,16 @@ def verification(pairs: DataFrame, registry: DataFrame, flags: DataFrame, cited:
 
     supported: whether each citation needs a claim that stands on it. Signs of injection in the registry's texts come to those given.
     """
-    fields = fields_of(pairs, flags)
-    checked = checks(fields, registry, cited, claims)
+    checked = _placed(fields_of(pairs, flags), registry, cited, claims).select("pair_id", "field", "index", "citation", "claimed", _reason().alias("reason"))
     bad, claim = F.col("reason").isNotNull(), F.col("claimed")
-    one = checked.groupBy("pair_id", "field", "citation").agg(
-        F.bool_or(~claim).alias("cite"), F.bool_or(~claim & bad).alias("bad_cite"), F.bool_or(claim & bad).alias("bad_claim"), F.bool_or(claim & ~bad).alias("proved"), F.bool_or(~bad).alias("valid"), F.bool_or(bad).alias("invalid")
-    )
+    one = checked.groupBy("pair_id", "citation", "field").agg(  # the rows of a field alone have no citation and claimed null
+        F.max("index").alias("index"), F.bool_or(~claim).alias("cite"), F.bool_or(~claim & bad).alias("bad_cite"), F.bool_or(claim & bad).alias("bad_claim"), F.bool_or(claim & ~bad).alias("proved"),
+        F.bool_or(claim.isNotNull() & ~bad).alias("valid"), F.bool_or(claim.isNotNull() & bad).alias("invalid"),
+    )
     any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    per = fields.select("pair_id", "field", "index").join(one, ["pair_id", "field"], "left").groupBy("pair_id", "field", "index").agg(
-        any_of("cite").alias("cites"), any_of("bad_cite").alias("bad_cites"), any_of("bad_claim").alias("bad_claims"), any_of(F.col("cite") & ~F.col("proved")).alias("unproved"),
-        F.collect_set(F.when(F.col("valid"), F.col("citation"))).alias("valid"), F.collect_set(F.when(F.col("invalid"), F.col("citation"))).alias("invalid"),
+    per = one.groupBy("pair_id", "field").agg(
+        F.max("index").alias("index"), any_of("cite").alias("cites"), any_of("bad_cite").alias("bad_cites"), any_of("bad_claim").alias("bad_claims"), any_of(F.col("cite") & ~F.coalesce("proved", F.lit(False))).alias("unproved"),
+        F.collect_list(F.when(F.col("valid"), F.col("citation"))).alias("valid"), F.collect_list(F.when(F.col("invalid"), F.col("citation"))).alias("invalid"),
     )
     lacking = F.col("unproved") & supported
     named = lambda c, name: F.when(c, F.concat(F.lit(f"{name}:"), "field"))

@@ -106,3 +106,20 @@ def test_stage_reasons_by_cases(spark):
     got = {(v.pair_id, v.stage): v.reason for v in views.stage_labels(x, full=True).collect()}
     assert [got[1, n] for n in range(4)] == ["UNREADABLE", "", None, None]
     assert [got[2, n] for n in range(4)] == [None, "b; ; c", None, views.BEYOND] and got[3, 3] == "F"
+
+
+def test_checks_of_pairs_share_one_shuffle(spark):
+    frame = {n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()}
+    one = verification.checks(verification.fields_of(frame["pairs"], frame["flags"].limit(0)), frame["registry"], frame["cited"], frame["claims"])
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
+
+
+def test_a_flag_of_two_types_counts_under_both_and_null_citations_are_invalid(spark):
+    frame = {n: spark.createDataFrame(rows, SCHEMAS[n]) for n, rows in {
+        "pairs": [(1, None, True)], "registry": [(1, "SKILLS:1", "SKILLS", "e", "Made 3 parts"), (1, None, "PROJECTS", "f", "x")], "flags": [(1, 0, "OTHER"), (1, 0, "EVIDENCED_CAREER_GAP")],
+        "cited": [(1, "flags[0]", "SKILLS:1"), (1, "skills", None)], "claims": [(1, "skills", "SKILLS:1", "a", "Made", None)],
+    }.items()}
+    f = verification.fields_of(frame["pairs"], frame["flags"])
+    got = sorted((str(r.field), str(r.citation), r.claimed, str(r.reason)) for r in verification.checks(f, frame["registry"], frame["cited"], frame["claims"]).collect())
+    assert got == [("flags[0]", "SKILLS:1", False, "None"), ("flags[0]", "SKILLS:1", False, "WRONG_CATEGORY"), ("skills", "None", False, "MALFORMED_CITATION"), ("skills", "SKILLS:1", True, "INVALID_CLAIM_CITATION")]
