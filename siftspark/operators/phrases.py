@@ -54,8 +54,9 @@ def phrase_index(texts: DataFrame, phrases: DataFrame) -> DataFrame:
         made = words if n == 1 else F.transform(begins, lambda i: F.array_join(F.slice(words, i, n), " "))
         return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
 
-    x = texts.where("lexical <> ''").select("id", F.split("lexical", " ").alias("_words"))
-    x = x.select("id", F.explode(F.array_distinct(F.concat(*map(runs, lengths)))).alias("phrase"))
+    # no filter on the lexical form and no plain explode: Spark would make the form and the runs once more for either
+    x = texts.select("id", F.split("lexical", " ").alias("_words"))
+    x = x.select("id", F.explode_outer(F.array_distinct(F.concat(*map(runs, lengths)))).alias("phrase")).where("phrase is not null")
     return x.join(sent(asked), "phrase").select("id", "phrase")
 
 
@@ -114,8 +115,8 @@ def target_coverage(passages: DataFrame, targets: DataFrame, own: str | None = N
     Out: job, doc_id, target_id, coverage, accepted_substitute, n_groups (covered), passage_id.
     """
     text, words = F.col("passage"), F.split("lexical", " ")
-    holds = lambda some: F.exists(words, lambda w: w.isin(*some))  # noqa: E731  (cheaper than the pattern, and true wherever the pattern is found)
-    p = passages.where(~(holds(NEGATIONS) & negated(text))).withColumn("_acts", F.col("category").isin("EXPERIENCE", "PROJECTS") & holds(VERBS) & acts(text))
+    holds = lambda some: F.arrays_overlap(words, F.array(*map(F.lit, some)))  # noqa: E731  (cheaper than the pattern, and true wherever the pattern is found)
+    p = passages.withColumn("_acts", F.col("category").isin("EXPERIENCE", "PROJECTS") & holds(VERBS) & acts(text)).withColumn("lexical", F.when(~(holds(NEGATIONS) & negated(text)), F.col("lexical")))
     # all that is asked of a passage later travels in the index, so that texts are read once and never shuffled
     place = [F.col("id"), F.col("doc_id"), F.col("category"), F.col("chunk_no"), F.col("passage_no"), F.col("_acts")]
     terms = group_terms(targets)

@@ -24,8 +24,8 @@ HEADINGS = {
 CATEGORY = {"SUMMARY": "EXPERIENCE", "EXPERIENCE": "EXPERIENCE", "SKILLS": "SKILLS", "PROJECTS": "PROJECTS", "EDUCATION": "EDUCATION", "CERTIFICATIONS": "EDUCATION"}
 #: Least and most characters of a chunk, with its section's prefix in the latter.
 LEAST, MOST = 150, 600
-#: What parts blocks, and what parts passages.
-BLOCK_ENDS, PASSAGE_ENDS = r"\n\s*[-•*]\s*|\n\n+|\n(?=\d+\.\s+)", r"[\n;]|(?<=[.!?])\s+(?=[A-Z])"
+#: What parts blocks, and what parts passages, with the blanks around it.
+BLOCK_ENDS, PASSAGE_ENDS = r"\n\s*[-•*]\s*|\n\n+|\n(?=\d+\.\s+)", r"(?<!\s)\s*[\n;][\s;]*|(?<=[.!?])\s+(?=[A-Z])"
 BLANK = " \t\n\r\f\v"
 
 
@@ -133,5 +133,6 @@ def document_chunks(docs: DataFrame, least: int = LEAST, most: int = MOST) -> Da
 
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to its passages with text: cut at line ends, semicolons, and sentence ends before a capital."""
-    cut = F.filter(F.transform(F.split("text", PASSAGE_ENDS), _strip), lambda p: p != "")
-    return docs.select("doc_id", F.posexplode(cut).alias("passage_no", "passage"))
+    cut = F.filter(F.split(_strip(F.col("text")), PASSAGE_ENDS), lambda p: p != "")
+    # outer, since a plain explode would cut each text once more, to look for empty ones
+    return docs.select("doc_id", F.posexplode_outer(cut).alias("passage_no", "passage")).where("passage is not null")

@@ -1,9 +1,12 @@
 """Concept plans, phrase matching and targets as tables: the cases that a user of such a search relies on."""
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
-from siftspark.operators import phrases, planning
+from siftspark.operators import phrases, planning, retrieval, sections
 from siftspark.operators.retrieval import lexical
 
 PROFILE = f"job string, required array<{planning.SKILL}>, preferred array<{planning.SKILL}>, level string, level_aliases array<string>, fields array<string>, field_aliases array<string>"
@@ -119,3 +122,29 @@ def test_degree_replaces_groups_and_skills_become_targets(spark):
     assert got["derived_delivery_0"].groups == [["Java", "JDK"]] and got["derived_delivery_0"].substitutes == ["Kotlin"] and got["derived_skills_0"].category == "SKILLS"
     assert got["derived_preferred_0"].substitutes == [] and got["derived_preferred_0"].treatment == "preference" and "derived_experience_0" not in got
     assert [g[0] for g in got["legacy_projects"].groups][-2:] == ["graph", "databases"]
+
+
+def test_texts_are_cut_and_indexed_once(spark):
+    docs = spark.createDataFrame([(1, "Made parts. Led it")], "doc_id int, text string")
+    texts = sections.passages(docs).select("doc_id", F.upper("passage").alias("lexical"))
+    index = phrases.phrase_index(texts.select(F.col("doc_id").alias("id"), "lexical"), spark.createDataFrame([("LED IT",)], "phrase string"))
+    assert [tuple(r) for r in index.collect()] == [(1, "LED IT")]
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2 and "size(filter" not in plan  # one cut of texts, one of words
+
+
+def test_passages_equal_a_plain_cut(spark):
+    odd = ["", " ", None, ";;a; b ;\n c.\n D! E;", "  x.  Y\t\n\n;z \x0b\f;", "a . B", "q.\nR; \n", ";", "no end", "É. É. A", "a\r\nb;  ;  ;c.  D  "]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string")
+    got = [tuple(r) for r in sections.passages(docs).orderBy("doc_id", "passage_no").collect()]
+    cut = lambda t: [p for x in re.split(r"[\n;]|(?<=[.!?])[ \t\n\r\f\v]+(?=[A-Z])", t) if (p := x.strip(" \t\n\r\f\v"))]
+    assert got == [(i, k, p) for i, t in enumerate(odd) if t is not None for k, p in enumerate(cut(t))]
+
+
+def test_folding_of_every_character_and_of_latin_texts_without_python(spark):
+    some = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000] + ["Straße ÀÉ – “Ñ”", "é", "É́"]
+    x = spark.createDataFrame([(t,) for t in some], "t string").select("t", retrieval.folded(F.col("t")).alias("f"), retrieval.beyond_latin(F.col("t")).alias("python"))
+    rows = x.collect()
+    assert [r for r in rows if r.f != unicodedata.normalize("NFKC", r.t).casefold()] == []
+    kinds = {r.t: r.python for r in rows}
+    assert not kinds["ß"] and not kinds["É"] and not kinds["Straße ÀÉ – “Ñ”"] and kinds["½"] and kinds["é"] and kinds["Ω"]
