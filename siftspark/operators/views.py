@@ -59,9 +59,9 @@ def broken_invariants(outcomes: DataFrame) -> DataFrame:
 def replayed_scores(stored: DataFrame, weights: DataFrame) -> DataFrame:
     """Stored (pair_id, run, status, scores map, score, tier) with the score and tier that its run's weights (run, weights map) give, and whether both are as stored.
 
-    Weights are decimals; halves round up. Only successes have a tier.
+    Weights are decimals; halves round up. Only successes have a tier. The weights have a row for each run and go to all tasks: a shuffle by run would make a task of each run.
     """
-    x = stored.join(weights, "run")
+    x = stored.join(F.broadcast(weights), "run")
     part = lambda k: F.col("scores")[k].cast("decimal(20,12)") * F.col("weights")[k]
     total = F.aggregate(F.map_keys("weights"), F.lit(0).cast("decimal(38,14)"), lambda s, k: (s + part(k)).cast("decimal(38,14)"))
     score = F.round(total, 2).cast("decimal(5,2)")
