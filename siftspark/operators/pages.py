@@ -21,14 +21,16 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     Blocks of full width cut a page into runs; in each run the left column goes before the right one, and the cutting block ends it.
     """
     page = Window.partitionBy("doc_id", "page_number")
+    down = page.orderBy("y0", "x0", "block_no")  # one order for all windows before the last: a task sorts its rows once for them, not for each
+    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x = blocks.where((F.col("block_type") == 0) & F.col("text").rlike(r"\S"))
-    x = x.withColumn("mid", (F.min("x0").over(page) + F.max("x1").over(page)) / 2)
+    x = x.withColumn("mid", (F.min("x0").over(whole) + F.max("x1").over(whole)) / 2)
     wide = (F.col("x0") < F.col("mid") - MARGIN) & (F.col("x1") > F.col("mid") + MARGIN)
     side = F.when(wide, 2).when(F.col("x1") <= F.col("mid") + MARGIN, 0).otherwise(1)
     x = x.withColumn("side", side).withColumn("wide", (side == 2).cast("int"))
     # of cutting blocks at or above a block, those at its own height count too; a cutting block itself counts those before it
     above = F.sum("wide").over(page.orderBy("y0").rangeBetween(Window.unboundedPreceding, 0))
-    before = F.sum("wide").over(page.orderBy("y0", "x0", "block_no").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("wide").over(down.rowsBetween(Window.unboundedPreceding, -1))
     x = x.withColumn("run", F.when(F.col("wide") == 1, F.coalesce(before, F.lit(0))).otherwise(above))
     x = x.withColumn("place", F.row_number().over(page.orderBy("run", "side", "y0", F.when(F.col("wide") == 1, F.col("x0")), "block_no")))
     return x.drop("mid", "side", "wide", "run")

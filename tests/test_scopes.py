@@ -35,7 +35,7 @@ def test_once_is_one_hit(spark, fallback):
     assert found(planning.in_scope(x, fallback, once=True)) == found(want)
 
 
-@pytest.mark.parametrize(("name", "sorts"), [("scope_fallback", 1), ("scope_hits", 1)])
+@pytest.mark.parametrize(("name", "sorts"), [("scope_fallback", 1), ("scope_hits", 1), ("reading_order", 2)])
 def test_rows_are_shuffled_once_and_sorted_no_more_than_needed(spark, name, sorts):
     plan = PLANS[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == sorts and "Join" not in plan and "Aggregate" not in plan
