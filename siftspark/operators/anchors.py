@@ -34,17 +34,19 @@ def held(passages: DataFrame, full: DataFrame, cut: Callable[[Column], Column] =
     cut gives the words of a text, matches decides. A passage with a word that no full text of its k has is out at once; any other meets
     only the full texts with the word of it that the fewest of them have. Null texts and texts without words hold nothing and are not held.
     A word with its k, and a full text with its k, are shuffled as 64-bit hashes: equal hashes only make more pairs, which the texts, keys and owners themselves decide.
+    While its rarest word is sought, a passage is known by 128 bits.
     """
     word = lambda df: df.select("*", F.explode(F.array_distinct(cut(F.col("text")))).alias("word")).withColumn("word", F.xxhash64("k", "word"))
     owns = (F.min("own").alias("_low"), F.max("own").alias("_high"), F.bool_or(F.col("own").isNull()).alias("_any"))
     other = F.col("own").isNull() | F.col("_any") | (F.col("_low") != F.col("own")) | (F.col("_high") != F.col("own"))
     f = full.where("text is not null").groupBy("k", "text").agg(*owns).withColumn("_f", F.xxhash64("k", "text"))
-    p = passages.select("k", "own", "text").where("text is not null").distinct().withColumn("_n", F.size(F.array_distinct(cut(F.col("text")))))
+    ids = F.struct(F.xxhash64("k", "own", "text").alias("a"), F.xxhash64("text", "own", "k").alias("b"))
+    p = passages.select("k", "own", "text").where("text is not null").distinct().withColumn("_p", ids)
     postings = word(f).select("word", "_f", "_low", "_high", "_any")
     counts = postings.groupBy("word").agg(F.count("*").alias("_c"))
-    rare = word(p).join(counts, "word").groupBy("k", "own", "text", "_n").agg(F.count("*").alias("_known"), F.min(F.struct("_c", "word")).alias("_r"))
-    rare = rare.where("_known = _n").select("k", "own", "text", F.col("_r.word").alias("word"))
-    pairs = rare.join(postings, "word").where(other).select("k", "own", "text", "_f").distinct()
+    rare = word(p).select("_p", "word").join(counts, "word", "left").groupBy("_p").agg(F.bool_and(F.col("_c").isNotNull()).alias("_known"), F.min(F.struct("_c", "word")).alias("_r"))
+    rare = p.join(rare.where("_known").select("_p", F.col("_r.word").alias("word")), "_p").select("k", "own", "text", "word")
+    pairs = rare.join(postings, "word").where(other).select("k", "own", "text", "_f")
     whole = f.select("_f", F.col("k").alias("_k"), F.col("text").alias("_full"), "_low", "_high", "_any")
     return pairs.join(whole, "_f").where((F.col("k") == F.col("_k")) & other & matches(F.col("_full"), F.col("text"))).select("k", "own", "text").distinct()
 
