@@ -27,18 +27,36 @@ REST = N_BITS + POS_BITS
 SURE_BITS = 48
 TABLE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BLANK = SPACE.tobytes()
+#: Bits of a line's row, of a word's rarity and of its hash in one number by which words are sorted first.
+ROW_BITS, RARITY_BITS, HASH_BITS = 20, 24, 20
 
 
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash, line number) of each word of a buffer; A-Z count as lower case, lines end at \\n."""
-    raw = np.frombuffer(data.lower(), np.uint8)
-    space = SPACE[raw]
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    low = data.lower()
+    raw = np.frombuffer(low, np.uint8)
+    space = np.frombuffer(b"\1" + low.translate(BLANK) + b"\1", np.int8)
+    edge = np.diff(space)
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     power, inverse = _powers(len(raw))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(TABLE[raw] * power[: len(raw)])])
-    line = np.cumsum(raw == 10)
-    return _mix((sums[end] - sums[start]) * inverse[start]), line[start] if len(raw) else line
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(TABLE[raw] * power[: len(raw)], out=sums[1:])
+    return _mix((sums[end] - sums[start]) * inverse[start]), np.searchsorted(np.flatnonzero(raw == 10), start)
+
+
+def _rare_first(h: np.ndarray, row: np.ndarray, rarity: np.ndarray, rows: int) -> np.ndarray:
+    """The order of words by row, rarity and hash: by one number that begins with these, then, where other hashes share it, by the whole hash."""
+    if rows > 1 << ROW_BITS:
+        return np.lexsort((h, (row.astype(np.uint64) << np.uint64(RARITY_BITS)) | rarity))
+    near = (((row.astype(np.uint64) << np.uint64(RARITY_BITS)) | rarity) << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS))
+    order = np.argsort(near)
+    a, g = near[order], h[order]
+    clash = (a[1:] == a[:-1]) & (g[1:] != g[:-1])
+    if clash.any():
+        at = np.flatnonzero(np.isin(a, a[1:][clash]))
+        order[at] = order[at][np.lexsort((g[at], a[at]))]
+    return order
 
 
 def _buffers(texts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
@@ -104,11 +122,11 @@ def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
 def line_sets(data: bytes, wanted: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, row in wanted, start of each row) of the wanted lines' word sets, rarest words first."""
     h, line = words_of(data)
-    row = np.searchsorted(wanted, line)
-    ok = (row < len(wanted)) & (wanted[np.minimum(row, len(wanted) - 1)] == line)
-    h, row = h[ok], row[ok]
-    key = (row.astype(np.uint64) << np.uint64(24)) | rarity[(h & np.uint64(COUNTED - 1)).astype(np.int64)]
-    order = np.lexsort((h, key))
+    rows = np.full(max(line[-1] if len(line) else 0, wanted[-1] if len(wanted) else 0) + 1, -1)
+    rows[wanted] = np.arange(len(wanted))
+    row = rows[line]
+    h, row = h[row >= 0], row[row >= 0]
+    order = _rare_first(h, row, rarity[(h & np.uint64(COUNTED - 1)).astype(np.int64)], len(wanted))
     h, row = h[order], row[order]
     new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.empty(0, bool)
     h, row = h[new], row[new]
