@@ -63,6 +63,19 @@ def test_plan_rows(plans):
     assert rows["fields", 2].alternatives == ["computer science", "information technology", "cs", "it"]
 
 
+def test_no_concept_and_no_group_is_left_out(spark):
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    asked = f"job string, category string, query string, required array<{planning.SKILL}>, preferred array<{planning.SKILL}>, degree array<array<string>>"
+    plan = planning.concept_plan(spark.createDataFrame([("j", "SKILLS", " ".join(words), [skill(f"Kiln {w}") for w in words], None, None)], asked))
+    targets = spark.createDataFrame([("j", "SKILLS", "t", "preference", [[f"Group {w}"] for w in words])], "job string, category string, target_id string, treatment string, groups array<array<string>>")
+    whole = [*(f"kiln {w}" for w in words), *(f"group {w}" for w in words)]
+    assert [(r.ord, r.alternatives[0]) for r in planning.target_concepts(plan, targets).orderBy("ord").collect()] == list(enumerate(whole, 1))
+    plain = planning.concept_plan(spark.createDataFrame([("j", "SKILLS", " ".join(words), None, None, None)], asked))
+    assert [(r.ord, r.alternatives[0]) for r in planning.target_concepts(plain, targets).orderBy("ord").collect()] == list(enumerate([*words, *whole[200:]], 1))
+    limited = planning.profile_plan(spark.createDataFrame([profile("j")], PROFILE), spark.createDataFrame([("j", "SKILLS", " ".join(words))], "job string, category string, query string"))
+    assert limited.count() == planning.WORDS  # what the SQL of profiles says
+
+
 @pytest.mark.parametrize("firsts", [5_000, 0])
 def test_phrase_index_equals_looking_into_texts(spark, monkeypatch, firsts):
     monkeypatch.setattr(phrases, "FIRSTS", firsts)
