@@ -32,13 +32,17 @@ BLANK = SPACE.tobytes()
 ROW_BITS, RARITY_BITS, HASH_BITS = 20, 24, 20
 
 
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a buffer start and end, between ASCII white space."""
+    edge = np.diff(np.frombuffer(b"\1" + data.translate(BLANK) + b"\1", np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash, line number) of each word of a buffer; A-Z count as lower case, lines end at \\n."""
     low = data.lower()
     raw = np.frombuffer(low, np.uint8)
-    space = np.frombuffer(b"\1" + low.translate(BLANK) + b"\1", np.int8)
-    edge = np.diff(space)
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    start, end = word_bounds(low)
     power, inverse = _powers(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(TABLE[raw] * power[: len(raw)], out=sums[1:])
